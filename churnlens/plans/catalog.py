@@ -37,3 +37,21 @@ def q_churn_rate(ctx: Context) -> DataFrame:
     return ctx.state.groupBy("is_churned").agg(F.count(F.lit(1)).alias("accounts")).select(
         "is_churned", "accounts", pct("accounts", total).alias("pct")
     )
+
+
+# ---------------------------------------------------------------- diagnosis C1-C15
+from . import diagnosis as dg  # noqa: E402
+
+for _name in (
+    "cohort_churn", "churn_by_month", "signups_by_month", "lifetime_quartiles", "lifetime_bands", "refund_cost",
+    "revenue_churn", "seat_quartiles", "seat_band_churn", "value_concentration", "reason_share", "reason_cost",
+    "reason_by_size", "reason_by_lifetime", "claim_features_check", "claim_support_check",
+    "behaviour_before_churn", "support_before_churn", "channel_risk",
+):
+    QUERIES[_name] = getattr(dg, _name)
+
+
+@query("account_metrics")
+def q_account_metrics(ctx: Context) -> DataFrame:
+    """V2 - value at reference and all-time usage profile per account."""
+    return ctx.metrics
