@@ -55,3 +55,95 @@ for _name in (
 def q_account_metrics(ctx: Context) -> DataFrame:
     """V2 - value at reference and all-time usage profile per account."""
     return ctx.metrics
+
+
+# ---------------------------------------------------------------- early warning E1-E5, M5
+from . import extras as ex  # noqa: E402
+from . import marts as mt  # noqa: E402
+from . import recommend as rc  # noqa: E402
+from . import risk as rk  # noqa: E402
+
+
+@query("risk_signals")
+def q_risk_signals(ctx: Context) -> DataFrame:
+    return ctx.signals
+
+
+@query("risk_scores")
+def q_risk_scores(ctx: Context) -> DataFrame:
+    return ctx.scores
+
+
+@query("risk_headcount")
+def q_risk_headcount(ctx: Context) -> DataFrame:
+    return rk.risk_headcount(ctx.scores, ctx.cfg)
+
+
+@query("priority_portfolio")
+def q_priority_portfolio(ctx: Context) -> DataFrame:
+    return ctx.priority
+
+
+@query("action_summary")
+def q_action_summary(ctx: Context) -> DataFrame:
+    return rk.action_summary(ctx.priority)
+
+
+@query("backtest_lift")
+def q_backtest_lift(ctx: Context) -> DataFrame:
+    return rk.backtest_lift(ctx)
+
+
+BACKTEST_CUTS_OFFSETS_DAYS = (0, -184)  # the cut and half a year before it
+
+
+@query("backtest_sweep")
+def q_backtest_sweep(ctx: Context) -> DataFrame:
+    import datetime as dt
+
+    cuts = [ctx.cfg.cut_date + dt.timedelta(days=d) for d in BACKTEST_CUTS_OFFSETS_DAYS]
+    return rk.backtest_sweep(ctx, cuts)
+
+
+# ---------------------------------------------------------------- recommender E6-E8, M2
+@query("adoption_gap")
+def q_adoption_gap(ctx: Context) -> DataFrame:
+    return rc.adoption_gap(ctx.priority, ctx.roles.usage, ctx.cfg).drop("_gap100")
+
+
+@query("recommend_features")
+def q_recommend_features(ctx: Context) -> DataFrame:
+    return ctx.recommendations
+
+
+@query("recommend_counts")
+def q_recommend_counts(ctx: Context) -> DataFrame:
+    return rc.recommend_counts(ctx.recommendations)
+
+
+@query("breadth_gap_threshold")
+def q_breadth_gap_threshold(ctx: Context) -> DataFrame:
+    return rc.breadth_gap_threshold(ctx.priority, ctx.roles.usage)
+
+
+# ---------------------------------------------------------------- marts E9, E10, M7
+@query("account_mart")
+def q_account_mart(ctx: Context) -> DataFrame:
+    return mt.account_mart(ctx.state, ctx.metrics, ctx.signals, ctx.scores, ctx.priority)
+
+
+@query("monthly_flow")
+def q_monthly_flow(ctx: Context) -> DataFrame:
+    return mt.monthly_flow(ctx.roles.accounts, ctx.state)
+
+
+@query("value_cumulative")
+def q_value_cumulative(ctx: Context) -> DataFrame:
+    return mt.value_cumulative(dg.value_concentration(ctx))
+
+
+# ---------------------------------------------------------------- prose methods M1, M3, M4, M6
+QUERIES["signal_significance"] = ex.signal_significance
+QUERIES["own_baseline_trend"] = ex.own_baseline_trend
+QUERIES["breadth_normalised"] = ex.breadth_normalised
+QUERIES["seat_mismatch"] = ex.seat_mismatch

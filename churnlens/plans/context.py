@@ -25,6 +25,10 @@ class Context:
     def from_testdata(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA_CONFIG) -> "Context":
         return cls(testdata_roles(spark, sf_dir, cfg), cfg)
 
+    def _materialize(self, df: DataFrame) -> DataFrame:
+        """Checkpoint an account-sized frame (reliable checkpoint: shared folder, lineage cut)."""
+        return df.checkpoint(eager=True) if self.cfg.materialize else df
+
     @cached_property
     def state(self) -> DataFrame:
         return st.churn_state(self.roles.accounts, self.roles.churn_events)
@@ -36,3 +40,28 @@ class Context:
     @cached_property
     def metrics(self) -> DataFrame:
         return st.account_metrics(self.roles, self.state, self.cfg)
+
+    # ------------------------------------------------------------ early warning
+    @cached_property
+    def signals(self) -> DataFrame:
+        from .risk import live_at_close, risk_signals
+
+        return self._materialize(risk_signals(self, live_at_close(self), self.cfg.close_date))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        from .risk import risk_scores
+
+        return self._materialize(risk_scores(self.signals, self.cfg))
+
+    @cached_property
+    def priority(self) -> DataFrame:
+        from .risk import priority_portfolio
+
+        return self._materialize(priority_portfolio(self.scores, self.metrics, self.cfg))
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        from .recommend import recommend_features
+
+        return recommend_features(self.priority, self.roles.usage, self.cfg)
