@@ -167,3 +167,71 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def global_cumsum(
+    df: DataFrame,
+    key_cols: Sequence[str],
+    weight_col: str,
+    out: str = "cum_before",
+    rows_per_bucket: int = 1_000_000,
+    seed: int = 23,
+) -> DataFrame:
+    """Add ``out`` = sum of ``weight_col`` over all rows strictly before each row in the order of
+    ``key_cols`` (ascending; the key must be unique and non-NULL).
+
+    Same range-bucket scheme as :func:`global_index`: bucket totals are
+    summed into offsets (B rows, broadcast), and a running sum inside each
+    bucket completes the prefix.
+    """
+    key = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(key_cols)])
+    key_type = df.select(key.alias("_k")).schema["_k"].dataType
+    n_est = df.count()
+    n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
+    splits = []
+    if n_buckets > 1:
+        frac = min(1.0, SAMPLES_PER_BUCKET * n_buckets / max(1, n_est))
+        sample = df.sample(False, frac, seed).select(key.alias("k")).collect()
+        splits = _choose_splits([tuple(r["k"]) for r in sample], n_buckets)
+    b = df.withColumn("_b", _bucket_expr(key, splits, key_type) if splits else F.lit(0))
+    totals = b.groupBy("_b").agg(F.sum(weight_col).alias("_w"))
+    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_w").over(running), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_b").orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        b.join(F.broadcast(offsets), "_b")
+        .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
+        .drop("_b", "_off")
+    )
+
+
+def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float],
+                    rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact quantiles with linear interpolation (``quantile_cont`` / pandas default) per group.
+
+    Values are first reduced to (group, value, count) - a shuffle that shrinks
+    with repeated values - then ranked with :func:`global_cumsum`.  Each
+    quantile position ``p * (n - 1)`` is located by a join on the group with a
+    range condition (one row per group and probability on the small side).
+    No group is ever gathered into one task.  Output: (group, p, quantile).
+    """
+    vc = df.where(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = global_cumsum(vc, [group_col, value_col], "_w", "_before", rows_per_bucket)
+    ranked = ranked.join(
+        F.broadcast(ranked.groupBy(group_col).agg(F.min("_before").alias("_start"))), group_col
+    ).select(group_col, value_col, (F.col("_before") - F.col("_start")).alias("_lo_idx"),
+             (F.col("_before") - F.col("_start") + F.col("_w")).alias("_hi_idx"))
+    sizes = vc.groupBy(group_col).agg(F.sum("_w").alias("_n"))
+    targets = sizes.select(group_col, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).select(
+        group_col, "p", (F.col("p") * (F.col("_n") - 1)).alias("_pos")
+    ).select(group_col, "p", "_pos", F.floor("_pos").alias("_flo"), F.ceil("_pos").alias("_cei"))
+    hit_lo = (F.col("_lo_idx") <= F.col("_flo")) & (F.col("_flo") < F.col("_hi_idx"))
+    hit_hi = (F.col("_lo_idx") <= F.col("_cei")) & (F.col("_cei") < F.col("_hi_idx"))
+    v = F.col(value_col).cast("double")
+    found = F.broadcast(targets).join(ranked, group_col).where(hit_lo | hit_hi).groupBy(group_col, "p", "_pos", "_flo").agg(
+        F.max(F.when(hit_lo, v)).alias("_vlo"), F.max(F.when(hit_hi, v)).alias("_vhi")
+    )
+    return found.select(
+        group_col, "p",
+        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_flo"))).alias("quantile"),
+    )

@@ -147,3 +147,15 @@ QUERIES["signal_significance"] = ex.signal_significance
 QUERIES["own_baseline_trend"] = ex.own_baseline_trend
 QUERIES["breadth_normalised"] = ex.breadth_normalised
 QUERIES["seat_mismatch"] = ex.seat_mismatch
+
+
+# ---------------------------------------------------------------- quality pack Q1-Q19, S5, J7
+from . import checks as ck  # noqa: E402
+
+for _name in (
+    "profile_schema", "null_counts", "profile_numeric", "profile_text", "profile_dates", "profile_flags",
+    "duplicate_rows", "key_uniqueness", "fk_orphans", "domain_violations", "distinct_values", "subs_without_usage",
+    "trial_revenue_check", "flag_discrepancy", "base_counts", "post_churn_activity", "view_counts", "missing_value",
+    "ever_churned_rate", "churn_source_sets", "load_reconcile",
+):
+    QUERIES[_name] = getattr(ck, _name)

@@ -17,13 +17,17 @@ from . import state as st
 
 
 class Context:
-    def __init__(self, roles: Roles, cfg: ChurnConfig):
+    def __init__(self, roles: Roles, cfg: ChurnConfig, sources: dict[str, DataFrame] | None = None):
         self.roles = roles
         self.cfg = cfg
+        self.sources = sources  # raw tables the roles were derived from (for load reconciliation)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA_CONFIG) -> "Context":
-        return cls(testdata_roles(spark, sf_dir, cfg), cfg)
+        from ..sources.roles import read_table
+
+        sources = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
+        return cls(testdata_roles(spark, sf_dir, cfg), cfg, sources)
 
     def _materialize(self, df: DataFrame) -> DataFrame:
         """Checkpoint an account-sized frame (reliable checkpoint: shared folder, lineage cut)."""

@@ -169,3 +169,21 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
         (F.col("l_tax") >= 0.07).alias("escalation_flag"),
     )
     return Roles(accounts, subscriptions, usage, churn_events, tickets)
+
+
+def expected_counts(sources: dict[str, DataFrame], cfg: ChurnConfig = TESTDATA_CONFIG) -> dict[str, Column]:
+    """Rows each role should hold, counted on the source selection it is built from (scalar Columns)."""
+    end = _day_after(cfg.close_date)
+    orders, lineitem = sources["orders"], sources["lineitem"]
+
+    def n(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
+    return {
+        "accounts": n(sources["customer"]),
+        "subscriptions": n(orders.where(F.col("o_orderdate") < end)),
+        "usage": n(lineitem.where(F.col("l_shipdate") < end)),
+        "churn_events": n(orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
+                                       & (F.col("o_orderdate") < end))),
+        "tickets": n(lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") < end))),
+    }
