@@ -48,38 +48,60 @@ def _long_values(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.expr(f"stack({len(cols)}, {body}) as (column_name, value)"))
 
 
-def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Q2 - count, mean, sample std, min, exact quartiles (linear interpolation), max per numeric column."""
-    long = _long_values(df, cols, "double")
-    moments = long.groupBy("column_name").agg(
+def _long_many(tables, cast: str, day: bool = False) -> DataFrame:
+    """(table_name, column_name, value) rows for several tables at once (one union, one pass later)."""
+    frames = []
+    for table, df, cols in tables:
+        expr = "cast(unix_date(cast(`{c}` as date)) as double)" if day else f"cast(`{{c}}` as {cast})"
+        body = ", ".join(f"'{c}', " + expr.format(c=c) for c in cols)
+        frames.append(df.select(F.lit(table).alias("table_name"),
+                                F.expr(f"stack({len(cols)}, {body}) as (column_name, value)")))
+    return _union(frames)
+
+
+def _quartiles(long: DataFrame, names: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    keyed = long.withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
+    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], rows_per_bucket)
+    return q.groupBy("_g").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)]
+    )
+
+
+def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Q2 for several (table, df, columns) at once: count, mean, sample std, min, exact quartiles
+    (linear interpolation), max.  All columns of all tables share one quantile computation."""
+    long = _long_many(tables, "double")
+    moments = long.groupBy("table_name", "column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    q = exact_quantiles(long, "column_name", "value", [0.25, 0.5, 0.75], rows_per_bucket)
-    qw = q.groupBy("column_name").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("p25"),
-        F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("p50"),
-        F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("p75"),
-    )
-    return moments.join(qw, "column_name", "left").select(
-        F.lit(table).alias("table_name"), "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
+    qw = _quartiles(long, ("p25", "p50", "p75"), rows_per_bucket)
+    return moments.join(qw, "_g", "left").select(
+        "table_name", "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
-def profile_dates(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Q4 - count, min, exact quartiles and max of date/timestamp columns, as days since 1970-01-01."""
-    body = ", ".join(f"'{c}', cast(unix_date(cast(`{c}` as date)) as double)" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {body}) as (column_name, value)"))
-    base = long.groupBy("column_name").agg(
+def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Q2 - numeric describe of one table."""
+    return profile_numeric_many([(table, df, cols)], rows_per_bucket)
+
+
+def profile_dates_many(tables, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Q4 for several tables: count, min, exact quartiles and max of date/timestamp columns,
+    as days since 1970-01-01."""
+    long = _long_many(tables, "double", day=True)
+    base = long.groupBy("table_name", "column_name").agg(
         F.count("value").alias("count"), F.min("value").alias("min_day"), F.max("value").alias("max_day")
+    ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
+    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), rows_per_bucket)
+    return base.join(qw, "_g", "left").select(
+        "table_name", "column_name", "count", "min_day", "p25_day", "p50_day", "p75_day", "max_day"
     )
-    q = exact_quantiles(long, "column_name", "value", [0.25, 0.5, 0.75], rows_per_bucket)
-    qw = q.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25_day"), (0.5, "p50_day"), (0.75, "p75_day"))]
-    )
-    return base.join(qw, "column_name", "left").select(
-        F.lit(table).alias("table_name"), "column_name", "count", "min_day", "p25_day", "p50_day", "p75_day", "max_day"
-    )
+
+
+def profile_dates(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Q4 - date describe of one table."""
+    return profile_dates_many([(table, df, cols)], rows_per_bucket)
 
 
 def profile_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:

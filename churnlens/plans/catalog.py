@@ -108,7 +108,7 @@ def q_backtest_sweep(ctx: Context) -> DataFrame:
 # ---------------------------------------------------------------- recommender E6-E8, M2
 @query("adoption_gap")
 def q_adoption_gap(ctx: Context) -> DataFrame:
-    return rc.adoption_gap(ctx.priority, ctx.roles.usage, ctx.cfg).drop("_gap100")
+    return rc.adoption_gap(ctx.priority, ctx.used_features, ctx.cfg).drop("_gap100")
 
 
 @query("recommend_features")
@@ -123,7 +123,7 @@ def q_recommend_counts(ctx: Context) -> DataFrame:
 
 @query("breadth_gap_threshold")
 def q_breadth_gap_threshold(ctx: Context) -> DataFrame:
-    return rc.breadth_gap_threshold(ctx.priority, ctx.roles.usage)
+    return rc.breadth_gap_threshold(ctx.priority, ctx.used_features)
 
 
 # ---------------------------------------------------------------- marts E9, E10, M7

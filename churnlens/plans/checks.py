@@ -69,7 +69,7 @@ def null_counts(ctx: Context) -> DataFrame:
 
 def profile_numeric(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return _union([qa.profile_numeric(t[n], n, cols, ctx.cfg.ntile_rows_per_bucket) for n, cols in NUMERIC.items()])
+    return qa.profile_numeric_many([(n, t[n], cols) for n, cols in NUMERIC.items()], ctx.cfg.ntile_rows_per_bucket)
 
 
 def profile_text(ctx: Context) -> DataFrame:
@@ -79,7 +79,7 @@ def profile_text(ctx: Context) -> DataFrame:
 
 def profile_dates(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return _union([qa.profile_dates(t[n], n, cols, ctx.cfg.ntile_rows_per_bucket) for n, cols in DATES.items()])
+    return qa.profile_dates_many([(n, t[n], cols) for n, cols in DATES.items()], ctx.cfg.ntile_rows_per_bucket)
 
 
 def profile_flags(ctx: Context) -> DataFrame:

@@ -64,8 +64,16 @@ class Context:
 
         return self._materialize(priority_portfolio(self.scores, self.metrics, self.cfg))
 
+    @cached_property
+    def used_features(self) -> DataFrame:
+        """Distinct (account, feature) pairs ever used - shared by the adoption gap, the
+        breadth threshold and the recommender."""
+        from .recommend import used_features
+
+        return self._materialize(used_features(self.roles.usage))
+
     @cached_property
     def recommendations(self) -> DataFrame:
         from .recommend import recommend_features
 
-        return recommend_features(self.priority, self.roles.usage, self.cfg)
+        return recommend_features(self.priority, self.used_features, self.cfg)

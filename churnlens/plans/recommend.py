@@ -40,7 +40,7 @@ def pct_hundredths(num, den):
     return F.floor(F.try_divide(n * 20000 + d, d * 2)).cast("long")
 
 
-def adoption_gap(priority: DataFrame, usage: DataFrame, cfg: ChurnConfig, all_features: bool = False) -> DataFrame:
+def adoption_gap(priority: DataFrame, used: DataFrame, cfg: ChurnConfig, all_features: bool = False) -> DataFrame:
     """E6 - per feature: % of healthy (Low risk) and of at-risk accounts of the portfolio that ever used it.
 
     Percentages are rounded to 2 decimals before the gap is tested against
@@ -52,8 +52,8 @@ def adoption_gap(priority: DataFrame, usage: DataFrame, cfg: ChurnConfig, all_fe
         F.count(F.when(healthy, 1)).alias("n_healthy"), F.count(F.when(~healthy, 1)).alias("n_risk")
     )
     n_h, n_r = sizes.select("n_healthy").scalar(), sizes.select("n_risk").scalar()
-    used = used_features(usage).join(priority.select("account_id", "risk_level"), "account_id")
-    per = used.groupBy("feature_name").agg(
+    used_p = used.join(priority.select("account_id", "risk_level"), "account_id")
+    per = used_p.groupBy("feature_name").agg(
         F.count(F.when(healthy, 1)).alias("_h"), F.count(F.when(~healthy, 1)).alias("_r")
     )
     per = per.select(
@@ -63,7 +63,7 @@ def adoption_gap(priority: DataFrame, usage: DataFrame, cfg: ChurnConfig, all_fe
     )
     if not all_features:
         if cfg.gap_threshold is None:
-            thr = breadth_gap_threshold(priority, usage).select("threshold").scalar()
+            thr = breadth_gap_threshold(priority, used).select("threshold").scalar()
             per = per.where(F.col("_h100") - F.col("_r100") > thr * 100)
         else:
             per = per.where(F.col("_h100") - F.col("_r100") > int(round(cfg.gap_threshold * 100)))
@@ -76,17 +76,16 @@ def adoption_gap(priority: DataFrame, usage: DataFrame, cfg: ChurnConfig, all_fe
     )
 
 
-def recommend_features(priority: DataFrame, usage: DataFrame, cfg: ChurnConfig) -> DataFrame:
+def recommend_features(priority: DataFrame, used: DataFrame, cfg: ChurnConfig) -> DataFrame:
     """E7 - for accounts with an action: up to ``top_k`` eligible features they never used,
-    ordered by gap DESC then name; rank 1..k."""
-    gaps = adoption_gap(priority, usage, cfg)
+    ordered by gap DESC then name; rank 1..k.  ``used`` = :func:`used_features`."""
+    gaps = adoption_gap(priority, used, cfg)
     # Eligible features are a handful of catalogue entries: a global rank over them is tiny.
     ranked = gaps.select(
         "feature_name", "adoption_healthy",
         F.row_number().over(Window.orderBy(F.col("_gap100").desc(), F.col("feature_name"))).alias("_r"),
     )
     targets = priority.where(F.col("action") != NO_ACTION).select("account_id", "risk_level", "arr", "action")
-    used = used_features(usage)
     used_eligible = used.join(ranked.select("feature_name"), "feature_name")
     u = used_eligible.groupBy("account_id").agg(F.count(F.lit(1)).alias("_u"))
     n_feat = ranked.agg(F.count(F.lit(1))).scalar()
@@ -108,9 +107,10 @@ def recommend_counts(recs: DataFrame) -> DataFrame:
     return recs.groupBy("feature_name").agg(F.countDistinct("account_id").alias("accounts"))
 
 
-def breadth_gap_threshold(priority: DataFrame, usage: DataFrame) -> DataFrame:
-    """M2 - the gap threshold explained: (mean breadth healthy - mean breadth at risk) / features * 100."""
-    used = used_features(usage)
+def breadth_gap_threshold(priority: DataFrame, used: DataFrame) -> DataFrame:
+    """M2 - the gap threshold explained: (mean breadth healthy - mean breadth at risk) / features * 100.
+
+    ``used`` = :func:`used_features`."""
     breadth = used.groupBy("account_id").agg(F.count(F.lit(1)).alias("_b"))
     n_features = used.select("feature_name").distinct().agg(F.count(F.lit(1))).scalar()
     per = priority.select("account_id", "risk_level").join(breadth, "account_id", "left").withColumn(
