@@ -52,6 +52,19 @@ def pct(num, den) -> Column:
     return ratio(num, den) * 100
 
 
+def share_of_groups(c, *within) -> Column:
+    """``c`` as % of its total over the grouped rows (optionally within ``within`` groups).
+
+    Applied after a ``groupBy``: the window runs over the handful of group
+    rows, so the base is read once (a scalar subquery would re-run the whole
+    upstream plan for the total).  Decimal sums stay exact until the division.
+    """
+    from pyspark.sql import Window
+
+    x = col(c)
+    return pct(x, F.sum(x).over(Window.partitionBy(*within)))
+
+
 def month_label(c, first_day: bool = False) -> Column:
     """'yyyy-MM' (or 'yyyy-MM-01') text label of a date."""
     return F.date_format(col(c), "yyyy-MM-01" if first_day else "yyyy-MM")

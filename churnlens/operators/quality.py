@@ -59,15 +59,15 @@ def _long_many(tables, cast: str, day: bool = False) -> DataFrame:
     return _union(frames)
 
 
-def _quartiles(long: DataFrame, names: Sequence[str], rows_per_bucket: int) -> DataFrame:
+def _quartiles(long: DataFrame, names: Sequence[str], rows_per_bucket: int, checkpoint: bool = False) -> DataFrame:
     keyed = long.withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], rows_per_bucket)
+    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], rows_per_bucket, checkpoint=checkpoint)
     return q.groupBy("_g").agg(
         *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)]
     )
 
 
-def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
     """Q2 for several (table, df, columns) at once: count, mean, sample std, min, exact quartiles
     (linear interpolation), max.  All columns of all tables share one quantile computation."""
     long = _long_many(tables, "double")
@@ -75,7 +75,7 @@ def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25", "p50", "p75"), rows_per_bucket)
+    qw = _quartiles(long, ("p25", "p50", "p75"), rows_per_bucket, checkpoint)
     return moments.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
@@ -86,14 +86,14 @@ def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], rows_per_buc
     return profile_numeric_many([(table, df, cols)], rows_per_bucket)
 
 
-def profile_dates_many(tables, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def profile_dates_many(tables, rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
     """Q4 for several tables: count, min, exact quartiles and max of date/timestamp columns,
     as days since 1970-01-01."""
     long = _long_many(tables, "double", day=True)
     base = long.groupBy("table_name", "column_name").agg(
         F.count("value").alias("count"), F.min("value").alias("min_day"), F.max("value").alias("max_day")
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), rows_per_bucket)
+    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), rows_per_bucket, checkpoint)
     return base.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "min_day", "p25_day", "p50_day", "p75_day", "max_day"
     )

@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SAMPLES_PER_BUCKET = 64
 
 
@@ -94,7 +96,7 @@ def global_index(
     pass read it instead of recomputing an expensive upstream plan.
     """
     if checkpoint:
-        df = df.checkpoint(eager=True)
+        df = materialize(df)
     n_est = df.count()
     n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
     sample = []
@@ -103,11 +105,22 @@ def global_index(
         cols = [F.struct(*_order_fields(s, id_col)).alias(name) for name, s in specs.items()]
         sample = df.sample(False, frac, seed).select(*cols).collect()
 
+    if n_buckets == 1:
+        # At most rows_per_bucket rows: one ordered task is the cheapest exact plan,
+        # and its size is bounded by construction.
+        out = df
+        for name, spec in specs.items():
+            w = Window.orderBy(*_order_fields(spec, id_col))
+            out = out.withColumn(name, F.row_number().over(w) - 1).withColumn(
+                f"{name}_n", F.count(F.lit(1)).over(Window.partitionBy())
+            )
+        return out
+
     base = df
     for name, spec in specs.items():
         key = F.struct(*_order_fields(spec, id_col))
         key_type = df.select(key.alias("_k")).schema["_k"].dataType
-        splits = _choose_splits([tuple(r[name]) for r in sample], n_buckets) if sample else []
+        splits = _choose_splits([tuple(r[name]) for r in sample], n_buckets)
         base = base.withColumn(f"_b_{name}", _bucket_expr(key, splits, key_type) if splits else F.lit(0))
 
     out = base
@@ -193,7 +206,10 @@ def global_cumsum(
         frac = min(1.0, SAMPLES_PER_BUCKET * n_buckets / max(1, n_est))
         sample = df.sample(False, frac, seed).select(key.alias("k")).collect()
         splits = _choose_splits([tuple(r["k"]) for r in sample], n_buckets)
-    b = df.withColumn("_b", _bucket_expr(key, splits, key_type) if splits else F.lit(0))
+    if not splits:
+        w1 = Window.orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight_col).over(w1), F.lit(0)))
+    b = df.withColumn("_b", _bucket_expr(key, splits, key_type))
     totals = b.groupBy("_b").agg(F.sum(weight_col).alias("_w"))
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_w").over(running), F.lit(0)).alias("_off"))
@@ -206,7 +222,7 @@ def global_cumsum(
 
 
 def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float],
-                    rows_per_bucket: int = 1_000_000) -> DataFrame:
+                    rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (``quantile_cont`` / pandas default) per group.
 
     Values are first reduced to (group, value, count) - a shuffle that shrinks
@@ -216,6 +232,9 @@ def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequen
     No group is ever gathered into one task.  Output: (group, p, quantile).
     """
     vc = df.where(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_w"))
+    if checkpoint:
+        # (group, value, count) is far smaller than the input; the ranking below reads it several times.
+        vc = materialize(vc)
     ranked = global_cumsum(vc, [group_col, value_col], "_w", "_before", rows_per_bucket)
     ranked = ranked.join(
         F.broadcast(ranked.groupBy(group_col).agg(F.min("_before").alias("_start"))), group_col

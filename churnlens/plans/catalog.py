@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import pct
+from ..functions.expr import share_of_groups
 from .context import Context
 
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {}
@@ -33,9 +33,8 @@ def q_churn_state(ctx: Context) -> DataFrame:
 @query("churn_rate")
 def q_churn_rate(ctx: Context) -> DataFrame:
     """Q17 - accounts per final state and their share of all accounts."""
-    total = ctx.state.agg(F.count(F.lit(1))).scalar()
     return ctx.state.groupBy("is_churned").agg(F.count(F.lit(1)).alias("accounts")).select(
-        "is_churned", "accounts", pct("accounts", total).alias("pct")
+        "is_churned", "accounts", share_of_groups("accounts").alias("pct")
     )
 
 
@@ -129,7 +128,7 @@ def q_breadth_gap_threshold(ctx: Context) -> DataFrame:
 # ---------------------------------------------------------------- marts E9, E10, M7
 @query("account_mart")
 def q_account_mart(ctx: Context) -> DataFrame:
-    return mt.account_mart(ctx.state, ctx.metrics, ctx.signals, ctx.scores, ctx.priority)
+    return mt.account_mart(ctx.state, ctx.value, ctx.signals, ctx.scores, ctx.priority)
 
 
 @query("monthly_flow")

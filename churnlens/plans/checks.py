@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import first_match, pct
+from ..functions.expr import first_match, pct, share_of_groups
 from ..operators import quality as qa
 from ..sources.schemas import CONTRACTS
 from .context import Context
@@ -69,7 +69,8 @@ def null_counts(ctx: Context) -> DataFrame:
 
 def profile_numeric(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return qa.profile_numeric_many([(n, t[n], cols) for n, cols in NUMERIC.items()], ctx.cfg.ntile_rows_per_bucket)
+    return qa.profile_numeric_many([(n, t[n], cols) for n, cols in NUMERIC.items()], ctx.cfg.ntile_rows_per_bucket,
+                                   checkpoint=ctx.cfg.materialize)
 
 
 def profile_text(ctx: Context) -> DataFrame:
@@ -79,7 +80,8 @@ def profile_text(ctx: Context) -> DataFrame:
 
 def profile_dates(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return qa.profile_dates_many([(n, t[n], cols) for n, cols in DATES.items()], ctx.cfg.ntile_rows_per_bucket)
+    return qa.profile_dates_many([(n, t[n], cols) for n, cols in DATES.items()], ctx.cfg.ntile_rows_per_bucket,
+                                 checkpoint=ctx.cfg.materialize)
 
 
 def profile_flags(ctx: Context) -> DataFrame:
@@ -137,9 +139,8 @@ def flag_discrepancy(ctx: Context) -> DataFrame:
     s, f = F.col("is_churned"), F.col("source_churn_flag")
     a, b, c, d = FLAG_CLASSES
     cls = first_match([((s == 1) & (f == 1), a), ((s == 0) & (f == 0), b), ((s == 1) & (f == 0), c)], d)
-    total = ctx.state.agg(F.count(F.lit(1))).scalar()
     return ctx.state.groupBy(cls.alias("check_class")).agg(F.count(F.lit(1)).alias("accounts")).withColumn(
-        "pct", pct("accounts", total)
+        "pct", share_of_groups("accounts")
     )
 
 
@@ -169,7 +170,7 @@ def view_counts(ctx: Context) -> DataFrame:
 
 def missing_value(ctx: Context) -> DataFrame:
     """Q18 - accounts without value at their reference, per final state."""
-    df = ctx.state.select("account_id", "is_churned").join(ctx.metrics.select("account_id", "arr"), "account_id")
+    df = ctx.state.select("account_id", "is_churned").join(ctx.value.select("account_id", "arr"), "account_id")
     return df.groupBy("is_churned").agg(
         F.count(F.lit(1)).alias("accounts"), F.count(F.when(F.col("arr").isNull(), 1)).alias("no_value")
     )

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import TESTDATA_CONFIG, ChurnConfig
+from ..session import materialize
 from ..sources.roles import Roles, testdata_roles
 from . import state as st
 
@@ -29,9 +30,12 @@ class Context:
         sources = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
         return cls(testdata_roles(spark, sf_dir, cfg), cfg, sources)
 
-    def _materialize(self, df: DataFrame) -> DataFrame:
-        """Checkpoint an account-sized frame (reliable checkpoint: shared folder, lineage cut)."""
-        return df.checkpoint(eager=True) if self.cfg.materialize else df
+    def materialize(self, df: DataFrame) -> DataFrame:
+        """Write an account-sized frame that several consumers read to a parquet table in
+        the session checkpoint folder: lineage cut, survives executor loss)."""
+        return materialize(df) if self.cfg.materialize else df
+
+    _materialize = materialize
 
     @cached_property
     def state(self) -> DataFrame:
@@ -41,6 +45,13 @@ class Context:
     def refs(self) -> DataFrame:
         return st.reference_dates(self.state, self.cfg)
 
+    @cached_property
+    def value(self) -> DataFrame:
+        """(account_id, mrr, arr) at each account's value date, every account kept - for consumers
+        that need the value only (no all-time usage scan)."""
+        v = st.value_at_ref(self.refs, self.roles.subscriptions)
+        return self.roles.accounts.select("account_id").join(v, "account_id", "left")
+
     @cached_property
     def metrics(self) -> DataFrame:
         return st.account_metrics(self.roles, self.state, self.cfg)
@@ -62,7 +73,7 @@ class Context:
     def priority(self) -> DataFrame:
         from .risk import priority_portfolio
 
-        return self._materialize(priority_portfolio(self.scores, self.metrics, self.cfg))
+        return self._materialize(priority_portfolio(self.scores, self.value, self.cfg))
 
     @cached_property
     def used_features(self) -> DataFrame:

@@ -2,9 +2,9 @@
 stated-vs-observed behaviour, pre-churn signals, acquisition channel (C1-C15).
 
 Outputs are unrounded (doubles); rounding is a presentation step
-(:func:`churnlens.functions.expr.round_half_up`).  Shares use scalar
-subqueries (``DataFrame.scalar()``): the total runs once and is inlined as a
-literal, with no single-partition window over the grouped rows.
+(:func:`churnlens.functions.expr.round_half_up`).  Shares of a total are
+computed over the grouped rows (:func:`share_of_groups`), so the base is
+read once; money stays decimal (exact) until the final division.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import REASON_FAMILY_OTHER, ChurnConfig
-from ..functions.expr import first_match, flag, lit_date, month_label, pct, ratio
+from ..functions.expr import first_match, flag, lit_date, month_label, pct, ratio, share_of_groups
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import daily_rollup, trailing_window_agg
 from .context import Context
@@ -108,11 +108,10 @@ def lifetime_band(days: Column, cuts) -> Column:
 def lifetime_bands(ctx: Context) -> DataFrame:
     """C3b - churned accounts per lifetime band and share of all churned."""
     lt = _lifetimes(ctx)
-    total = _churned(ctx).agg(F.count(F.lit(1))).scalar()
     return (
         lt.groupBy(lifetime_band(F.col("days"), ctx.cfg.lifetime_cuts).alias("lifetime_band"))
         .agg(F.count(F.lit(1)).alias("accounts"))
-        .withColumn("pct", pct("accounts", total))
+        .withColumn("pct", share_of_groups("accounts"))
     )
 
 
@@ -133,7 +132,7 @@ def refund_cost(ctx: Context) -> DataFrame:
 
 def revenue_churn(ctx: Context) -> DataFrame:
     """C5 - ARR lost (value at the churn reference), ARR live, lost share, churned accounts without value."""
-    df = ctx.state.select("account_id", "is_churned").join(ctx.metrics.select("account_id", "arr"), "account_id")
+    df = ctx.state.select("account_id", "is_churned").join(ctx.value.select("account_id", "arr"), "account_id")
     churned = F.col("is_churned") == 1
     agg = df.agg(
         F.sum("is_churned").cast("long").alias("churned"),
@@ -183,46 +182,46 @@ def seat_band_churn(ctx: Context) -> DataFrame:
 def value_concentration(ctx: Context) -> DataFrame:
     """C7 - ARR deciles (1 = highest): accounts, ARR, ARR share, churned, churn %, share of lost ARR."""
     df = (
-        ctx.metrics.where(F.col("arr").isNotNull())
+        ctx.value.where(F.col("arr").isNotNull())
         .select("account_id", "arr")
         .join(ctx.state.select("account_id", "is_churned"), "account_id")
     )
+    df = ctx.materialize(df)
     tiles = distributed_ntile(df, 10, {"decile": OrderSpec("arr", descending=True)}, "account_id",
                               ctx.cfg.ntile_rows_per_bucket)
     lost = F.when(F.col("is_churned") == 1, F.col("arr"))
-    total_arr = df.agg(dsum("arr")).scalar()
-    total_lost = df.agg(dsum(lost)).scalar()
-    return tiles.groupBy("decile").agg(
+    per = tiles.groupBy("decile").agg(
         F.count(F.lit(1)).alias("accounts"),
-        dsum("arr").alias("arr"),
-        pct(dsum("arr"), total_arr).alias("arr_pct"),
+        F.sum("arr").alias("_arr"),
         F.sum("is_churned").cast("long").alias("churned"),
         (F.avg("is_churned") * 100).alias("churn_pct"),
-        pct(dsum(lost), total_lost).alias("lost_pct"),
+        F.sum(lost).alias("_lost"),
+    )
+    return per.select(
+        "decile", "accounts", F.col("_arr").cast("double").alias("arr"), share_of_groups("_arr").alias("arr_pct"),
+        "churned", "churn_pct", share_of_groups("_lost").alias("lost_pct"),
     )
 
 
 # ---------------------------------------------------------------- Q3 causes
 def reason_share(ctx: Context) -> DataFrame:
     """C8 - churned accounts per reason and share."""
-    ch = _churned(ctx)
-    total = ch.agg(F.count(F.lit(1))).scalar()
-    return ch.groupBy("churn_reason").agg(F.count(F.lit(1)).alias("churned")).withColumn(
-        "pct", pct("churned", total)
+    return _churned(ctx).groupBy("churn_reason").agg(F.count(F.lit(1)).alias("churned")).withColumn(
+        "pct", share_of_groups("churned")
     )
 
 
 def reason_cost(ctx: Context) -> DataFrame:
     """C9 - per reason: churned, without value, share of churned, ARR lost and its share."""
-    df = _churned(ctx).select("account_id", "churn_reason").join(ctx.metrics.select("account_id", "arr"), "account_id")
-    n_total = df.agg(F.count(F.lit(1))).scalar()
-    arr_total = df.agg(dsum("arr")).scalar()
-    return df.groupBy("churn_reason").agg(
+    df = _churned(ctx).select("account_id", "churn_reason").join(ctx.value.select("account_id", "arr"), "account_id")
+    per = df.groupBy("churn_reason").agg(
         F.count(F.lit(1)).alias("churned"),
         F.count(F.when(F.col("arr").isNull(), 1)).alias("no_value"),
-        pct(F.count(F.lit(1)), n_total).alias("pct_accounts"),
-        dsum("arr").alias("arr_lost"),
-        pct(dsum("arr"), arr_total).alias("arr_lost_pct"),
+        F.sum("arr").alias("_arr"),
+    )
+    return per.select(
+        "churn_reason", "churned", "no_value", share_of_groups("churned").alias("pct_accounts"),
+        F.col("_arr").cast("double").alias("arr_lost"), share_of_groups("_arr").alias("arr_lost_pct"),
     )
 
 
@@ -375,15 +374,17 @@ def channel_risk(ctx: Context) -> DataFrame:
     df = (
         ctx.roles.accounts.select("account_id", "referral_source", "signup_date")
         .join(ctx.state.select("account_id", "is_churned", "churn_date"), "account_id")
-        .join(ctx.metrics.select("account_id", "arr"), "account_id")
+        .join(ctx.value.select("account_id", "arr"), "account_id")
     )
     lost = F.when(F.col("is_churned") == 1, F.col("arr"))
-    total_lost = df.agg(dsum(lost)).scalar()
-    return df.groupBy(F.col("referral_source").alias("channel")).agg(
+    per = df.groupBy(F.col("referral_source").alias("channel")).agg(
         F.count(F.lit(1)).alias("accounts"),
         F.sum("is_churned").cast("long").alias("churned"),
         (F.avg("is_churned") * 100).alias("churn_pct"),
         F.avg(observed_days(ctx.cfg)).alias("mean_observed_days"),
-        dsum(lost).alias("arr_lost"),
-        pct(dsum(lost), total_lost).alias("arr_lost_pct"),
+        F.sum(lost).alias("_lost"),
+    )
+    return per.select(
+        "channel", "accounts", "churned", "churn_pct", "mean_observed_days",
+        F.col("_lost").cast("double").alias("arr_lost"), share_of_groups("_lost").alias("arr_lost_pct"),
     )

@@ -48,10 +48,9 @@ def monthly_flow(accounts: DataFrame, state: DataFrame) -> DataFrame:
 def value_cumulative(concentration: DataFrame) -> DataFrame:
     """M7 - cumulative share of accounts, ARR and lost ARR from the top decile down (ten rows)."""
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
-    total_accounts = concentration.agg(F.sum("accounts")).scalar()
     return concentration.select(
         "decile",
-        pct(F.sum("accounts").over(w), total_accounts).alias("cum_accounts_pct"),
+        pct(F.sum("accounts").over(w), F.sum("accounts").over(Window.partitionBy())).alias("cum_accounts_pct"),
         F.sum("arr_pct").over(w).alias("cum_arr_pct"),
         F.sum("lost_pct").over(w).alias("cum_lost_pct"),
     )

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 from ..config import ACTION_LABELS, RISK_LABELS, ChurnConfig
 from ..operators.ranking import top_k_per_group
 
@@ -85,6 +87,9 @@ def recommend_features(priority: DataFrame, used: DataFrame, cfg: ChurnConfig) -
         "feature_name", "adoption_healthy",
         F.row_number().over(Window.orderBy(F.col("_gap100").desc(), F.col("feature_name"))).alias("_r"),
     )
+    if cfg.materialize:
+        # A few catalogue rows, read three times below: cut the nested plan once.
+        ranked = materialize(ranked)
     targets = priority.where(F.col("action") != NO_ACTION).select("account_id", "risk_level", "arr", "action")
     used_eligible = used.join(ranked.select("feature_name"), "feature_name")
     u = used_eligible.groupBy("account_id").agg(F.count(F.lit(1)).alias("_u"))

@@ -199,8 +199,8 @@ def backtest_cohort(ctx: Context, cut: dt.date) -> DataFrame:
 
 def backtest_scores(ctx: Context, cut: dt.date) -> DataFrame:
     cohort = backtest_cohort(ctx, cut)
-    signals = risk_signals(ctx, cohort.select("account_id"), cut).join(cohort, "account_id")
-    return risk_scores(signals, ctx.cfg, keep=["outcome"])
+    signals = ctx.materialize(risk_signals(ctx, cohort.select("account_id"), cut).join(cohort, "account_id"))
+    return ctx.materialize(risk_scores(signals, ctx.cfg, keep=["outcome"]))
 
 
 def backtest_lift(ctx: Context, cut: dt.date | None = None) -> DataFrame:

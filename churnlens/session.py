@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "churnlens") -> SparkSession:
@@ -43,3 +44,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a parquet table under the session's checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but in a single pass (a reliable RDD
+    checkpoint recomputes an unpersisted plan to write it), columnar, with
+    column pruning and file statistics for the readers.  The folder is the
+    shared one named by ``spark.checkpoint.dir`` on a cluster, so the table
+    survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/churnlens-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
