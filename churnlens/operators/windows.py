@@ -93,7 +93,11 @@ def window_at_date(
     ref_lit = F.lit(ref_date)
     lo_lit = F.lit(lo)
     # A date literal compared with a timestamp column means midnight, as in SQL.
-    window = facts.where((ts > lo_lit) & (ts <= ref_lit))
+    cond = (ts > lo_lit) & (ts <= ref_lit)
+    if "month" in facts.columns:
+        # Facts written month-partitioned (sources.io.write_roles): prune partitions too.
+        cond = cond & (F.col("month") >= lo.strftime("%Y-%m")) & (F.col("month") <= ref_date.strftime("%Y-%m"))
+    window = facts.where(cond)
     per_key = window.groupBy(F.col(key)).agg(*aggs)
     return entities.select(key).join(per_key, key, "left")
 

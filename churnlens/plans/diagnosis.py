@@ -324,8 +324,17 @@ def behaviour_before_churn(ctx: Context) -> DataFrame:
 
 
 def tickets_rollup(tickets: DataFrame) -> DataFrame:
-    """Tickets per (account, submission instant): exact for time-of-day window edges."""
-    return tickets.groupBy("account_id", "submitted_at").agg(
+    """Tickets rolled up to at most two rows per (account, day).
+
+    Window bounds are midnights, so within a day only "exactly at midnight"
+    versus "later that day" matters: later tickets are represented by noon of
+    their day.  Every window test against a midnight bound gives the same
+    answer as the real instant, and a hot account contributes at most two
+    rows per day to the per-account join.
+    """
+    day = F.to_date("submitted_at").cast("timestamp_ntz")
+    at = F.when(F.col("submitted_at") == day, day).otherwise(day + F.expr("INTERVAL 12 HOURS"))
+    return tickets.groupBy("account_id", at.alias("submitted_at")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("resolution_time_hours").alias("sum_hours"),
         F.sum("first_response_time_minutes").alias("sum_first_response"),

@@ -128,8 +128,9 @@ def write_roles(tables: dict[str, DataFrame], out_dir: str, mode: str = "append"
 
 
 def read_roles_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Read back roles written by :func:`write_roles` (month partitions are pruned by date filters)."""
-    return {r: spark.read.parquet(f"{folder}/{r}").drop("month") for r in LOAD_ORDER}
+    """Read back roles written by :func:`write_roles`.  Fact roles keep their ``month`` partition
+    column, which :func:`churnlens.operators.windows.window_at_date` uses for partition pruning."""
+    return {r: spark.read.parquet(f"{folder}/{r}") for r in LOAD_ORDER}
 
 
 def write_marts(marts: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> None:

@@ -122,3 +122,44 @@ def test_bands(spark, cfg):
     got = [r[0] for r in days.select(dg.lifetime_band(F.col("days"), cfg.lifetime_cuts)).collect()]
     assert got == ["a. <=30 days", "b. 31-90 days", "b. 31-90 days", "c. 91-180 days", "c. 91-180 days",
                    "d. 181-365 days", "d. 181-365 days", "e. >365 days"]
+
+
+def test_ticket_rollup_keeps_time_of_day_edges(spark, cfg):
+    # ref 2024-06-30 -> window (2024-04-01 00:00, 2024-06-30 00:00]
+    ctx = context(
+        spark, cfg,
+        accounts=[account(1)],
+        churn_events=[event(1, 1, "2024-06-30")],
+        tickets=[
+            ticket("a", 1, "2024-04-01 00:00:00", hours=100.0),  # lower bound itself: out
+            ticket("b", 1, "2024-04-01 08:00:00", hours=2.0),    # later on the lower-bound day: in
+            ticket("c", 1, "2024-04-01 23:00:00", hours=4.0),    # same day, rolled into one row: in
+            ticket("d", 1, "2024-06-30 00:00:00", hours=6.0),    # upper bound: in
+            ticket("e", 1, "2024-06-30 00:00:01", hours=100.0),  # after the upper bound: out
+        ],
+    )
+    s = by_id(dg.support_before_ref(ctx, ctx.refs, 90))
+    assert s[1]["tickets"] == 3 and s[1]["hours"] == 4.0
+    rolled = dg.tickets_rollup(ctx.roles.tickets).count()
+    assert rolled == 4  # a | b+c | d | e
+
+
+def test_window_at_date_prunes_month_partitions(spark, cfg, tmp_path):
+    from churnlens.operators.windows import window_at_date
+    from churnlens.sources import io
+    from fixtures import frame
+    from pyspark.sql import types as T
+
+    accts = frame(spark, "accounts", [account(1)])
+    subs = frame(spark, "subscriptions", [sub(1, 1, "2024-01-01")])
+    usage = frame(spark, "usage", [use(1, "2024-01-15"), use(1, "2024-12-30", count=3), use(1, "2024-10-03", count=5), use(1, "2024-10-02", count=50)])
+    io.write_roles({"accounts": accts, "subscriptions": subs, "usage": usage}, str(tmp_path), id_type=T.LongType())
+    facts = spark.read.parquet(f"{tmp_path}/usage")
+    from pyspark.sql import functions as F
+
+    out = window_at_date(accts, facts, "account_id", "usage_date", cfg.close_date, 90,
+                         [F.count(F.lit(1)).alias("n"), F.sum("usage_count").alias("s")])
+    r = out.collect()[0]
+    assert (r["n"], r["s"]) == (2, 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
