@@ -31,15 +31,16 @@ class Context:
         return cls(testdata_roles(spark, sf_dir, cfg), cfg, sources)
 
     def materialize(self, df: DataFrame) -> DataFrame:
-        """Write an account-sized frame that several consumers read to a parquet table in
-        the session checkpoint folder: lineage cut, survives executor loss)."""
+        """Write a frame that several consumers read to a parquet table in the session
+        checkpoint folder (lineage cut, survives executor loss)."""
         return materialize(df) if self.cfg.materialize else df
 
     _materialize = materialize
 
     @cached_property
     def state(self) -> DataFrame:
-        return st.churn_state(self.roles.accounts, self.roles.churn_events)
+        """One row per account; read by almost every query, so written once."""
+        return self.materialize(st.churn_state(self.roles.accounts, self.roles.churn_events))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -50,11 +51,34 @@ class Context:
         """(account_id, mrr, arr) at each account's value date, every account kept - for consumers
         that need the value only (no all-time usage scan)."""
         v = st.value_at_ref(self.refs, self.roles.subscriptions)
-        return self.roles.accounts.select("account_id").join(v, "account_id", "left")
+        return self.materialize(self.roles.accounts.select("account_id").join(v, "account_id", "left"))
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return st.account_metrics(self.roles, self.state, self.cfg)
+        return self.materialize(st.account_metrics(self.roles, self.state, self.cfg))
+
+    @cached_property
+    def usage_daily(self) -> DataFrame:
+        """Usage per (account, day): the input of every per-account-reference window."""
+        from .diagnosis import usage_daily
+
+        return self.materialize(usage_daily(self))
+
+    @cached_property
+    def tickets_daily(self) -> DataFrame:
+        """Tickets per (account, day, midnight-or-later): input of the support windows."""
+        from .diagnosis import tickets_rollup
+
+        return self.materialize(tickets_rollup(self.roles.tickets))
+
+    def backtest_scores(self, cut) -> DataFrame:
+        """Back-test scores at ``cut``, computed once per cut."""
+        cache = self.__dict__.setdefault("_backtests", {})
+        if cut not in cache:
+            from .risk import backtest_scores
+
+            cache[cut] = backtest_scores(self, cut)
+        return cache[cut]
 
     # ------------------------------------------------------------ early warning
     @cached_property

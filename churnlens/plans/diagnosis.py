@@ -299,7 +299,7 @@ def usage_before_ref(ctx: Context, refs: DataFrame, days: int, keep=("is_churned
     inside = (ts > F.date_sub(ref, days)) & (ts <= ref)
     events = F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).cast("long")
     return trailing_window_agg(
-        refs, usage_daily(ctx), "account_id", "ref_date", "usage_date", None,
+        refs, ctx.usage_daily, "account_id", "ref_date", "usage_date", None,
         [
             events.alias("events"),
             ratio(F.sum(F.when(inside, F.col("sum_usage_count"))), F.sum(F.when(inside, F.col("n")))).alias("intensity"),
@@ -359,7 +359,7 @@ def support_before_ref(ctx: Context, refs: DataFrame, days: int, keep=("is_churn
     ts, ref = F.col("submitted_at"), F.col("ref_date")
     inside = (ts > F.date_sub(ref, days)) & (ts <= ref)
     return trailing_window_agg(
-        refs, tickets_rollup(ctx.roles.tickets), "account_id", "ref_date", "submitted_at", days,
+        refs, ctx.tickets_daily, "account_id", "ref_date", "submitted_at", days,
         support_window_aggs(inside), keep=list(keep),
     )
 

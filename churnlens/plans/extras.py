@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import ratio
 from ..operators.windows import trailing_window_agg
 from .context import Context
-from .diagnosis import support_before_ref, usage_before_ref, usage_daily
+from .diagnosis import support_before_ref, usage_before_ref
 
 Z_95 = 1.96
 
@@ -72,7 +72,7 @@ def own_baseline_trend(ctx: Context, recent_days: int | None = None, base_days:
         return F.coalesce(F.sum(F.when(pred, F.col(c))), F.lit(0)).cast("long")
 
     per = trailing_window_agg(
-        ctx.refs, usage_daily(ctx), "account_id", "ref_date", "usage_date", recent + base_days,
+        ctx.refs, ctx.usage_daily, "account_id", "ref_date", "usage_date", recent + base_days,
         [
             s(in_recent, "n").alias("recent_events"),
             s(in_base, "n").alias("base_events"),

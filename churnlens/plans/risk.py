@@ -206,7 +206,7 @@ def backtest_scores(ctx: Context, cut: dt.date) -> DataFrame:
 def backtest_lift(ctx: Context, cut: dt.date | None = None) -> DataFrame:
     """E5 - per risk level at the cut: accounts, churned within the horizon, churn %, lift over the cohort rate."""
     cut = cut or ctx.cfg.cut_date
-    scores = backtest_scores(ctx, cut)
+    scores = ctx.backtest_scores(cut)
     base = scores.agg(F.avg("outcome")).scalar()
     return scores.groupBy(risk_level(F.col("total_points"), ctx.cfg).alias("risk_level")).agg(
         F.count(F.lit(1)).alias("accounts"),
