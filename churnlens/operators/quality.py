@@ -20,12 +20,6 @@ from ..sources.schemas import Contract
 from .ranking import exact_quantiles
 
 
-def _stack(pairs: Sequence[tuple[str, str]], names: str) -> str:
-    return "stack({n}, {body}) as ({names})".format(
-        n=len(pairs), body=", ".join(f"{a}, {b}" for a, b in pairs), names=names
-    )
-
-
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ACTION_LABELS, RISK_LABELS, VALUE_LABELS, ChurnConfig
-from ..functions.expr import first_match, flag, lit_date, pct, ratio
+from ..functions.expr import first_match, flag, lit_date, ratio
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import window_at_date
 from .context import Context

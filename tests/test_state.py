@@ -2,8 +2,6 @@ import datetime as dt
 
 from fixtures import account, context, event, sub, use
 
-from churnlens.plans import state as st
-
 
 def rows_by_id(df):
     return {r["account_id"]: r.asDict() for r in df.collect()}

@@ -163,3 +163,22 @@ def test_window_at_date_prunes_month_partitions(spark, cfg, tmp_path):
     assert (r["n"], r["s"]) == (2, 8)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_hot_account_is_bounded_by_days_and_exact(spark, cfg):
+    """One account holds most of the usage: the per-account join sees one row per active day,
+    and the window aggregates equal a brute-force computation over the raw rows."""
+    import random
+
+    rnd = random.Random(3)
+    days = [(dt.date(2024, 12, 31) - dt.timedelta(days=d)).isoformat() for d in range(0, 120, 7)]
+    hot = [use(1, rnd.choice(days), count=rnd.randint(0, 9), errors=rnd.randint(0, 2), uid=f"h{i}") for i in range(3000)]
+    cold = [use(a, days[a % len(days)], count=a, uid=f"c{a}") for a in range(2, 40)]
+    ctx = context(spark, cfg, accounts=[account(i) for i in range(1, 40)], usage=hot + cold)
+    rolled = ctx.usage_daily.where("account_id = 1").count()
+    assert rolled == len({u["usage_date"] for u in hot})
+    got = by_id(dg.usage_before_ref(ctx, ctx.refs, 90))[1]
+    inside = [u for u in hot if dt.date.fromisoformat(u["usage_date"]) > dt.date(2024, 10, 2)]
+    assert got["events"] == len(inside)
+    assert got["intensity"] == sum(u["usage_count"] for u in inside) / len(inside)
+    assert got["errors"] == sum(u["error_count"] for u in inside) / len(inside)
