@@ -88,6 +88,20 @@ def in_trailing_window(ts, ref, days: int) -> Column:
     return (col(ts) > F.date_sub(col(ref), days)) & (col(ts) <= col(ref))
 
 
+STABLE_DIGITS = 9
+
+
+def stable(c, digits: int = STABLE_DIGITS) -> Column:
+    """A mean/variance over doubles, reported to ``digits`` decimals.
+
+    Summing doubles depends on the order rows meet, i.e. on partitioning, so
+    the last bits of such statistics change from run to run and cluster to
+    cluster.  Nine decimals keep every meaningful digit and make the output
+    reproducible.
+    """
+    return F.round(col(c), digits)
+
+
 def round_half_up(c, scale: int) -> Column:
     """Presentation rounding (HALF_UP)."""
     return F.round(col(c), scale)

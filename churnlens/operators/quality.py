@@ -63,11 +63,23 @@ def _quartiles(long: DataFrame, names: Sequence[str], rows_per_bucket: int, chec
 
 def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
     """Q2 for several (table, df, columns) at once: count, mean, sample std, min, exact quartiles
-    (linear interpolation), max.  All columns of all tables share one quantile computation."""
+    (linear interpolation), max.  All columns of all tables share one quantile computation.
+
+    Mean and deviation come from exact decimal sums of x and x^2 (x to 9
+    decimals, x^2 to 6), so they do not depend on partitioning."""
     long = _long_many(tables, "double")
-    moments = long.groupBy("table_name", "column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    # Moments as exact decimal sums (values to 9 decimals, squares to 6): independent of the
+    # order rows are summed in, hence of partitioning; only the final formula is in double.
+    xd = F.col("value").cast("decimal(38,9)")
+    sums = long.groupBy("table_name", "column_name").agg(
+        F.count("value").alias("count"), F.sum(xd).alias("_s1"), F.sum(xd * xd).alias("_s2"),
         F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    n, s1, s2 = F.col("count"), F.col("_s1").cast("double"), F.col("_s2").cast("double")
+    var = F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))
+    moments = sums.select(
+        "table_name", "column_name", "count", (s1 / n).alias("mean"),
+        F.when(n > 1, F.sqrt(var)).alias("std"), "min", "max",
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
     qw = _quartiles(long, ("p25", "p50", "p75"), rows_per_bucket, checkpoint)
     return moments.join(qw, "_g", "left").select(

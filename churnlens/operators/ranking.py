@@ -252,5 +252,6 @@ def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequen
     )
     return found.select(
         group_col, "p",
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_flo"))).alias("quantile"),
+        # lo * (1 - d) + hi * d: exact at both ends, same rounding as quantile_cont.
+        (F.col("_vlo") * (1 - (F.col("_pos") - F.col("_flo"))) + F.col("_vhi") * (F.col("_pos") - F.col("_flo"))).alias("quantile"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import REASON_FAMILY_OTHER, ChurnConfig
-from ..functions.expr import first_match, flag, lit_date, month_label, pct, ratio, share_of_groups
+from ..functions.expr import first_match, flag, lit_date, month_label, pct, ratio, share_of_groups, stable
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import daily_rollup, trailing_window_agg
 from .context import Context
@@ -278,9 +278,9 @@ def claim_support_check(ctx: Context) -> DataFrame:
     return df.groupBy(F.when(F.col("churn_reason") == "support", 1).otherwise(0).alias("claims_support")).agg(
         F.count(F.lit(1)).alias("accounts"),
         F.avg("n_tickets").alias("mean_tickets"),
-        F.avg("hours").alias("mean_hours"),
-        F.avg("satisfaction").alias("mean_satisfaction"),
-        (F.avg("escalation_rate") * 100).alias("escalated_pct"),
+        stable(F.avg("hours")).alias("mean_hours"),
+        stable(F.avg("satisfaction")).alias("mean_satisfaction"),
+        stable(F.avg("escalation_rate") * 100).alias("escalated_pct"),
     )
 
 
@@ -317,9 +317,9 @@ def behaviour_before_churn(ctx: Context) -> DataFrame:
         F.count(F.lit(1)).alias("accounts"),
         F.count(F.when(F.col("events") == 0, 1)).alias("no_use"),
         F.avg("silence_days").alias("mean_silence_days"),
-        F.avg("intensity").alias("mean_intensity"),
+        stable(F.avg("intensity")).alias("mean_intensity"),
         F.avg("events").alias("mean_events"),
-        F.avg("errors").alias("mean_errors"),
+        stable(F.avg("errors")).alias("mean_errors"),
     )
 
 
@@ -371,10 +371,10 @@ def support_before_churn(ctx: Context) -> DataFrame:
         F.count(F.lit(1)).alias("accounts"),
         F.count(F.when(F.col("tickets") == 0, 1)).alias("no_tickets"),
         F.avg("tickets").alias("mean_tickets"),
-        F.avg("hours").alias("mean_hours"),
-        F.avg("first_response").alias("mean_first_response"),
-        F.avg("satisfaction").alias("mean_satisfaction"),
-        F.avg("escalated_pct").alias("escalated_pct"),
+        stable(F.avg("hours")).alias("mean_hours"),
+        stable(F.avg("first_response")).alias("mean_first_response"),
+        stable(F.avg("satisfaction")).alias("mean_satisfaction"),
+        stable(F.avg("escalated_pct")).alias("escalated_pct"),
     )
 
 

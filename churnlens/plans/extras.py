@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import ratio
+from ..functions.expr import ratio, stable
 from ..operators.windows import trailing_window_agg
 from .context import Context
 from .diagnosis import support_before_ref, usage_before_ref
@@ -38,11 +38,13 @@ def group_difference(per_entity: DataFrame, group_col: str, metrics: Sequence[st
         F.var_samp(F.when(g0, v)).alias("_v0"),
     )
     margin = F.lit(z) * F.sqrt(ratio("_v1", "n_1") + ratio("_v0", "n_0"))
-    return agg.select(
+    out = agg.select(
         "metric", "n_1", "mean_1", "n_0", "mean_0",
         (F.col("mean_1") - F.col("mean_0")).alias("diff"),
         margin.alias("margin"),
     ).withColumn("significant", (F.abs(F.col("diff")) > F.col("margin")).cast("int"))
+    return out.select("metric", "n_1", stable("mean_1").alias("mean_1"), "n_0", stable("mean_0").alias("mean_0"),
+                      stable("diff").alias("diff"), stable("margin").alias("margin"), "significant")
 
 
 SIGNAL_METRICS = ("events", "intensity", "errors", "silence_days", "tickets", "hours", "satisfaction", "escalated_pct")
