@@ -60,3 +60,32 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base}/churnlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for the data: shuffle partitions so that each holds about
+    ``target_partition_bytes`` (and at least two waves of tasks), file splits of the same size,
+    AQE coalescing and skew splitting around that size.
+
+    Example: 100 TB on 1000 executors x 8 cores -> 400k shuffle partitions of ~256 MB, which AQE
+    coalesces after the (much smaller) aggregated stages.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set runtime SQL options (those that can change after the session started)."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)

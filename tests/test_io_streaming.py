@@ -77,3 +77,12 @@ def test_streaming_state_equals_batch_state(spark, cfg):
     all_events = frame(spark, "churn_events", batch1 + batch2)
     want = sorted(tuple(r) for r in churn_state(accounts, all_events).collect())
     assert got == want
+
+
+def test_scale_conf_sizes_partitions():
+    from churnlens.session import scale_conf
+
+    c = scale_conf(100 * 10**12, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert scale_conf(10**6, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
