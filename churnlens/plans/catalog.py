@@ -93,6 +93,12 @@ def q_backtest_lift(ctx: Context) -> DataFrame:
     return rk.backtest_lift(ctx)
 
 
+@query("backtest_lift_as_of")
+def q_backtest_lift_as_of(ctx: Context) -> DataFrame:
+    """E5 without look-ahead: live-at-cut and outcome from as-of states."""
+    return rk.backtest_lift(ctx, state_mode="as_of")
+
+
 BACKTEST_CUTS_OFFSETS_DAYS = (0, -184)  # the cut and half a year before it
 
 

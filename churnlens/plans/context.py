@@ -71,14 +71,21 @@ class Context:
 
         return self.materialize(tickets_rollup(self.roles.tickets))
 
-    def backtest_scores(self, cut) -> DataFrame:
-        """Back-test scores at ``cut``, computed once per cut."""
+    def backtest_scores(self, cut, state_mode: str = "final") -> DataFrame:
+        """Back-test scores at ``cut``, computed once per (cut, state mode)."""
         cache = self.__dict__.setdefault("_backtests", {})
-        if cut not in cache:
+        if (cut, state_mode) not in cache:
             from .risk import backtest_scores
 
-            cache[cut] = backtest_scores(self, cut)
-        return cache[cut]
+            cache[(cut, state_mode)] = backtest_scores(self, cut, state_mode)
+        return cache[(cut, state_mode)]
+
+    def state_before(self, day) -> DataFrame:
+        """Churn state built only from the events dated before ``day`` (as-of state)."""
+        from pyspark.sql import functions as F
+
+        events = self.roles.churn_events.where(F.col("churn_date") < F.lit(day))
+        return st.churn_state(self.roles.accounts, events)
 
     # ------------------------------------------------------------ early warning
     @cached_property

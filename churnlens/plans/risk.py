@@ -178,35 +178,54 @@ def action_summary(priority: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E5 back-test
-def backtest_cohort(ctx: Context, cut: dt.date) -> DataFrame:
-    """Accounts live at ``cut`` (final state not churned, or churned on/after the cut) with
-    at least ``min_history_days`` of history; ``outcome`` = churned in [cut, cut + horizon).
+def backtest_cohort(ctx: Context, cut: dt.date, state_mode: str = "final") -> DataFrame:
+    """Accounts live at ``cut`` with at least ``min_history_days`` of history, and ``outcome``.
 
-    Uses the final state, so an account that left before the cut and came
-    back later counts as live (the source's definition, kept as is).
+    ``state_mode="final"`` (the source's definition, kept as is): live = final
+    state not churned, or churned on/after the cut; outcome = final churn date
+    in [cut, cut + horizon).  An account that left before the cut and came back
+    later counts as live - the final state looks ahead.
+
+    ``state_mode="as_of"``: no look-ahead.  Live = the state built from the
+    events dated before the cut is not churned; outcome = the state built from
+    the events dated before cut + horizon is churned, on or after the cut.
     """
     cfg = ctx.cfg
     c = lit_date(cut)
     churn = F.col("churn_date")
-    outcome = (F.col("is_churned") == 1) & (churn >= c) & (churn < F.date_add(c, cfg.horizon_days))
+    end = F.date_add(c, cfg.horizon_days)
+    history = F.col("signup_date") <= F.date_sub(c, cfg.min_history_days)
+    accounts = ctx.roles.accounts.select("account_id", "signup_date")
+    if state_mode == "final":
+        outcome = (F.col("is_churned") == 1) & (churn >= c) & (churn < end)
+        return (
+            ctx.state.select("account_id", "is_churned", "churn_date")
+            .join(accounts, "account_id")
+            .where(((F.col("is_churned") == 0) | (churn >= c)) & history)
+            .select("account_id", F.when(outcome, 1).otherwise(0).alias("outcome"))
+        )
+    if state_mode != "as_of":
+        raise ValueError(f"state_mode must be 'final' or 'as_of', not {state_mode!r}")
+    live = ctx.state_before(cut).where(F.col("is_churned") == 0).select("account_id")
+    later = ctx.state_before(cut + dt.timedelta(days=cfg.horizon_days)).select(
+        "account_id", ((F.col("is_churned") == 1) & (churn >= c)).alias("_left")
+    )
     return (
-        ctx.state.select("account_id", "is_churned", "churn_date")
-        .join(ctx.roles.accounts.select("account_id", "signup_date"), "account_id")
-        .where(((F.col("is_churned") == 0) | (churn >= c)) & (F.col("signup_date") <= F.date_sub(c, cfg.min_history_days)))
-        .select("account_id", F.when(outcome, 1).otherwise(0).alias("outcome"))
+        live.join(accounts, "account_id").where(history).join(later, "account_id")
+        .select("account_id", F.when(F.col("_left"), 1).otherwise(0).alias("outcome"))
     )
 
 
-def backtest_scores(ctx: Context, cut: dt.date) -> DataFrame:
-    cohort = backtest_cohort(ctx, cut)
+def backtest_scores(ctx: Context, cut: dt.date, state_mode: str = "final") -> DataFrame:
+    cohort = backtest_cohort(ctx, cut, state_mode)
     signals = ctx.materialize(risk_signals(ctx, cohort.select("account_id"), cut).join(cohort, "account_id"))
     return ctx.materialize(risk_scores(signals, ctx.cfg, keep=["outcome"]))
 
 
-def backtest_lift(ctx: Context, cut: dt.date | None = None) -> DataFrame:
+def backtest_lift(ctx: Context, cut: dt.date | None = None, state_mode: str = "final") -> DataFrame:
     """E5 - per risk level at the cut: accounts, churned within the horizon, churn %, lift over the cohort rate."""
     cut = cut or ctx.cfg.cut_date
-    scores = ctx.backtest_scores(cut)
+    scores = ctx.backtest_scores(cut, state_mode)
     base = scores.agg(F.avg("outcome")).scalar()
     return scores.groupBy(risk_level(F.col("total_points"), ctx.cfg).alias("risk_level")).agg(
         F.count(F.lit(1)).alias("accounts"),

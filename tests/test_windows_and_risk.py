@@ -182,3 +182,19 @@ def test_hot_account_is_bounded_by_days_and_exact(spark, cfg):
     assert got["events"] == len(inside)
     assert got["intensity"] == sum(u["usage_count"] for u in inside) / len(inside)
     assert got["errors"] == sum(u["error_count"] for u in inside) / len(inside)
+
+
+def test_backtest_as_of_has_no_look_ahead(spark, cfg):
+    cut = cfg.cut_date  # 2024-06-30
+    accts = [account(i) for i in range(1, 6)]
+    ev = [
+        event(1, 1, "2024-01-01"), event(2, 1, "2024-09-01", reactivation=True),  # left before, back later: NOT live
+        event(3, 2, "2024-07-15"),                                              # leaves inside the horizon: outcome 1
+        event(4, 3, "2024-07-15"), event(5, 3, "2024-08-01", reactivation=True),  # left and came back inside: 0
+        event(6, 4, "2024-06-29"),                                              # left the day before the cut: not live
+    ]
+    ctx = context(spark, cfg, accounts=accts, churn_events=ev)
+    final = {r["account_id"]: r["outcome"] for r in rk.backtest_cohort(ctx, cut).collect()}
+    as_of = {r["account_id"]: r["outcome"] for r in rk.backtest_cohort(ctx, cut, "as_of").collect()}
+    assert final == {1: 0, 2: 1, 3: 0, 5: 0}
+    assert as_of == {2: 1, 3: 0, 5: 0}
