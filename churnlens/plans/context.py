@@ -30,6 +30,14 @@ class Context:
         sources = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
         return cls(testdata_roles(spark, sf_dir, cfg), cfg, sources)
 
+    @classmethod
+    def from_parquet_roles(cls, spark: SparkSession, folder: str, cfg: ChurnConfig) -> "Context":
+        """Context over roles stored by :func:`churnlens.sources.io.write_roles` (the production path:
+        load once, analyse many times; fact roles are month-partitioned and pruned by windows)."""
+        from ..sources.io import read_roles_parquet
+
+        return cls(Roles(**read_roles_parquet(spark, folder)), cfg)
+
     def materialize(self, df: DataFrame) -> DataFrame:
         """Write a frame that several consumers read to a parquet table in the session
         checkpoint folder (lineage cut, survives executor loss)."""
