@@ -99,3 +99,13 @@ def test_profiles(spark):
     rec = qa.load_reconcile({"t": df}, {"t": 4}).collect()[0]
     assert rec["status"] == "OK"
     assert F is not None
+
+
+def test_presentation_rounds_and_orders(spark):
+    from churnlens.plans.presentation import present
+
+    df = spark.createDataFrame([("Low", 10, 1, 1.005, 0.5), ("High", 3, 2, 66.666, 2.349), ("Medium", 5, 1, 20.0, 1.0)],
+                               "risk_level string, accounts long, churned long, churn_pct double, lift double")
+    rows = present("backtest_lift", df).collect()
+    assert [r["risk_level"] for r in rows] == ["High", "Medium", "Low"]
+    assert rows[0]["churn_pct"] == 66.67 and rows[0]["lift"] == 2.35 and rows[2]["churn_pct"] == 1.01
