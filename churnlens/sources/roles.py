@@ -65,9 +65,10 @@ def _money(cents: Column) -> Column:
 
 
 def _day_after(d: dt.date) -> Column:
-    # Timestamp literal so the bound reaches the parquet scan as a pushed filter.
+    # A TIMESTAMP_NTZ literal: independent of the session time zone, and it reaches
+    # the parquet scan as a pushed filter.
     nxt = d + dt.timedelta(days=1)
-    return F.lit(dt.datetime(nxt.year, nxt.month, nxt.day)).cast("timestamp_ntz")
+    return F.expr(f"TIMESTAMP_NTZ '{nxt.isoformat()} 00:00:00'")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
