@@ -45,6 +45,15 @@ class Context:
 
     _materialize = materialize
 
+    def release(self, spark: SparkSession) -> int:
+        """Delete every table this session materialized (call when the analysis is done).
+        Frames taken from this context before must not be used afterwards."""
+        from ..session import release_materialized
+
+        for name in [k for k in self.__dict__ if k not in ("roles", "cfg", "sources")]:
+            del self.__dict__[name]  # cached frames; they are rebuilt on next use
+        return release_materialized(spark)
+
     @cached_property
     def state(self) -> DataFrame:
         """One row per account; read by almost every query, so written once."""

@@ -59,9 +59,33 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/churnlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+_MATERIALIZED: dict[str, list[str]] = {}
+
+
+def release_materialized(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables written by :func:`materialize` (all of this application's, or ``paths``)
+    through the Hadoop FileSystem of each path, so shared storage does not fill up.
+    Returns the number of tables deleted."""
+    app = spark.sparkContext.applicationId
+    todo = list(paths) if paths is not None else list(_MATERIALIZED.get(app, []))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for p in todo:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            fs.delete(hp, True)
+            done += 1
+        if p in _MATERIALIZED.get(app, []):
+            _MATERIALIZED[app].remove(p)
+    return done
+
+
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Session settings sized for the data: shuffle partitions so that each holds about
     ``target_partition_bytes`` (and at least two waves of tasks), file splits of the same size,

@@ -108,3 +108,29 @@ def test_stored_roles_give_the_same_answers(spark):
         a = sorted(tuple(r) for r in QUERIES[name](src).collect())
         b = sorted(tuple(r) for r in QUERIES[name](stored).collect())
         assert a == b, name
+
+
+def test_materialize_and_release(spark):
+    import os as _os
+
+    from churnlens.session import materialize, release_materialized
+
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"))
+    assert df.count() == 10
+    path = df.inputFiles()[0]
+    folder = path.rsplit("/", 1)[0].replace("file:", "")
+    assert _os.path.exists(folder)
+    assert release_materialized(spark, [folder]) == 1
+    assert not _os.path.exists(folder)
+
+
+def test_context_release_keeps_roles(spark, cfg):
+    from churnlens.plans.context import Context
+    from fixtures import context as make_context
+
+    ctx = make_context(spark, cfg.with_(materialize=True), accounts=[account(1)], churn_events=[event(1, 1, "2024-01-01")])
+    assert ctx.state.count() == 1
+    ctx.release(spark)
+    assert "state" not in ctx.__dict__ and ctx.roles is not None
+    assert ctx.state.count() == 1  # rebuilt on demand
+    assert isinstance(ctx, Context)
