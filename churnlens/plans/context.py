@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import TESTDATA_CONFIG, ChurnConfig
-from ..session import materialize
+from ..session import materialize_at
 from ..sources.roles import Roles, testdata_roles
 from . import state as st
 
@@ -22,6 +22,7 @@ class Context:
         self.roles = roles
         self.cfg = cfg
         self.sources = sources  # raw tables the roles were derived from (for load reconciliation)
+        self._paths: list[str] = []  # tables this context materialized
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA_CONFIG) -> "Context":
@@ -41,18 +42,23 @@ class Context:
     def materialize(self, df: DataFrame) -> DataFrame:
         """Write a frame that several consumers read to a parquet table in the session
         checkpoint folder (lineage cut, survives executor loss)."""
-        return materialize(df) if self.cfg.materialize else df
+        if not self.cfg.materialize:
+            return df
+        out, path = materialize_at(df)
+        self._paths.append(path)
+        return out
 
     _materialize = materialize
 
     def release(self, spark: SparkSession) -> int:
-        """Delete every table this session materialized (call when the analysis is done).
+        """Delete the tables this context materialized (call when the analysis is done).
         Frames taken from this context before must not be used afterwards."""
         from ..session import release_materialized
 
-        for name in [k for k in self.__dict__ if k not in ("roles", "cfg", "sources")]:
+        for name in [k for k in self.__dict__ if k not in ("roles", "cfg", "sources", "_paths")]:
             del self.__dict__[name]  # cached frames; they are rebuilt on next use
-        return release_materialized(spark)
+        paths, self._paths = self._paths, []
+        return release_materialized(spark, paths)
 
     @cached_property
     def state(self) -> DataFrame:

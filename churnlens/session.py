@@ -47,6 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
+    return materialize_at(df)[0]
+
+
+def materialize_at(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once as a parquet table under the session's checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but in a single pass (a reliable RDD
@@ -60,7 +64,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base}/churnlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 _MATERIALIZED: dict[str, list[str]] = {}

@@ -130,7 +130,7 @@ def test_context_release_keeps_roles(spark, cfg):
 
     ctx = make_context(spark, cfg.with_(materialize=True), accounts=[account(1)], churn_events=[event(1, 1, "2024-01-01")])
     assert ctx.state.count() == 1
-    ctx.release(spark)
+    assert ctx.release(spark) == 1
     assert "state" not in ctx.__dict__ and ctx.roles is not None
     assert ctx.state.count() == 1  # rebuilt on demand
     assert isinstance(ctx, Context)
