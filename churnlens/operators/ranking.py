@@ -6,10 +6,11 @@ the same answer with work spread over range buckets:
 
 1. A total order: ``(null rank, value, id)`` - the id breaks ties, so a long
    run of equal values (zero sessions, say) still spreads over buckets.
-2. ``B = ceil(n / rows_per_bucket)`` buckets.  When ``B > 1`` a bounded
-   sample (about 64 keys per bucket) is taken to the driver, sorted, and cut
-   into ``B - 1`` split keys; each row finds its bucket with a balanced
-   binary CASE tree (``log2 B`` comparisons, code-generated).
+2. ``B = ceil(n / rows_per_bucket)`` buckets.  When ``B > 1`` the rows are
+   range-partitioned on the order key (``repartitionByRange``: Spark samples
+   the bounds and binary-searches them in the JVM), the partition id becomes
+   the bucket, and that assignment is written once to the checkpoint folder,
+   so every later pass sees the same buckets.
 3. Rows per bucket are counted (B rows), their exclusive running sum is the
    bucket offset; that B-row table is broadcast (its size is B by
    construction).
@@ -17,7 +18,7 @@ the same answer with work spread over range buckets:
 5. Tile of ``i`` for ``n`` rows and ``k`` tiles, as SQL NTILE: the first
    ``n mod k`` tiles hold one extra row.
 
-Only the row count, the sample keys and nothing else reach the driver.
+Only the row count reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +32,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SAMPLES_PER_BUCKET = 64
-
-
 @dataclass(frozen=True)
 class OrderSpec:
     """Order a numeric column ascending (NULLs first) or descending (NULLs last), ties by ``id_col``."""
@@ -51,34 +49,17 @@ def _order_fields(spec: OrderSpec, id_col: str) -> list[Column]:
     return [v.isNotNull().alias("_o0"), F.coalesce(v, F.lit(0)).alias("_o1"), F.col(id_col).alias("_o2")]
 
 
-def _struct_lit(values) -> Column:
-    return F.struct(*[F.lit(x).alias(f"_o{i}") for i, x in enumerate(values)])
-
-
-def _bucket_expr(key: Column, splits: list[tuple], key_type) -> Column:
-    """Index of the bucket of ``key`` for sorted split keys (binary CASE tree)."""
-
-    def build(lo: int, hi: int) -> Column:
-        # buckets lo..hi, separated by splits[lo .. hi-1]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        split = _struct_lit(splits[mid]).cast(key_type)
-        return F.when(key < split, build(lo, mid)).otherwise(build(mid + 1, hi))
+def _range_buckets(df: DataFrame, order: Sequence[Column], n_buckets: int, bcol: str) -> DataFrame:
+    """Add ``bcol`` = range bucket (0..B-1) of each row under ``order`` (all ascending, non-NULL).
 
-    return build(0, len(splits))
-
-
-def _choose_splits(sample_keys: list[tuple], n_buckets: int) -> list[tuple]:
-    keys = sorted(sample_keys)
-    if not keys or n_buckets <= 1:
-        return []
-    splits = []
-    for j in range(1, n_buckets):
-        s = keys[min(len(keys) - 1, (j * len(keys)) // n_buckets)]
-        if not splits or s > splits[-1]:
-            splits.append(s)
-    return splits
+    ``spark_partition_id`` after ``repartitionByRange`` is only stable within
+    one execution, so the frame is written once with the bucket column; the
+    counts, offsets and per-bucket windows then all read the same assignment.
+    """
+    names = [f"_rk{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
+    ranged = keyed.repartitionByRange(n_buckets, *names).withColumn(bcol, F.spark_partition_id())
+    return materialize(ranged).drop(*names)
 
 
 def global_index(
@@ -86,24 +67,18 @@ def global_index(
     specs: dict[str, OrderSpec],
     id_col: str,
     rows_per_bucket: int = 1_000_000,
-    seed: int = 17,
     checkpoint: bool = False,
 ) -> DataFrame:
     """Add, for each ``name -> spec``, ``name`` = 0-based position in the total order and ``{name}_n`` = row count.
 
     ``checkpoint=True`` first writes ``df`` to the session's checkpoint folder
-    (shared storage on a cluster), so the count, the sample and the final
-    pass read it instead of recomputing an expensive upstream plan.
+    (shared storage on a cluster), so the count and the final pass read it
+    instead of recomputing an expensive upstream plan.
     """
     if checkpoint:
         df = materialize(df)
     n_est = df.count()
     n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
-    sample = []
-    if n_buckets > 1:
-        frac = min(1.0, SAMPLES_PER_BUCKET * n_buckets / max(1, n_est))
-        cols = [F.struct(*_order_fields(s, id_col)).alias(name) for name, s in specs.items()]
-        sample = df.sample(False, frac, seed).select(*cols).collect()
 
     if n_buckets == 1:
         # At most rows_per_bucket rows: one ordered task is the cheapest exact plan,
@@ -118,10 +93,7 @@ def global_index(
 
     base = df
     for name, spec in specs.items():
-        key = F.struct(*_order_fields(spec, id_col))
-        key_type = df.select(key.alias("_k")).schema["_k"].dataType
-        splits = _choose_splits([tuple(r[name]) for r in sample], n_buckets)
-        base = base.withColumn(f"_b_{name}", _bucket_expr(key, splits, key_type) if splits else F.lit(0))
+        base = _range_buckets(base, _order_fields(spec, id_col), n_buckets, f"_b_{name}")
 
     out = base
     for name, spec in specs.items():
@@ -188,7 +160,6 @@ def global_cumsum(
     weight_col: str,
     out: str = "cum_before",
     rows_per_bucket: int = 1_000_000,
-    seed: int = 23,
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight_col`` over all rows strictly before each row in the order of
     ``key_cols`` (ascending; the key must be unique and non-NULL).
@@ -197,19 +168,12 @@ def global_cumsum(
     summed into offsets (B rows, broadcast), and a running sum inside each
     bucket completes the prefix.
     """
-    key = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(key_cols)])
-    key_type = df.select(key.alias("_k")).schema["_k"].dataType
     n_est = df.count()
     n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
-    splits = []
-    if n_buckets > 1:
-        frac = min(1.0, SAMPLES_PER_BUCKET * n_buckets / max(1, n_est))
-        sample = df.sample(False, frac, seed).select(key.alias("k")).collect()
-        splits = _choose_splits([tuple(r["k"]) for r in sample], n_buckets)
-    if not splits:
+    if n_buckets == 1:
         w1 = Window.orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(weight_col).over(w1), F.lit(0)))
-    b = df.withColumn("_b", _bucket_expr(key, splits, key_type))
+    b = _range_buckets(df, [F.col(c) for c in key_cols], n_buckets, "_b")
     totals = b.groupBy("_b").agg(F.sum(weight_col).alias("_w"))
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_w").over(running), F.lit(0)).alias("_off"))
