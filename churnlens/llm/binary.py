@@ -56,17 +56,33 @@ class WordEncoder:
         self.remembered = remembered
         self.units: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.latin = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))) - {"\xf7"}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def single(self, words: list[str], step: int = 1000) -> list[bytes]:
+        """Ids of words that are one pre-token each: many are encoded as one text, and cut apart where a token ends a word."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), step):
+            some = words[lo : lo + step]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                out += self.library(some)
+                continue
+            flat, cuts = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+            out += [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
     def learn(self, units: list[str]) -> None:
         if len(self.units) + len(units) > self.remembered:
             self.units.clear()
         if len(self.parts) > self.remembered:
             self.parts.clear()
-        split, new = [], set()
+        split, new, other = [], set(), []
         for u in units:
             head = u.rstrip(TAIL)
             low = head.lower()
@@ -77,11 +93,11 @@ class WordEncoder:
                 if tail:
                     new.add(tail)
             else:
-                split.append((u, u, ""))
-                new.add(u)
+                other.append(u)
         todo = sorted(new - self.parts.keys())
-        self.parts.update(zip(todo, self.library(todo), strict=True))
+        self.parts.update(zip(todo, self.single(todo), strict=True))
         self.parts[""] = b""
+        self.units.update(zip(other, self.library(other), strict=True))
         for u, low, tail in split:
             self.units[u] = self.parts[low] + self.parts[tail]
 
