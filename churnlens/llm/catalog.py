@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from churnlens.llm import mixing
+from churnlens.llm import decontaminate, jaccard, mixing, suffixes
 from churnlens.llm.binary import op10_token_files
 from churnlens.llm.language import op6_language_id
 from churnlens.llm.licenses import op1_license_scan
-from churnlens.llm.mixing import op7_mix_sources
 from churnlens.llm.quality import op2_quality_classifier
 from churnlens.llm.rules import op3_quality_rules
 from churnlens.llm.tokens import op8_token_counts
@@ -15,10 +14,15 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_language_id": op6_language_id,
-    "op7_mix_sources": op7_mix_sources,
+    "op7_mix_sources": mixing.op7_mix_sources,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": mixing.ORACLE,
+}
