@@ -197,7 +197,6 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
     """Columns ``keep`` of every row with n_words, spans, longest and items, over all blocks of items."""
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
-    schema = ", ".join(f"`{k}` {t}" for k, t in docs.select(*keep).dtypes)
     docs = docs.select(*keep, F.col(text_col).alias("_text"))
 
     blocks = list_of_passes(items, item_id, item_text, block_bytes)
@@ -214,7 +213,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
             kinds = {"n_words": pa.int64(), "spans": span, "longest": pa.int64(), "items": pa.list_(pa.string()), "digest": pa.string()}
             return {k: batch.column(i) for i, k in enumerate(keep)} | {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
-        return T.per_batch(docs, run, f"{schema}, n_words long, spans {SPANS}, longest long, items array<string>, digest string")
+        return T.per_batch(docs, run, T.with_fields(docs, keep, f"n_words long, spans {SPANS}, longest long, items array<string>, digest string"))
 
     if len(blocks) == 1:
         return one(collect_block(items, item_id, item_text, blocks[0])).drop("digest")

@@ -132,16 +132,18 @@ def mix(
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: every row as often as it is wholly taken, and
     one row with the words of the blocks taken once more (the whole text where they cover it)."""
-    plan = mix(sized(docs, docs.columns, seed=seed), seed=seed)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    plan = mix(sized(rows, ["doc_id", "source", "_row"], seed=seed), seed=seed)
     copies = F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)
     rows = plan.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    pieces = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
     cut = F.ltrim(F.concat_ws("", F.flatten(F.transform("_parts", lambda p: F.slice(pieces, (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int"))))))
-    text = F.when((F.col("_copy") <= F.col("_whole")) | (F.col("_part") == F.col("_size")), F.col("text")).otherwise(cut)
-    rows = rows.withColumn("text", text)
+    text = F.when((F.col("_copy") <= F.col("_whole")) | (F.col("_part") == F.col("_size")), F.col("_row.text")).otherwise(cut)
+    out = rows.select("_row", text.alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

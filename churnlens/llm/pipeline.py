@@ -1,13 +1,68 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline, in order: language ID, n-gram Jaccard join, benchmark
+decontamination, mixing sources to target weights, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
+``docs``, whatever else those hold.  Empty tables pass through; null texts go in the first stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from churnlens.llm import binary, decontaminate, jaccard, language, mixing
 from churnlens.llm import text as T
-from churnlens.session import materialize_at, release_materialized
+from churnlens.session import materialize, materialize_at, release_materialized
+
+LEAST_SCORE = 0.5
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score of ``LEAST_SCORE`` or more; texts without a letter go."""
+    T.deploy(spark)
+    model = language.train(docs.where(T.crc_mod("doc_id", 4) != 2))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    told = language.predict(rows, model, id_col="_row", text_col="_text")
+    return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component, once; rows without an id or without words stay."""
+    T.deploy(spark)
+    found = materialize(jaccard.join(docs))
+    stays = found.where("component_id = doc_id").select("doc_id").distinct()
+    rows = docs.join(stays, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = rows.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("text")).withColumn("_n", first).where("_n = 1").select("_row.*")
+    return once.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark's items."""
+    T.deploy(spark)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    found = decontaminate.matches(rows, T.read(spark, sf_dir, "benchmark"), keep=["_row"])
+    return decontaminate.report(found, ["_row"]).where("not contaminated").select("_row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: rows whole, several times or cut to their taken blocks."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's place in the written token files, read back from them."""
+    T.deploy(spark)
+    return binary.token_files(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", keep_language),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_token_files),
+]
 
 
 def run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:

@@ -7,6 +7,7 @@ fingerprint is a 64-bit polynomial over per-byte random values, finalised by a m
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
@@ -151,12 +153,22 @@ def span_text(chunk: Chunk, row: int) -> bytes:
     return chunk.data[chunk.offsets[row] : chunk.offsets[row + 1]].tobytes()
 
 
+def deploy(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does, unless their path is already set."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([paths, root])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    deploy(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it returns the result's columns in the schema's order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -166,6 +178,11 @@ def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
     return df.mapInArrow(run, schema)
 
 
+def with_fields(docs: DataFrame, cols: list[str], more: str) -> StructType:
+    """The schema of ``cols`` of ``docs``, whatever their types and names, and of the DDL fields ``more``."""
+    return StructType([docs.schema[c] for c in cols] + StructType.fromDDL(more).fields)
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of a column's text modulo ``mod``; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
