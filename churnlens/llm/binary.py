@@ -18,6 +18,7 @@ order of their texts, so repeated rows give equal files.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,29 +37,32 @@ from churnlens.session import ensure_checkpoint_dir, materialize
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Characters that str.split() takes for space and the tokenizer's pattern does not.
 NOT_QUITE_SPACE = "\x1c\x1d\x1e\x1f"
-TAIL = ".,;:!?"
+LATIN = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Texts of Latin letters, white space and the rest of ASCII, and what the tokenizer's pattern makes of them once lower-cased.
+PLAIN = re.compile(f"[ -~\u00c0-\u00d6\u00d8-\u00de{LATIN}\\n\\r\\t]*")
+PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[!-/:-@\\[-`{{-~]+")
 
 
 class WordEncoder:
-    """Token ids of texts, unit by unit where white space separates: the tokenizer drops white space,
-    and neither its normaliser nor its pattern reaches across it.
+    """Token ids of texts, put together from remembered parts that the tokenizer keeps apart anyway.
 
-    Units are remembered; a new unit of plain Latin letters with marks after them is put together
-    from the two parts that the pattern always cuts apart, so that only new words reach the library.
+    The tokenizer drops white space, and neither its normaliser nor its pattern reaches across it, so
+    a text is encoded unit by unit.  In texts of Latin letters and ASCII the parts are the matches of its
+    pattern (words, digits, runs of marks); in other texts, and where special strings could stand,
+    they are the units between white space.  Only parts not seen lately reach the library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.remembered = remembered
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.latin = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))) - {"\xf7"}
+        self.parts: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,41 +81,30 @@ class WordEncoder:
             out += [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def learn(self, units: list[str]) -> None:
-        if len(self.units) + len(units) > self.remembered:
-            self.units.clear()
-        if len(self.parts) > self.remembered:
-            self.parts.clear()
-        split, new, other = [], set(), []
-        for u in units:
-            head = u.rstrip(TAIL)
-            low = head.lower()
-            if low and self.latin.issuperset(low):
-                tail = u[len(head) :]
-                split.append((u, low, tail))
-                new.add(low)
-                if tail:
-                    new.add(tail)
-            else:
-                other.append(u)
-        todo = sorted(new - self.parts.keys())
-        self.parts.update(zip(todo, self.single(todo), strict=True))
-        self.parts[""] = b""
-        self.units.update(zip(other, self.library(other), strict=True))
-        for u, low, tail in split:
-            self.units[u] = self.parts[low] + self.parts[tail]
+    def known(self, parts: list[list[str]], memory: dict[str, bytes], encode) -> dict[str, bytes]:
+        """``memory`` with all parts in it; it starts anew when it would hold too many."""
+        wanted = set().union(*parts) if parts else set()
+        missing = wanted - memory.keys()
+        if len(memory) + len(missing) > self.remembered:
+            memory.clear()
+            missing = wanted
+        rest = sorted(missing)
+        memory.update(zip(rest, encode(rest), strict=True))
+        return memory
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        cut = [None if any(c in t for c in NOT_QUITE_SPACE) else t.split() for t in texts]
-        missing = {u for us in cut if us for u in us} - self.units.keys()
-        if missing:
-            if len(self.units) + len(missing) > self.remembered:
-                missing = {u for us in cut if us for u in us}
-            self.learn(sorted(missing))
-        whole = [t for t, us in zip(texts, cut, strict=True) if us is None]
+        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        words = [PARTS.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        units = [[] if p or any(c in t for c in NOT_QUITE_SPACE) else t.split() for t, p in zip(texts, plain, strict=True)]
+        by_word = self.known(words, self.parts, self.single)
+        by_unit = self.known(units, self.units, self.library)
+        whole = [t for t, p, us in zip(texts, plain, units, strict=True) if not p and not us]
         rest = iter(self.library(whole) if whole else [])
-        return [next(rest) if us is None else b"".join(map(self.units.__getitem__, us)) for us in cut]
+        return [
+            b"".join(map(by_word.__getitem__, ws)) if p else b"".join(map(by_unit.__getitem__, us)) if us else next(rest)
+            for p, ws, us in zip(plain, words, units, strict=True)
+        ]
 
 
 class ShardWriter:
