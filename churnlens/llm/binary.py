@@ -128,30 +128,30 @@ class ShardWriter:
         self.index.append((ids, np.array([len(e) // self.kind.itemsize for e in encoded], np.int64)))
         self.waiting += encoded
         self.n_waiting += sum(map(len, encoded))
-        self.flush(self.length * BATCH_SEQUENCES)
+        self.flush()
 
-    def flush(self, step: int) -> None:
-        """Write all waiting ids but the last incomplete ``step``."""
+    def flush(self) -> None:
+        """Write the waiting ids that fill batches."""
+        step = self.length * BATCH_SEQUENCES
         if self.n_waiting < step * self.kind.itemsize:
             return
         flat = np.frombuffer(b"".join(self.waiting), self.kind)
         whole = len(flat) // step * step
-        for lo in range(0, whole, self.length * BATCH_SEQUENCES):
-            self.write(flat[lo : min(whole, lo + self.length * BATCH_SEQUENCES)], None)
+        for lo in range(0, whole, step):
+            self.write(flat[lo : lo + step], 0)
         self.waiting, self.n_waiting = [flat[whole:].tobytes()], (len(flat) - whole) * self.kind.itemsize
 
-    def write(self, flat: np.ndarray, padded: int | None) -> None:
+    def write(self, flat: np.ndarray, padded: int) -> None:
         mask = np.ones(len(flat), bool)
         if padded:
             mask[-padded:] = False
-        self.n_ids += len(flat) - (padded or 0)
+        self.n_ids += len(flat) - padded
         self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
 
     def close(self) -> None:
-        self.flush(self.length)
-        if self.n_waiting:
+        if self.n_waiting:  # the last batch: every batch before it is full
             flat = np.frombuffer(b"".join(self.waiting), self.kind)
-            padded = self.length - len(flat)
+            padded = -len(flat) % self.length
             self.write(np.concatenate([flat, np.zeros(padded, self.kind)]), padded)
         self.writer.close()
         self.sink.close()
