@@ -24,5 +24,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": jaccard.ORACLE,
+    "op5_suffix_dedup": suffixes.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
 }

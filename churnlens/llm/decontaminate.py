@@ -251,7 +251,7 @@ def report(found: DataFrame, keep: list[str], share: int = 20) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(matches(T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "benchmark")), ["doc_id"])
+    return report(matches(T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "benchmark")), ["doc_id"]).drop("longest")
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -306,3 +306,19 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(T.read(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+sh AS (SELECT DISTINCT r, list_slice(ws, i, i + 3) AS s FROM (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT r, r AS m FROM w UNION SELECT links.b, m FROM reach JOIN links ON links.a = reach.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, copies FROM w LEFT JOIN n USING (r)
+JOIN (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.r = reach.m GROUP BY reach.r) c USING (r)
+JOIN (SELECT r, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS copies
+      FROM (SELECT w.r, coalesce(list_sort(list(sh.s) FILTER (sh.s IS NOT NULL)), []) AS s FROM w LEFT JOIN sh USING (r) GROUP BY w.r)) USING (r)
+"""

@@ -301,3 +301,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(T.read(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+s AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s),
+hits AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM s JOIN f USING (s) WHERE least < doc_id),
+marks AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run FROM hits),
+runs AS (SELECT r, run, min(p) AS a, max(p) + 50 AS b FROM marks GROUP BY r, run),
+ends AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS open, row_number() OVER (PARTITION BY r ORDER BY a DESC) AS last FROM runs),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans,
+          string_agg(substr(h, 2 * open + 1, 2 * (a - open)) || CASE WHEN last = 1 THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+        FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, cast(len(h) // 2 AS bigint) AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_spans, 0) AS bigint) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
