@@ -47,6 +47,19 @@ ACTION_LABELS = (
     "4. No action",
 )
 
+# The action for a risk level and a value level.
+ACTIONS = {
+    ("High", "High"): "1. Direct intervention",
+    ("High", "Medium"): "2. Proactive contact",
+    ("High", "Low"): "3. Automated campaign",
+    ("Medium", "High"): "2. Proactive contact",
+    ("Medium", "Medium"): "3. Automated campaign",
+    ("Medium", "Low"): "4. No action",
+    ("Low", "High"): "4. No action",
+    ("Low", "Medium"): "4. No action",
+    ("Low", "Low"): "4. No action",
+}
+
 
 @dataclass(frozen=True)
 class ChurnConfig:
@@ -73,8 +86,8 @@ class ChurnConfig:
     seat_cuts: tuple = SEAT_CUTS
     lifetime_cuts: tuple = LIFETIME_CUTS
     reason_families: dict = field(default_factory=lambda: dict(REASON_FAMILIES))
-    # Rows per range bucket of the distributed NTILE (see operators.ranking).
-    ntile_rows_per_bucket: int = 1_000_000
+    # Range buckets of the distributed NTILE (see operators.ranking); None = the shuffle partitions.
+    ntile_buckets: int | None = None
     # Write account-sized intermediate frames (signals, scores, priority) to the
     # checkpoint folder once, so their several consumers read files instead of
     # re-running the upstream plan.

@@ -38,11 +38,6 @@ def flag(c) -> Column:
     return col(c).cast("int")
 
 
-def rate_pct(c) -> Column:
-    """Average of a flag times 100."""
-    return F.avg(flag(c)) * 100
-
-
 def ratio(num, den) -> Column:
     """num / den as double; NULL when the divisor is 0 or NULL."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
@@ -102,6 +97,11 @@ def stable(c, digits: int = STABLE_DIGITS) -> Column:
     return F.round(col(c), digits)
 
 
-def round_half_up(c, scale: int) -> Column:
-    """Presentation rounding (HALF_UP)."""
-    return F.round(col(c), scale)
+SIGNIFICANT = 11
+
+
+def significant(c) -> Column:
+    """A double to :data:`SIGNIFICANT` significant digits, whatever its size; NaN and infinities stay."""
+    x = col(c).cast("double")
+    finite = F.abs(x) < float("inf")
+    return F.when(x.isNull() | F.isnan(x) | ~finite, x).otherwise(F.format_string(f"%.{SIGNIFICANT - 1}e", x).cast("double"))

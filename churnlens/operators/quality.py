@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import significant
 from ..sources.schemas import Contract
 from .ranking import exact_quantiles
 
@@ -28,11 +29,11 @@ def profile_schema(df: DataFrame, table: str) -> DataFrame:
     """Q1/Q6 - per column: position, rows, non-null and null counts (one pass)."""
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_nn{i}") for i, c in enumerate(cols)])
-    pairs = [(f"'{c}'", f"{i + 1}L, _nn{i}") for i, c in enumerate(cols)]
-    body = ", ".join(f"'{c}', {i + 1}L, _nn{i}" for i, c in enumerate(cols))
-    out = agg.select("_rows", F.expr(f"stack({len(pairs)}, {body}) as (column_name, position, non_null)"))
+    kinds = dict(df.dtypes)
+    body = ", ".join(f"'{c}', '{kinds[c]}', {i + 1}L, _nn{i}" for i, c in enumerate(cols))
+    out = agg.select("_rows", F.expr(f"stack({len(cols)}, {body}) as (column_name, type, position, non_null)"))
     return out.select(
-        F.lit(table).alias("table_name"), "column_name", "position", F.col("_rows").alias("rows"), "non_null",
+        F.lit(table).alias("table_name"), "column_name", "type", "position", F.col("_rows").alias("rows"), "non_null",
         (F.col("_rows") - F.col("non_null")).alias("nulls"),
     )
 
@@ -53,63 +54,51 @@ def _long_many(tables, cast: str, day: bool = False) -> DataFrame:
     return _union(frames)
 
 
-def _quartiles(long: DataFrame, names: Sequence[str], rows_per_bucket: int, checkpoint: bool = False) -> DataFrame:
+def _quartiles(long: DataFrame, names: Sequence[str], n_groups: int, n_buckets: int | None) -> DataFrame:
     keyed = long.withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], rows_per_bucket, checkpoint=checkpoint)
+    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], n_groups, n_buckets)
     return q.groupBy("_g").agg(
         *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)]
     )
 
 
-def profile_numeric_many(tables, rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
+def profile_numeric_many(tables, n_buckets: int | None = None) -> DataFrame:
     """Q2 for several (table, df, columns) at once: count, mean, sample std, min, exact quartiles
     (linear interpolation), max.  All columns of all tables share one quantile computation.
 
-    Mean and deviation come from exact decimal sums of x and x^2 (x to 9
-    decimals, x^2 to 6), so they do not depend on partitioning."""
+    The deviation comes from central moments (no difference of large squares), so tiny values and
+    large offsets keep their digits; NaN and overflow come out as such.  Mean and deviation are
+    reported to :data:`SIGNIFICANT` significant digits, since the last bits of a distributed sum of
+    doubles depend on partitioning."""
     long = _long_many(tables, "double")
-    # Moments as exact decimal sums (values to 9 decimals, squares to 6): independent of the
-    # order rows are summed in, hence of partitioning; only the final formula is in double.
-    xd = F.col("value").cast("decimal(38,9)")
-    sums = long.groupBy("table_name", "column_name").agg(
-        F.count("value").alias("count"), F.sum(xd).alias("_s1"), F.sum(xd * xd).alias("_s2"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    n, s1, s2 = F.col("count"), F.col("_s1").cast("double"), F.col("_s2").cast("double")
-    var = F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))
-    moments = sums.select(
-        "table_name", "column_name", "count", (s1 / n).alias("mean"),
-        F.when(n > 1, F.sqrt(var)).alias("std"), "min", "max",
+    moments = long.groupBy("table_name", "column_name").agg(
+        F.count("value").alias("count"), significant(F.avg("value")).alias("mean"),
+        significant(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25", "p50", "p75"), rows_per_bucket, checkpoint)
+    qw = _quartiles(long, ("p25", "p50", "p75"), sum(len(c) for _, _, c in tables), n_buckets)
     return moments.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
-def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
+def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
     """Q2 - numeric describe of one table."""
-    return profile_numeric_many([(table, df, cols)], rows_per_bucket)
+    return profile_numeric_many([(table, df, cols)], n_buckets)
 
 
-def profile_dates_many(tables, rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
+def profile_dates_many(tables, n_buckets: int | None = None) -> DataFrame:
     """Q4 for several tables: count, min, exact quartiles and max of date/timestamp columns,
     as days since 1970-01-01."""
     long = _long_many(tables, "double", day=True)
     base = long.groupBy("table_name", "column_name").agg(
         F.count("value").alias("count"), F.min("value").alias("min_day"), F.max("value").alias("max_day")
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), rows_per_bucket, checkpoint)
+    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), sum(len(c) for _, _, c in tables), n_buckets)
     return base.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "min_day", "p25_day", "p50_day", "p75_day", "max_day"
     )
 
 
-def profile_dates(df: DataFrame, table: str, cols: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Q4 - date describe of one table."""
-    return profile_dates_many([(table, df, cols)], rows_per_bucket)
-
-
 def profile_text(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     """Q3 - count, distinct values, most frequent value (ties: smallest) and its frequency per text column."""
     vc = _long_values(df, cols, "string").where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(

@@ -6,24 +6,22 @@ the same answer with work spread over range buckets:
 
 1. A total order: ``(null rank, value, id)`` - the id breaks ties, so a long
    run of equal values (zero sessions, say) still spreads over buckets.
-2. ``B = ceil(n / rows_per_bucket)`` buckets.  When ``B > 1`` the rows are
-   range-partitioned on the order key (``repartitionByRange``: Spark samples
-   the bounds and binary-searches them in the JVM), the partition id becomes
-   the bucket, and that assignment is written once to the checkpoint folder,
-   so every later pass sees the same buckets.
+2. Rows are range-partitioned on the order key into B buckets
+   (``repartitionByRange``: Spark samples the bounds and binary-searches them
+   in the JVM); B is the session's number of shuffle partitions, whatever the
+   input's size.  The partition id becomes the bucket, and that assignment is
+   written once to the checkpoint folder, so every later pass sees the same
+   buckets.
 3. Rows per bucket are counted (B rows), their exclusive running sum is the
-   bucket offset; that B-row table is broadcast (its size is B by
-   construction).
+   bucket offset; that B-row table is broadcast: its size is set by the
+   session, not by the data.
 4. ``row_number`` inside each bucket + offset = global 0-based index ``i``.
 5. Tile of ``i`` for ``n`` rows and ``k`` tiles, as SQL NTILE: the first
    ``n mod k`` tiles hold one extra row.
-
-Only the row count reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+
 @dataclass(frozen=True)
 class OrderSpec:
     """Order a numeric column ascending (NULLs first) or descending (NULLs last), ties by ``id_col``."""
@@ -49,67 +48,40 @@ def _order_fields(spec: OrderSpec, id_col: str) -> list[Column]:
     return [v.isNotNull().alias("_o0"), F.coalesce(v, F.lit(0)).alias("_o1"), F.col(id_col).alias("_o2")]
 
 
-def _range_buckets(df: DataFrame, order: Sequence[Column], n_buckets: int, bcol: str) -> DataFrame:
+def _range_buckets(df: DataFrame, order: Sequence[Column], n_buckets: int | None, bcol: str) -> DataFrame:
     """Add ``bcol`` = range bucket (0..B-1) of each row under ``order`` (all ascending, non-NULL).
 
     ``spark_partition_id`` after ``repartitionByRange`` is only stable within
     one execution, so the frame is written once with the bucket column; the
     counts, offsets and per-bucket windows then all read the same assignment.
     """
+    n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_rk{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
     ranged = keyed.repartitionByRange(n_buckets, *names).withColumn(bcol, F.spark_partition_id())
     return materialize(ranged).drop(*names)
 
 
-def global_index(
-    df: DataFrame,
-    specs: dict[str, OrderSpec],
-    id_col: str,
-    rows_per_bucket: int = 1_000_000,
-    checkpoint: bool = False,
-) -> DataFrame:
-    """Add, for each ``name -> spec``, ``name`` = 0-based position in the total order and ``{name}_n`` = row count.
+def _offsets(totals: DataFrame, bcol: str, weight: str) -> DataFrame:
+    """Sum of the buckets before each bucket, and of all (a window over the B bucket totals)."""
+    running = Window.orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(weight).over(running), F.lit(0))
+    return totals.select(bcol, before.alias("_off"), F.sum(weight).over(Window.partitionBy()).alias("_all"))
 
-    ``checkpoint=True`` first writes ``df`` to the session's checkpoint folder
-    (shared storage on a cluster), so the count and the final pass read it
-    instead of recomputing an expensive upstream plan.
-    """
-    if checkpoint:
-        df = materialize(df)
-    n_est = df.count()
-    n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
-
-    if n_buckets == 1:
-        # At most rows_per_bucket rows: one ordered task is the cheapest exact plan,
-        # and its size is bounded by construction.
-        out = df
-        for name, spec in specs.items():
-            w = Window.orderBy(*_order_fields(spec, id_col))
-            out = out.withColumn(name, F.row_number().over(w) - 1).withColumn(
-                f"{name}_n", F.count(F.lit(1)).over(Window.partitionBy())
-            )
-        return out
-
-    base = df
-    for name, spec in specs.items():
-        base = _range_buckets(base, _order_fields(spec, id_col), n_buckets, f"_b_{name}")
 
-    out = base
+def global_index(df: DataFrame, specs: dict[str, OrderSpec], id_col: str, n_buckets: int | None = None) -> DataFrame:
+    """Add, for each ``name -> spec``, ``name`` = 0-based position in the total order and ``{name}_n`` = row count."""
+    out = df
+    for name, spec in specs.items():
+        out = _range_buckets(out, _order_fields(spec, id_col), n_buckets, f"_b_{name}")
     for name, spec in specs.items():
         bcol = f"_b_{name}"
-        counts = base.groupBy(bcol).agg(F.count(F.lit(1)).alias("_cnt"))
-        # B rows by construction: a window over them is a tiny single task.
-        running = Window.orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(
-            bcol,
-            F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"),
-            F.sum("_cnt").over(Window.partitionBy()).alias(f"{name}_n"),
-        )
+        counts = out.groupBy(bcol).agg(F.count(F.lit(1)).alias("_cnt"))
         w = Window.partitionBy(bcol).orderBy(*_order_fields(spec, id_col))
         out = (
-            out.join(F.broadcast(offsets), bcol)
+            out.join(F.broadcast(_offsets(counts, bcol, "_cnt")), bcol)
             .withColumn(name, F.col("_off") + F.row_number().over(w) - 1)
+            .withColumnRenamed("_all", f"{name}_n")
             .drop(bcol, "_off")
         )
     return out
@@ -132,11 +104,10 @@ def distributed_ntile(
     k: int,
     specs: dict[str, OrderSpec],
     id_col: str,
-    rows_per_bucket: int = 1_000_000,
-    checkpoint: bool = False,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Add ``NTILE(k) OVER (ORDER BY spec.value [DESC], id_col)`` for each ``name -> spec``."""
-    idx = global_index(df, {f"_i_{n}": s for n, s in specs.items()}, id_col, rows_per_bucket, checkpoint=checkpoint)
+    idx = global_index(df, {f"_i_{n}": s for n, s in specs.items()}, id_col, n_buckets)
     for name in specs:
         idx = idx.withColumn(name, tile_of(F.col(f"_i_{name}"), F.col(f"_i_{name}_n"), k)).drop(
             f"_i_{name}", f"_i_{name}_n"
@@ -154,13 +125,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def global_cumsum(
-    df: DataFrame,
-    key_cols: Sequence[str],
-    weight_col: str,
-    out: str = "cum_before",
-    rows_per_bucket: int = 1_000_000,
-) -> DataFrame:
+def global_cumsum(df: DataFrame, key_cols: Sequence[str], weight_col: str, out: str = "cum_before", n_buckets: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight_col`` over all rows strictly before each row in the order of
     ``key_cols`` (ascending; the key must be unique and non-NULL).
 
@@ -168,50 +133,46 @@ def global_cumsum(
     summed into offsets (B rows, broadcast), and a running sum inside each
     bucket completes the prefix.
     """
-    n_est = df.count()
-    n_buckets = max(1, math.ceil(n_est / max(1, rows_per_bucket)))
-    if n_buckets == 1:
-        w1 = Window.orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(weight_col).over(w1), F.lit(0)))
     b = _range_buckets(df, [F.col(c) for c in key_cols], n_buckets, "_b")
     totals = b.groupBy("_b").agg(F.sum(weight_col).alias("_w"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_w").over(running), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_b").orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        b.join(F.broadcast(offsets), "_b")
+        b.join(F.broadcast(_offsets(totals, "_b", "_w")), "_b")
         .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
-        .drop("_b", "_off")
+        .drop("_b", "_off", "_all")
     )
 
 
-def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float],
-                    rows_per_bucket: int = 1_000_000, checkpoint: bool = False) -> DataFrame:
+#: Up to so many groups the table of their starts and quantile positions is broadcast.
+BROADCAST_GROUPS = 10_000
+
+
+def exact_quantiles(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float], n_groups: int, n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (``quantile_cont`` / pandas default) per group.
 
     Values are first reduced to (group, value, count) - a shuffle that shrinks
     with repeated values - then ranked with :func:`global_cumsum`.  Each
     quantile position ``p * (n - 1)`` is located by a join on the group with a
     range condition (one row per group and probability on the small side).
-    No group is ever gathered into one task.  Output: (group, p, quantile).
+    No group is ever gathered into one task.  ``n_groups`` bounds the number of
+    groups (profiled columns); beyond ``BROADCAST_GROUPS`` their positions are
+    joined by a shuffle.  Output: (group, p, quantile).
     """
+    few = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda frame: frame)
     vc = df.where(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_w"))
-    if checkpoint:
-        # (group, value, count) is far smaller than the input; the ranking below reads it several times.
-        vc = materialize(vc)
-    ranked = global_cumsum(vc, [group_col, value_col], "_w", "_before", rows_per_bucket)
+    ranked = global_cumsum(vc, [group_col, value_col], "_w", "_before", n_buckets)
     ranked = ranked.join(
-        F.broadcast(ranked.groupBy(group_col).agg(F.min("_before").alias("_start"))), group_col
+        few(ranked.groupBy(group_col).agg(F.min("_before").alias("_start"))), group_col
     ).select(group_col, value_col, (F.col("_before") - F.col("_start")).alias("_lo_idx"),
-             (F.col("_before") - F.col("_start") + F.col("_w")).alias("_hi_idx"))
-    sizes = vc.groupBy(group_col).agg(F.sum("_w").alias("_n"))
+             (F.col("_before") - F.col("_start") + F.col("_w")).alias("_hi_idx"), "_w")
+    sizes = ranked.groupBy(group_col).agg(F.sum("_w").alias("_n"))
     targets = sizes.select(group_col, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).select(
         group_col, "p", (F.col("p") * (F.col("_n") - 1)).alias("_pos")
     ).select(group_col, "p", "_pos", F.floor("_pos").alias("_flo"), F.ceil("_pos").alias("_cei"))
     hit_lo = (F.col("_lo_idx") <= F.col("_flo")) & (F.col("_flo") < F.col("_hi_idx"))
     hit_hi = (F.col("_lo_idx") <= F.col("_cei")) & (F.col("_cei") < F.col("_hi_idx"))
     v = F.col(value_col).cast("double")
-    found = F.broadcast(targets).join(ranked, group_col).where(hit_lo | hit_hi).groupBy(group_col, "p", "_pos", "_flo").agg(
+    found = few(targets).join(ranked, group_col).where(hit_lo | hit_hi).groupBy(group_col, "p", "_pos", "_flo").agg(
         F.max(F.when(hit_lo, v)).alias("_vlo"), F.max(F.when(hit_hi, v)).alias("_vhi")
     )
     return found.select(

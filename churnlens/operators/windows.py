@@ -14,7 +14,7 @@ Two shapes:
 
 Empty windows give count 0 (``count(fact column)``) and NULL averages, as in
 SQL.  Several windows over the same facts can share one pass with
-conditional aggregates (see :func:`within`).
+conditional aggregates.
 """
 
 from __future__ import annotations
@@ -25,17 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import in_trailing_window
-
 FACT_KEY = "_fact_key"
 
 
-def within(ts: str, ref: str, days: int, value: Column | str | int = 1) -> Column:
-    """``value`` when ``ts`` is inside (ref - days, ref], else NULL - for conditional aggregates."""
-    v = value if isinstance(value, Column) else (F.col(value) if isinstance(value, str) else F.lit(value))
-    return F.when(in_trailing_window(ts, ref, days), v)
-
-
 def windowed_join(
     entities: DataFrame,
     facts: DataFrame,

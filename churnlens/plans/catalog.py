@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import share_of_groups
+from ..session import collecting
 from .context import Context
 
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {}
@@ -164,3 +165,16 @@ for _name in (
     "ever_churned_rate", "churn_source_sets", "load_reconcile",
 ):
     QUERIES[_name] = getattr(ck, _name)
+
+
+def _tracked(fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+    """Everything a query writes while it is built belongs to its context, which releases it."""
+
+    def run(ctx: Context) -> DataFrame:
+        with collecting(ctx._paths):
+            return fn(ctx)
+
+    return run
+
+
+QUERIES.update({name: _tracked(fn) for name, fn in QUERIES.items()})

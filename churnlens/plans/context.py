@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import TESTDATA_CONFIG, ChurnConfig
-from ..session import materialize_at
+from ..session import collecting, materialize_at
 from ..sources.roles import Roles, testdata_roles
 from . import state as st
 
@@ -29,7 +29,7 @@ class Context:
         from ..sources.roles import read_table
 
         sources = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
-        return cls(testdata_roles(spark, sf_dir, cfg), cfg, sources)
+        return cls(testdata_roles(spark, sf_dir), cfg, sources)
 
     @classmethod
     def from_parquet_roles(cls, spark: SparkSession, folder: str, cfg: ChurnConfig) -> "Context":
@@ -44,9 +44,8 @@ class Context:
         checkpoint folder (lineage cut, survives executor loss)."""
         if not self.cfg.materialize:
             return df
-        out, path = materialize_at(df)
-        self._paths.append(path)
-        return out
+        with collecting(self._paths):
+            return materialize_at(df)[0]
 
     _materialize = materialize
 

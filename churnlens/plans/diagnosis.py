@@ -2,7 +2,7 @@
 stated-vs-observed behaviour, pre-churn signals, acquisition channel (C1-C15).
 
 Outputs are unrounded (doubles); rounding is a presentation step
-(:func:`churnlens.functions.expr.round_half_up`).  Shares of a total are
+(:mod:`churnlens.plans.presentation`).  Shares of a total are
 computed over the grouped rows (:func:`share_of_groups`), so the base is
 read once; money stays decimal (exact) until the final division.
 """
@@ -86,7 +86,7 @@ def _lifetimes(ctx: Context) -> DataFrame:
 def lifetime_quartiles(ctx: Context) -> DataFrame:
     """C3a - quartiles of days-to-churn (NTILE(4), ties by account): accounts, min and max days."""
     tiles = distributed_ntile(_lifetimes(ctx), 4, {"quartile": OrderSpec("days")}, "account_id",
-                              ctx.cfg.ntile_rows_per_bucket)
+                              ctx.cfg.ntile_buckets)
     return tiles.groupBy("quartile").agg(
         F.count(F.lit(1)).alias("accounts"), F.min("days").alias("min_days"), F.max("days").alias("max_days")
     )
@@ -147,7 +147,7 @@ def revenue_churn(ctx: Context) -> DataFrame:
 def seat_quartiles(ctx: Context) -> DataFrame:
     """C6a - NTILE(4) of seats over all accounts (ties by account): accounts, min and max seats."""
     df = _accounts_state(ctx).select("account_id", "seats")
-    tiles = distributed_ntile(df, 4, {"quartile": OrderSpec("seats")}, "account_id", ctx.cfg.ntile_rows_per_bucket)
+    tiles = distributed_ntile(df, 4, {"quartile": OrderSpec("seats")}, "account_id", ctx.cfg.ntile_buckets)
     return tiles.groupBy("quartile").agg(
         F.count(F.lit(1)).alias("accounts"), F.min("seats").alias("min_seats"), F.max("seats").alias("max_seats")
     )
@@ -188,7 +188,7 @@ def value_concentration(ctx: Context) -> DataFrame:
     )
     df = ctx.materialize(df)
     tiles = distributed_ntile(df, 10, {"decile": OrderSpec("arr", descending=True)}, "account_id",
-                              ctx.cfg.ntile_rows_per_bucket)
+                              ctx.cfg.ntile_buckets)
     lost = F.when(F.col("is_churned") == 1, F.col("arr"))
     per = tiles.groupBy("decile").agg(
         F.count(F.lit(1)).alias("accounts"),

@@ -5,18 +5,16 @@ The candidate list never forms accounts x features.  Eligible features are
 ranked globally (gap DESC, name); an account's top-k unused features are
 among the first ``k + u`` ranks, where ``u`` is the number of eligible
 features it already uses.  So each account emits at most ``k + u`` candidate
-rows (an equi-join on the rank), and the anti join on (account, feature)
+rows (a slice of the ordered list), and the anti join on (account, feature)
 removes the used ones.  Exact, with work proportional to the account's own
 usage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 from ..config import ACTION_LABELS, RISK_LABELS, ChurnConfig
 from ..operators.ranking import top_k_per_group
 
@@ -82,25 +80,19 @@ def recommend_features(priority: DataFrame, used: DataFrame, cfg: ChurnConfig) -
     """E7 - for accounts with an action: up to ``top_k`` eligible features they never used,
     ordered by gap DESC then name; rank 1..k.  ``used`` = :func:`used_features`."""
     gaps = adoption_gap(priority, used, cfg)
-    # Eligible features are a handful of catalogue entries: a global rank over them is tiny.
-    ranked = gaps.select(
-        "feature_name", "adoption_healthy",
-        F.row_number().over(Window.orderBy(F.col("_gap100").desc(), F.col("feature_name"))).alias("_r"),
-    )
-    if cfg.materialize:
-        # A few catalogue rows, read three times below: cut the nested plan once.
-        ranked = materialize(ranked)
+    # The eligible features in order, as one array (a scalar): no join on the rank, which every
+    # account would share.  Its size is the part of the feature catalogue above the threshold.
+    entry = F.struct((-F.col("_gap100")).alias("minus_gap"), F.col("feature_name").alias("name"), F.col("adoption_healthy").alias("adoption"))
+    eligible = gaps.agg(F.sort_array(F.collect_list(entry))).scalar()
     targets = priority.where(F.col("action") != NO_ACTION).select("account_id", "risk_level", "arr", "action")
-    used_eligible = used.join(ranked.select("feature_name"), "feature_name")
+    used_eligible = used.join(gaps.select("feature_name"), "feature_name").select("account_id", "feature_name")
     u = used_eligible.groupBy("account_id").agg(F.count(F.lit(1)).alias("_u"))
-    n_feat = ranked.agg(F.count(F.lit(1))).scalar()
-    depth = F.least(F.lit(cfg.top_k) + F.coalesce(F.col("_u"), F.lit(0)), n_feat)
+    depth = F.lit(cfg.top_k) + F.coalesce(F.col("_u"), F.lit(0))
     cand = (
         targets.join(u, "account_id", "left")
-        .where(depth >= 1)
-        .select("account_id", "risk_level", "arr", "action", F.explode(F.sequence(F.lit(1), depth.cast("int"))).alias("_r"))
-        .join(ranked, "_r")
-        .join(used_eligible.select("account_id", "feature_name"), ["account_id", "feature_name"], "left_anti")
+        .select("account_id", "risk_level", "arr", "action", F.posexplode(F.slice(eligible, F.lit(1), depth.cast("int"))).alias("_r", "_f"))
+        .select("account_id", "risk_level", "arr", "action", "_r", F.col("_f.name").alias("feature_name"), F.col("_f.adoption").alias("adoption_healthy"))
+        .join(used_eligible, ["account_id", "feature_name"], "left_anti")
     )
     top = top_k_per_group(cand, ["account_id"], [F.col("_r")], cfg.top_k, rank_col="rank")
     return top.select("account_id", "risk_level", "arr", "action", "feature_name", "adoption_healthy",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ACTION_LABELS, RISK_LABELS, VALUE_LABELS, ChurnConfig
+from ..config import ACTIONS, RISK_LABELS, VALUE_LABELS, ChurnConfig
 from ..functions.expr import first_match, flag, lit_date, ratio
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import window_at_date
@@ -95,7 +95,7 @@ def risk_scores(signals: DataFrame, cfg: ChurnConfig, keep: Sequence[str] = ())
             "t_errors": OrderSpec("errors", descending=True),
         },
         "account_id",
-        cfg.ntile_rows_per_bucket,
+        cfg.ntile_buckets,
     )
     scored = tiles.select(
         "account_id",
@@ -138,11 +138,10 @@ def priority_portfolio(scores: DataFrame, metrics: DataFrame, cfg: ChurnConfig)
     """
     valued = scores.join(metrics.where(F.col("arr").isNotNull()).select("account_id", "arr"), "account_id")
     tiles = distributed_ntile(valued, 10, {"value_decile": OrderSpec("arr", descending=True)}, "account_id",
-                              cfg.ntile_rows_per_bucket)
+                              cfg.ntile_buckets)
     p, d = F.col("total_points"), F.col("value_decile")
     r_hi, r_med, r_low = RISK_LABELS
     v_hi, v_med, v_low = VALUE_LABELS
-    a1, a2, a3, a4 = ACTION_LABELS
     risk = first_match([(p >= cfg.risk_high, r_hi), (p >= cfg.risk_medium, r_med)], r_low)
     value = first_match([(d <= cfg.value_high_decile, v_hi), (d <= cfg.value_medium_decile, v_med)], v_low)
     out = tiles.select(
@@ -157,16 +156,7 @@ def priority_portfolio(scores: DataFrame, metrics: DataFrame, cfg: ChurnConfig)
         "arr",
     )
     rl, vl = F.col("risk_level"), F.col("value_level")
-    action = first_match(
-        [
-            ((rl == r_hi) & (vl == v_hi), a1),
-            ((rl == r_hi) & (vl == v_med), a2),
-            ((rl == r_med) & (vl == v_hi), a2),
-            ((rl == r_hi) & (vl == v_low), a3),
-            ((rl == r_med) & (vl == v_med), a3),
-        ],
-        a4,
-    )
+    action = first_match([((rl == risk) & (vl == value), label) for (risk, value), label in ACTIONS.items()])
     return out.withColumn("action", action)
 
 

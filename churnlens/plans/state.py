@@ -63,7 +63,10 @@ def value_at_ref(refs: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
     Accounts without a live contract are absent (NULL value after a left join).
     """
-    subs = subscriptions.select("account_id", "start_date", "end_date", "mrr_amount", "arr_amount")
+    # one row per account and validity interval reaches the join, however many contracts share it
+    subs = subscriptions.groupBy("account_id", "start_date", "end_date").agg(
+        F.sum("mrr_amount").alias("mrr_amount"), F.sum("arr_amount").alias("arr_amount")
+    )
     return (
         refs.select("account_id", "value_date")
         .join(subs, "account_id")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +34,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, honouring ``spark.checkpoint.dir``.
+    """Return the folder that ``spark.checkpoint.dir`` names; on a cluster it is shared storage.
 
-    On a cluster the folder named by ``spark.checkpoint.dir`` is shared storage
-    and is used as is.  Only when nothing is configured (local tests) a
-    scratch folder is created.
+    Where nothing is configured, a session in one JVM (``local[...]``, as in tests) gets a scratch
+    folder that goes with the process; any other session is refused, because executors would each
+    write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,11 +46,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="churnlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Tables written inside are noted in ``paths``, so that their owner can release them."""
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     return materialize_at(df)[0]
 
@@ -64,6 +85,8 @@ def materialize_at(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{base}/churnlens-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.parquet(path), path
 
 
@@ -88,32 +111,3 @@ def release_materialized(spark: SparkSession, paths: list[str] | None = None) ->
         if p in _MATERIALIZED.get(app, []):
             _MATERIALIZED[app].remove(p)
     return done
-
-
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Session settings sized for the data: shuffle partitions so that each holds about
-    ``target_partition_bytes`` (and at least two waves of tasks), file splits of the same size,
-    AQE coalescing and skew splitting around that size.
-
-    Example: 100 TB on 1000 executors x 8 cores -> 400k shuffle partitions of ~256 MB, which AQE
-    coalesces after the (much smaller) aggregated stages.
-    """
-    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
-    size = str(target_partition_bytes)
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": size,
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.sql.session.timeZone": "UTC",
-    }
-
-
-def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
-    """Set runtime SQL options (those that can change after the session started)."""
-    for k, v in conf.items():
-        spark.conf.set(k, v)

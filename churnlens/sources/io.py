@@ -14,7 +14,10 @@ published marts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,20 +30,37 @@ DEFAULT_FILES = {r: f"{r}.csv" for r in LOAD_ORDER}
 
 
 def read_role_csv(spark: SparkSession, path: str, role: str, id_type: T.DataType = T.StringType(),
-                  mode: str = "FAILFAST") -> DataFrame:
-    """S1 - one role from a header CSV with its declared schema.
-
-    Booleans written as ``True``/``False`` and ISO dates parse directly;
-    timestamps use ``yyyy-MM-dd HH:mm:ss``.
+                  strict: bool = True) -> DataFrame:
+    """S1 - one role from a header CSV: columns are found by their header names, in any order, and cast
+    to the declared types (dates ``yyyy-MM-dd``, timestamps ``yyyy-MM-dd HH:mm:ss``, booleans
+    ``True``/``False``).
+
+    A missing column is refused; other columns are ignored.  A usage file may lack ``account_id``,
+    which :func:`denormalise_usage` fills.  ``strict=False`` turns values that do not parse into NULL
+    (count them first with :func:`date_parse_audit`), else reading them fails.
     """
-    return (
-        spark.read.schema(schema(role, id_type))
-        .option("header", True)
-        .option("mode", mode)
-        .option("dateFormat", "yyyy-MM-dd")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("emptyValue", None)
-        .csv(path)
+    raw = spark.read.option("header", True).option("emptyValue", None).csv(path)
+    fields = schema(role, id_type).fields
+    missing = [x.name for x in fields if x.name not in raw.columns and (role, x.name) != ("usage", "account_id")]
+    if missing:
+        raise LoadCheckFailed(f"{path}: no column {', '.join(missing)} in the header")
+    out = []
+    for x in fields:
+        if x.name not in raw.columns:
+            c = F.lit(None).cast(x.dataType)
+        elif isinstance(x.dataType, T.DateType):
+            c = parse_date(F.col(x.name), strict)
+        else:
+            c = F.col(x.name).cast(x.dataType) if strict else F.col(x.name).try_cast(x.dataType)
+        out.append(c.alias(x.name))
+    return raw.select(*out)
+
+
+def denormalise_usage(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Usage with the account of its subscription (NULL for an unknown one), column order kept."""
+    owner = subscriptions.select("subscription_id", F.col("account_id").alias("_owner"))
+    return usage.join(owner, "subscription_id", "left").select(
+        *[F.coalesce("account_id", "_owner").alias(c) if c == "account_id" else F.col(c) for c in usage.columns]
     )
 
 
@@ -48,7 +68,10 @@ def read_roles_csv(spark: SparkSession, folder: str, files: dict[str, str] | Non
                    id_type: T.DataType = T.StringType()) -> dict[str, DataFrame]:
     """S1 fan-out: every role present in ``files`` (default ``<role>.csv``) read from ``folder``."""
     files = files or DEFAULT_FILES
-    return {role: read_role_csv(spark, f"{folder}/{name}", role, id_type) for role, name in files.items()}
+    out = {role: read_role_csv(spark, f"{folder}/{name}", role, id_type) for role, name in files.items()}
+    if "usage" in out and "subscriptions" in out:
+        out["usage"] = denormalise_usage(out["usage"], out["subscriptions"])
+    return out
 
 
 def date_parse_audit(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -63,74 +86,90 @@ def date_parse_audit(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") ->
     return agg.select(F.expr(f"stack({len(cols)}, {body}) as (column_name, non_empty, unparseable)"))
 
 
-def parse_dates(df: DataFrame, cols: list[str], fmt: str = "yyyy-MM-dd") -> DataFrame:
-    """S3 - text columns to ``DateType`` (unparseable -> NULL; audit first with :func:`date_parse_audit`)."""
-    return df.select(*[F.to_date(F.try_to_timestamp(F.col(c), F.lit(fmt))).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+def parse_date(c: Column, strict: bool = True, fmt: str = "yyyy-MM-dd") -> Column:
+    """S3 - text to ``DateType``; unparseable text fails, or is NULL if not ``strict``."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    return F.to_date(text, fmt) if strict else F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
 
 
 class LoadCheckFailed(RuntimeError):
     pass
 
 
-def check_before_load(tables: dict[str, DataFrame]) -> DataFrame:
+def check_before_load(tables: dict[str, DataFrame], stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """Violations that would have been rejected by the declared keys, foreign keys and constraints.
 
-    Returns (table_name, check, violations); the caller decides.
+    Keys are checked over stored and new rows together, and a foreign key's parents are the stored
+    and the new ones.  Returns (table_name, check, violations); the caller decides.
     """
+    stored = stored or {}
     rows = []
+
+    def everything(role: str, cols: list[str]) -> DataFrame | None:
+        frames = [x[role].select(*cols) for x in (stored, tables) if role in x]
+        return frames[0].unionByName(frames[1]) if len(frames) == 2 else frames[0] if frames else None
+
     for role, df in tables.items():
         c = CONTRACTS[role]
         if c.key:
-            u = qa.key_uniqueness(df, role, list(c.key))
+            u = qa.key_uniqueness(everything(role, list(c.key)), role, list(c.key))
             rows.append(u.select("table_name", F.lit("primary_key").alias("check"),
                                  F.col("duplicated_keys").alias("violations")))
         v = qa.domain_violations(df, c)
         rows.append(v.select("table_name", F.col("constraint_name").alias("check"), "violations"))
         for col, parent, pcol in c.foreign_keys:
-            if parent in tables:
-                n = qa.fk_orphans(df, tables[parent], col, pcol).agg(F.count(F.lit(1)).alias("violations"))
-                rows.append(n.select(F.lit(role).alias("table_name"), F.lit(f"foreign_key:{col}").alias("check"),
-                                     "violations"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+            parents = everything(parent, [pcol])
+            orphans = qa.fk_orphans(df, parents, col, pcol) if parents is not None else df.where(F.col(col).isNotNull())
+            n = orphans.agg(F.count(F.lit(1)).alias("violations"))
+            rows.append(n.select(F.lit(role).alias("table_name"), F.lit(f"foreign_key:{col}").alias("check"), "violations"))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def _stored(spark: SparkSession, folder: str, role: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{role}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{folder}/{role}").withColumn("batch", F.col("batch").cast("string"))
 
 
-def write_roles(tables: dict[str, DataFrame], out_dir: str, mode: str = "append", check: bool = True,
+def write_roles(tables: dict[str, DataFrame], out_dir: str, batch: str | None = None, check: bool = True,
                 id_type: T.DataType = T.StringType()) -> DataFrame:
-    """S4 - write the roles in dependency order (parents first), keeping the declared schema.
+    """S4 - add one batch to the stored roles in dependency order (parents first), keeping the declared schema.
 
-    With ``check=True`` the load is refused when any key, foreign-key or
-    constraint violation is found (what the database would have rejected).
-    Returns the reconciliation report (rows written per table).
+    With ``check=True`` the load is refused when any key, foreign-key or constraint violation is
+    found (what the database would have rejected), over the stored and the new rows.  Rows are stored
+    under their batch: writing a batch again (a retry after a failure) replaces it.  Fact roles are
+    also partitioned by month; the rebalance hint sizes their files, splitting large months and
+    joining small ones.  Returns the reconciliation report: rows of the batch against rows added.
     """
+    spark = next(iter(tables.values())).sparkSession
+    batch = batch or uuid.uuid4().hex
+    before = {r: x for r in LOAD_ORDER if (x := _stored(spark, out_dir, r)) is not None}
+    others = {r: x.where(F.col("batch") != batch) for r, x in before.items()}
     if check:
-        bad = check_before_load(tables).where(F.col("violations") > 0).collect()  # a few report rows
+        bad = check_before_load(tables, others).where(F.col("violations") > 0).collect()  # a few report rows
         if bad:
             raise LoadCheckFailed("; ".join(f"{r['table_name']} {r['check']}: {r['violations']}" for r in bad))
-    for role in LOAD_ORDER:
-        if role not in tables:
-            continue
+    kept = {r: others[r].count() if r in others else 0 for r in tables}
+    for role in [r for r in LOAD_ORDER if r in tables]:
         s = schema(role, id_type)
-        df = tables[role].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.fields])
-        w = df
+        df = tables[role].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.fields]).withColumn("batch", F.lit(batch))
+        parts = ["batch"]
         if role in MONTH_PARTITION:
-            w = df.withColumn("month", F.date_format(F.col(MONTH_PARTITION[role]), "yyyy-MM"))
-            w.write.mode(mode).partitionBy("month").parquet(f"{out_dir}/{role}")
-        else:
-            w.write.mode(mode).parquet(f"{out_dir}/{role}")
-    spark = next(iter(tables.values())).sparkSession
-    loaded = {r: spark.read.parquet(f"{out_dir}/{r}") for r in LOAD_ORDER if r in tables}
-    expected = {r: tables[r].agg(F.count(F.lit(1))).scalar() for r in loaded}
-    return qa.load_reconcile(loaded, expected)
+            df = df.withColumn("month", F.date_format(F.col(MONTH_PARTITION[role]), "yyyy-MM")).hint("rebalance", "month")
+            parts.append("month")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{out_dir}/{role}")
+    loaded = {r: _stored(spark, out_dir, r) for r in LOAD_ORDER if r in tables}
+    expected = {r: tables[r].agg((F.count(F.lit(1)) + kept[r]).alias("n")).scalar() for r in loaded}
+    report = qa.load_reconcile(loaded, expected)
+    base = F.coalesce(*[F.when(F.col("table_name") == r, F.lit(n)) for r, n in kept.items()]).cast("long")
+    return report.select("table_name", (F.col("expected") - base).alias("expected"), (F.col("loaded") - base).alias("loaded"), "status")
 
 
 def read_roles_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Read back roles written by :func:`write_roles`.  Fact roles keep their ``month`` partition
     column, which :func:`churnlens.operators.windows.window_at_date` uses for partition pruning."""
-    return {r: spark.read.parquet(f"{folder}/{r}") for r in LOAD_ORDER}
+    return {r: spark.read.parquet(f"{folder}/{r}").drop("batch") for r in LOAD_ORDER}
 
 
 def write_marts(marts: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> None:

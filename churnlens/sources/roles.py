@@ -17,13 +17,11 @@ are exact and independent of summation order.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import TESTDATA_CONFIG, ChurnConfig
 from .schemas import DEC, INDUSTRIES, PLAN_TIERS, PRIORITIES, REASON_CODES
 
 # Fixed mapping of market segments onto acquisition channels.
@@ -64,22 +62,14 @@ def _money(cents: Column) -> Column:
     return (cents / 100).cast(DEC)
 
 
-def _day_after(d: dt.date) -> Column:
-    # A TIMESTAMP_NTZ literal: independent of the session time zone, and it reaches
-    # the parquet scan as a pushed filter.
-    nxt = d + dt.timedelta(days=1)
-    return F.expr(f"TIMESTAMP_NTZ '{nxt.isoformat()} 00:00:00'")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA_CONFIG) -> Roles:
+def testdata_roles(spark: SparkSession, sf_dir: str) -> Roles:
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
     lineitem = read_table(spark, sf_dir, "lineitem")
-    end = _day_after(cfg.close_date)
 
     first_order = orders.groupBy(F.col("o_custkey").alias("account_id")).agg(
         F.to_date(F.min("o_orderdate")).alias("signup_date")
@@ -106,7 +96,7 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     trial = (okey % 7) == 0
     start = F.to_date("o_orderdate")
-    subscriptions = orders.where(F.col("o_orderdate") < end).select(
+    subscriptions = orders.select(
         okey.alias("subscription_id"),
         F.col("o_custkey").alias("account_id"),
         start.alias("start_date"),
@@ -124,9 +114,9 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
     )
 
     order_account = orders.select("o_orderkey", F.col("o_custkey").alias("account_id"))
-    items = lineitem.where(F.col("l_shipdate") < end).join(
-        order_account, F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    # Every item stays, also one whose order is missing (its account is unknown) or that shipped after
+    # the period's close: dates are bounded by the windows that ask for it.
+    items = lineitem.join(order_account, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     item_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     usage = items.select(
         item_id.alias("usage_id"),
@@ -140,9 +130,7 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
         ((F.col("l_partkey") % 7) == 0).alias("is_beta_feature"),
     )
 
-    events = orders.where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < end)
-    )
+    events = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
     churn_events = events.select(
         okey.alias("churn_event_id"),
         F.col("o_custkey").alias("account_id"),
@@ -157,7 +145,8 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
     )
 
     hours = F.col("l_quantity") * 1.5
-    submitted = F.col("l_shipdate").cast("timestamp_ntz")
+    # a time of day on most tickets: an hour for each line after the first, which is at midnight
+    submitted = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("l_linenumber") - 1).cast("int"))
     tickets = items.where(F.col("l_returnflag") == "R").select(
         item_id.alias("ticket_id"),
         "account_id",
@@ -172,9 +161,8 @@ def testdata_roles(spark: SparkSession, sf_dir: str, cfg: ChurnConfig = TESTDATA
     return Roles(accounts, subscriptions, usage, churn_events, tickets)
 
 
-def expected_counts(sources: dict[str, DataFrame], cfg: ChurnConfig = TESTDATA_CONFIG) -> dict[str, Column]:
+def expected_counts(sources: dict[str, DataFrame]) -> dict[str, Column]:
     """Rows each role should hold, counted on the source selection it is built from (scalar Columns)."""
-    end = _day_after(cfg.close_date)
     orders, lineitem = sources["orders"], sources["lineitem"]
 
     def n(df: DataFrame) -> Column:
@@ -182,9 +170,8 @@ def expected_counts(sources: dict[str, DataFrame], cfg: ChurnConfig = TESTDATA_C
 
     return {
         "accounts": n(sources["customer"]),
-        "subscriptions": n(orders.where(F.col("o_orderdate") < end)),
-        "usage": n(lineitem.where(F.col("l_shipdate") < end)),
-        "churn_events": n(orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
-                                       & (F.col("o_orderdate") < end))),
-        "tickets": n(lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") < end))),
+        "subscriptions": n(orders),
+        "usage": n(lineitem),
+        "churn_events": n(orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))),
+        "tickets": n(lineitem.where(F.col("l_returnflag") == "R")),
     }
