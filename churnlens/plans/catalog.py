@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import share_of_groups
 from ..session import collecting
+from . import state as st
 from .context import Context
 
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {}
@@ -46,7 +47,8 @@ for _name in (
     "cohort_churn", "churn_by_month", "signups_by_month", "lifetime_quartiles", "lifetime_bands", "refund_cost",
     "revenue_churn", "seat_quartiles", "seat_band_churn", "value_concentration", "reason_share", "reason_cost",
     "reason_by_size", "reason_by_lifetime", "claim_features_check", "claim_support_check",
-    "behaviour_before_churn", "support_before_churn", "channel_risk",
+    "behaviour_before_churn", "support_before_churn", "channel_risk", "churn_by_segment", "alltime_comparison",
+    "trailing_usage", "trailing_support", "recency_at_ref",
 ):
     QUERIES[_name] = getattr(dg, _name)
 
@@ -57,6 +59,18 @@ def q_account_metrics(ctx: Context) -> DataFrame:
     return ctx.metrics
 
 
+@query("value_at_ref")
+def q_value_at_ref(ctx: Context) -> DataFrame:
+    """V2b - MRR and ARR of the contracts live at each account's value date."""
+    return ctx.value
+
+
+@query("usage_profile")
+def q_usage_profile(ctx: Context) -> DataFrame:
+    """V2c - all-time usage per account that has any."""
+    return st.usage_profile(ctx.roles.usage, ctx.cfg)
+
+
 # ---------------------------------------------------------------- early warning E1-E5, M5
 from . import extras as ex  # noqa: E402
 from . import marts as mt  # noqa: E402
@@ -111,6 +125,12 @@ def q_backtest_sweep(ctx: Context) -> DataFrame:
     return rk.backtest_sweep(ctx, cuts)
 
 
+@query("lift_stability")
+def q_lift_stability(ctx: Context) -> DataFrame:
+    """M5 - mean and deviation of the lift over the cuts of the sweep."""
+    return rk.lift_stability(q_backtest_sweep(ctx))
+
+
 # ---------------------------------------------------------------- recommender E6-E8, M2
 @query("adoption_gap")
 def q_adoption_gap(ctx: Context) -> DataFrame:

@@ -397,3 +397,56 @@ def channel_risk(ctx: Context) -> DataFrame:
         "channel", "accounts", "churned", "churn_pct", "mean_observed_days",
         F.col("_lost").cast("double").alias("arr_lost"), share_of_groups("_lost").alias("arr_lost_pct"),
     )
+
+
+# ---------------------------------------------------------------- flat controls and all-time comparison
+SEGMENTS = ("plan_tier", "industry", "country")
+
+
+def churn_by_segment(ctx: Context) -> DataFrame:
+    """Accounts, churned and churn % per value of plan tier, industry and country (one pass)."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in SEGMENTS)
+    df = _accounts_state(ctx).select("is_churned", F.expr(f"stack({len(SEGMENTS)}, {pairs}) as (dimension, value)"))
+    return df.groupBy("dimension", "value").agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.sum("is_churned").cast("long").alias("churned"),
+        (F.avg("is_churned") * 100).alias("churn_pct"),
+    )
+
+
+def alltime_comparison(ctx: Context) -> DataFrame:
+    """Leaving against staying accounts over all time: breadth, tickets, resolution, satisfaction, escalation, value.
+
+    Accounts without usage or tickets count as 0 in breadth and tickets, and are left out of the means of the rest.
+    """
+    df = (
+        ctx.state.select("account_id", "is_churned")
+        .join(ctx.metrics.select("account_id", "breadth", "arr"), "account_id")
+        .join(tickets_per_account(ctx.roles.tickets), "account_id", "left")
+    )
+    return df.groupBy("is_churned").agg(
+        F.count(F.lit(1)).alias("accounts"),
+        F.avg(F.coalesce("breadth", F.lit(0))).alias("mean_breadth"),
+        F.avg(F.coalesce("n_tickets", F.lit(0))).alias("mean_tickets"),
+        stable(F.avg("hours")).alias("mean_hours"),
+        stable(F.avg("satisfaction")).alias("mean_satisfaction"),
+        stable(F.avg("escalation_rate") * 100).alias("escalated_pct"),
+        dec_mean("arr").alias("mean_arr"),
+    )
+
+
+# ---------------------------------------------------------------- per-account windows (A12, A13)
+def trailing_usage(ctx: Context) -> DataFrame:
+    """A12 - usage in the window that ends at each account's own reference date."""
+    return usage_before_ref(ctx, ctx.refs, ctx.cfg.window_days).select("account_id", "events", "intensity", "errors")
+
+
+def trailing_support(ctx: Context) -> DataFrame:
+    """A12 - tickets in the window that ends at each account's own reference date."""
+    per = support_before_ref(ctx, ctx.refs, ctx.cfg.window_days)
+    return per.select("account_id", "tickets", "hours", "first_response", "satisfaction", "escalated_pct")
+
+
+def recency_at_ref(ctx: Context) -> DataFrame:
+    """A13 - days since the last use on or before the reference date (NULL: never used before it)."""
+    return usage_before_ref(ctx, ctx.refs, ctx.cfg.window_days).select("account_id", "ref_date", "silence_days")

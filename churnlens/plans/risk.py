@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ACTIONS, RISK_LABELS, VALUE_LABELS, ChurnConfig
-from ..functions.expr import first_match, flag, lit_date, ratio
+from ..functions.expr import first_match, flag, lit_date, ratio, stable
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import window_at_date
 from .context import Context
@@ -237,5 +237,5 @@ def backtest_sweep(ctx: Context, cuts: Sequence[dt.date]) -> DataFrame:
 def lift_stability(sweep: DataFrame) -> DataFrame:
     """Mean and sample deviation of the lift per risk level across cuts."""
     return sweep.groupBy("risk_level").agg(
-        F.count(F.lit(1)).alias("cuts"), F.avg("lift").alias("mean_lift"), F.stddev_samp("lift").alias("sd_lift")
+        F.count(F.lit(1)).alias("cuts"), stable(F.avg("lift")).alias("mean_lift"), stable(F.stddev_samp("lift")).alias("sd_lift")
     )
