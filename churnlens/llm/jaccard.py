@@ -247,6 +247,11 @@ def inside_groups(percent: int, nearest: int, hub_checked: bool) -> Callable[[It
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, copies (rows with an equal set)."""
+    with T.small_batches(docs.sparkSession):
+        return _join(docs, n, percent, id_col, text_col, nearest, block)
+
+
+def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, nearest: int, block: int) -> DataFrame:
     spark = docs.sparkSession
     kept, scratch = [], []
 

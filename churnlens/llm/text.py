@@ -7,6 +7,7 @@ fingerprint is a 64-bit polynomial over per-byte random values, finalised by a m
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Arrow batches of the steps that hold much else in memory.
+BATCH_BYTES = 16 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -161,6 +164,18 @@ def deploy(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([paths, root])
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside get Arrow batches of at most ``BATCH_BYTES``; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     deploy(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
