@@ -198,3 +198,13 @@ def _tracked(fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFram
 
 
 QUERIES.update({name: _tracked(fn) for name, fn in QUERIES.items()})
+
+
+VIEWS = ("churn_state", "account_metrics", "risk_signals", "risk_scores", "priority_portfolio", "recommend_features", "account_mart", "monthly_flow")
+
+
+def create_views(ctx: Context, prefix: str = "") -> list[str]:
+    """S6 - the published views as temporary views of the session, replaced if they exist."""
+    for name in VIEWS:
+        QUERIES[name](ctx).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in VIEWS]

@@ -64,6 +64,9 @@ PRESENTATION: dict[str, tuple[list[str], dict[str, int]]] = {
     "adoption_gap": ([_desc("gap"), "feature_name"], {}),
     "monthly_flow": (["month"], {}),
     "account_metrics": ([], {"errors_per_event": 3}),
+    "duplicate_rows": (["usage_id", "usage_date", "feature_name"], {}),
+    "churn_by_segment": (["dimension", _desc("churn_pct"), "value"], {"churn_pct": 2}),
+    "lift_stability": ([_risk_order], {"mean_lift": 2, "sd_lift": 2}),
 }
 
 

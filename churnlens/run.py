@@ -17,7 +17,7 @@ def main(argv=None) -> None:
     ap.add_argument("--all", action="store_true")
     ap.add_argument("--list", action="store_true")
     ap.add_argument("--out", help="write each result as parquet under this folder instead of printing")
-    ap.add_argument("--rows", type=int, default=50, help="rows to print per presented table")
+    ap.add_argument("--rows", type=int, help="print at most so many rows of a table (default: all)")
     ap.add_argument("--cores", default="*")
     args = ap.parse_args(argv)
 
@@ -40,7 +40,8 @@ def main(argv=None) -> None:
             print(f"{name}: written")
         else:
             print(f"== {name}")
-            present(name, df).show(args.rows, truncate=False)
+            table = present(name, df)
+            table.show(table.count() if args.rows is None else args.rows, truncate=False)
 
 
 if __name__ == "__main__":

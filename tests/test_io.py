@@ -230,3 +230,20 @@ def test_profile_numeric_reports_nan(spark):
 
     (r,) = profile_numeric(spark.createDataFrame([(float("nan"),), (1.0,)], "x double"), "t", ["x"]).collect()
     assert math.isnan(r["mean"]) and r["count"] == 2
+
+
+def test_views_can_be_created_again(spark):
+    from churnlens.config import TESTDATA_CONFIG
+    from churnlens.plans.catalog import create_views
+    from churnlens.plans.context import Context
+    from churnlens.plans.presentation import present
+
+    if not os.path.exists("/root/testdata/sf0.001/orders.parquet"):
+        pytest.skip("test tables not present")
+    ctx = Context.from_testdata(spark, "/root/testdata/sf0.001", TESTDATA_CONFIG)
+    for _ in range(2):
+        names = create_views(ctx, "churn_view_")
+    got = spark.sql("SELECT s.account_id FROM churn_view_churn_state s JOIN churn_view_account_mart m USING (account_id)").count()
+    assert got == ctx.state.count() and len(names) == 8
+    dup = spark.createDataFrame([("b", 1), ("a", 2), ("b", 0)], "usage_id string, usage_date int").withColumn("feature_name", F.lit("x"))
+    assert [tuple(r)[:2] for r in present("duplicate_rows", dup).collect()] == [("a", 2), ("b", 0), ("b", 1)]
