@@ -31,3 +31,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not moved:
             release_materialized(labels.sparkSession, [both_path])
             return labels
+
+
+def extend(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``labels`` (of :func:`components`) after more links: only the components that these join are worked on."""
+    links = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    named = labels.select("node", "component")
+    left = named.withColumnsRenamed({"node": "a", "component": "_a"})
+    right = named.withColumnsRenamed({"node": "b", "component": "_b"})
+    between = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti")
+    nodes = named.unionByName(fresh.withColumn("component", F.col("node")))
+    return nodes.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))

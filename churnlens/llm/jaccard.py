@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as T
-from churnlens.llm.components import components
+from churnlens.llm.components import components, extend
 from churnlens.session import materialize, materialize_at, release_materialized
 
 SKETCH = 1 << 20
 SEGMENT = 1 << 10
 RANGES = 64
 BLOCK = 2048
-NEAREST = 2
+NEAREST, WIDEN = 2, 16
 #: Up to so many candidate ids are broadcast to pick their texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -280,9 +280,8 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, nea
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     pairs = hold(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(near, "a long, b long"))
-    links = hold(verify(pairs, docs, n, percent, id_col, text_col))
     tested = pairs
-    labels = hold(components(links))
+    labels = hold(components(verify(pairs, docs, n, percent, id_col, text_col)))
     while True:
         several = met.where("members > 2").drop("hub_n", "hub_pos")
         named = several.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -297,11 +296,12 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, nea
         more = not found.where("more").limit(1).isEmpty()
         if not fresh.isEmpty():
             new = hold(verify(fresh, docs, n, percent, id_col, text_col))
-            links, tested = links.unionByName(new), tested.unionByName(fresh)
-            labels = hold(components(links))
+            tested = tested.unionByName(fresh)
+            if not new.isEmpty():
+                labels = hold(extend(labels, new))
         if not more:
             break
-        nearest *= 4
+        nearest *= WIDEN
     labels, path = materialize_at(labels)
     release_materialized(spark, scratch)
     named = classes.select("digest", "copies", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component_id"))

@@ -258,3 +258,35 @@ def test_word_encoder_on_random_strings():
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 20))) for _ in range(3000)]
     want = [np.array(e.ids, encoder.kind).tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x for k in range(0, 3000, 100) for x in encoder.encode(texts[k : k + 100])] == want
+
+
+def test_components_extended_by_links(spark):
+    from churnlens.llm.components import components, extend
+
+    r = random.Random(9)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    want = {x: root(x) for x in parent}
+    got = {x["node"]: x["component"] for x in extend(components(frame(edges[:20])), frame(edges[20:])).collect()}
+    assert {k: got.get(k, k) for k in want} == want
+
+
+def test_jaccard_join_finds_links_that_no_hub_has(spark):
+    """Every n-gram two short documents share stands in a longer one with more copies, their hub, which links to neither."""
+    r = random.Random(11)
+    ws = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, " ".join(ws), "en", "s") for k in (1, 2, 3)]
+    rows += [(10 + k, " ".join([*ws[:60], f"x{k}"]), "en", "s") for k in range(4)]
+    rows += [(20 + k, " ".join([*ws[100:160], f"y{k}"]), "en", "s") for k in range(2)]
+    out = jaccard.join(X.table(spark, rows))
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == X.as_counter(X.jaccard(rows))
+    assert {r["component_id"] for r in out.collect()} == {1, 10, 20}
