@@ -108,8 +108,10 @@ def train(docs: DataFrame, limit: int = SAMPLE, buckets: int = BUCKETS, orders:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language and score of every row of ``docs``."""
+    """Language and score of every row of ``docs``; ``text_col`` may be a field of the column ``id_col``,
+    which then travels once, text and all."""
     spark = docs.sparkSession
+    field = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else None
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -119,7 +121,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             if not batch.num_rows:
                 continue
             names, score = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
-            for c in T.chunks(batch.column(1)) if m.languages else ():
+            texts = batch.column(0).field(field) if field else batch.column(1)
+            for c in T.chunks(texts) if m.languages else ():
                 points, offsets, n_letters = code_points(strings(c), letter)
                 total = np.zeros((c.hi - c.lo, len(m.languages)))
                 for order in m.orders:
@@ -135,7 +138,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score[c.lo + rows] = (1 / np.exp(part).sum(1))[rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.with_fields(docs, [id_col], "lang_pred string, score double"))
+    return docs.select(*([id_col] if field else [id_col, text_col])).mapInArrow(run, T.with_fields(docs, [id_col], "lang_pred string, score double"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

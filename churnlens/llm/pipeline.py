@@ -21,8 +21,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose language is told with a score of ``LEAST_SCORE`` or more; texts without a letter go."""
     T.deploy(spark)
     model = language.train(docs.where(T.crc_mod("doc_id", 4) != 2))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    told = language.predict(rows, model, id_col="_row", text_col="_text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    told = language.predict(rows, model, id_col="_row", text_col="_row.text")
     return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
