@@ -1,8 +1,8 @@
 """Licence scan by a positional rare-token index over licence templates.
 
 Offline, every template word gets an inverse document frequency over the template collection and a
-posting list of (template, position).  For a file, the licence words with the highest IDF among
-those it holds are looked up; each pair of an occurrence and a posting proposes an alignment
+posting list of (template, position).  For a file, every licence word with a posting is looked up,
+however many a file holds; each pair of an occurrence and a posting proposes an alignment
 (template, file position - template position).  Alignments that enough words agree on are verified:
 a mandatory key phrase of the template must stand in the file at the aligned position.
 
@@ -150,29 +150,35 @@ def stands_at(number: np.ndarray, row: np.ndarray, at: np.ndarray, phrase: list[
     return ok
 
 
-def align(index: Index, number: np.ndarray, row: np.ndarray, first: np.ndarray, top_words: int, least: float) -> list[tuple[int, int, int, float]]:
-    """Verified alignments: (row, template, first word's position in the row, share of the IDF weight in place)."""
-    places = np.flatnonzero(index.idf[number] > 0)
-    if not len(places):
-        return []
-    # The distinct licence words of each row by IDF; words that tie with the last one kept stay too.
+def rarest(index: Index, number: np.ndarray, row: np.ndarray, places: np.ndarray, top_words: int) -> np.ndarray:
+    """The places of each row's ``top_words`` licence words of highest IDF; words that tie with the last one stay too."""
     pairs = np.unique(np.stack([row[places], number[places]], 1), axis=0)
     pairs = pairs[np.lexsort((pairs[:, 1], -index.idf[pairs[:, 1]], pairs[:, 0]))]
     begin = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
-    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(pairs)]))
     size = np.diff(np.r_[begin, len(pairs)])
     bound = index.idf[pairs[begin + np.minimum(size, top_words) - 1, 1]]
-    chosen = pairs[index.idf[pairs[:, 1]] >= bound[of]]
+    chosen = pairs[index.idf[pairs[:, 1]] >= np.repeat(bound, size)]
     width = len(index.idf) + 1
-    places = places[np.isin(row[places] * width + number[places], chosen[:, 0] * width + chosen[:, 1])]
+    return places[np.isin(row[places] * width + number[places], chosen[:, 0] * width + chosen[:, 1])]
+
+
+def align(index: Index, number: np.ndarray, row: np.ndarray, first: np.ndarray, top_words: int | None = None, least: float = 0.3) -> list[tuple[int, int, int, float]]:
+    """Verified alignments: (row, template, first word's position in the row, share of the IDF weight in place)."""
+    places = np.flatnonzero(index.idf[number] > 0)
+    if not len(places):
+        return []
+    if top_words is not None:
+        places = rarest(index, number, row, places, top_words)
     # Join the places with the postings of their words.
     count = index.posting_first[number[places] + 1] - index.posting_first[number[places]]
     place = np.repeat(places, count)
     posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.posting_first[number[places]], count)
     template, start = index.posting_template[posting], place - index.posting_at[posting]
-    votes = np.stack([row[place], template, start], 1)
-    found, back = np.unique(votes, axis=0, return_inverse=True)
-    share = np.bincount(back.ravel(), index.idf[number[place]], len(found)) / index.weight[found[:, 1]]
+    lead = int(index.length.max())
+    wide = len(number) + lead
+    votes, back = np.unique((row[place] * len(index.length) + template) * wide + start + lead, return_inverse=True)
+    found = np.stack([votes // wide // len(index.length), votes // wide % len(index.length), votes % wide - lead], 1)
+    share = np.bincount(back, index.idf[number[place]], len(found)) / index.weight[found[:, 1]]
     verified = np.zeros(len(found), bool)
     for t, at, phrase in index.keys:
         mine = np.flatnonzero(found[:, 1] == t)
@@ -183,11 +189,11 @@ def align(index: Index, number: np.ndarray, row: np.ndarray, first: np.ndarray,
     return [(int(r), int(t), int(s - first[r]), float(min(1.0, x))) for (r, t, s), x in zip(found[keep], share[keep], strict=True)]
 
 
-def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", top_words: int = 12, least: float = 0.3) -> DataFrame:
+def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", top_words: int | None = None, least: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: word count, base places and labels, aligned templates, score.
 
-    ``top_words`` is how many licence words of highest IDF a file is looked up by; ``least`` is the
-    share of a template's IDF weight that must be in place.  ``score`` is the best alignment's
+    ``top_words`` limits the look-up to a file's licence words of highest IDF, by default it has no
+    limit; ``least`` is the share of a template's IDF weight that must be in place.  ``score`` is the best alignment's
     share, 1 where a base phrase stands.
     """
     index = index or build_index()

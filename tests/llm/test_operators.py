@@ -55,6 +55,17 @@ def test_license_alignment_needs_its_key_phrase_in_place():
         assert {index.labels[t] for _, t, _, _ in licenses.align(index, licenses.number_words(index, w.hash), w.row, w.first, 12, 0.3)} == want
 
 
+def test_license_notices_stand_out_in_long_texts_and_beside_other_notices(spark):
+    plain = "with that it are by has can any may use see file text form program project possible following " * 40
+    bsd = next(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    notices = {label: t for label, t, _ in licenses.TEMPLATES if t.startswith(("licensed under the apache", "released under the mit", "this work is licensed under a creative"))}
+    assert len(notices) == 4
+    rows = [(10 * k + i, f"{before} x {notice}", "en", "s") for k, before in enumerate((plain, bsd, plain + bsd)) for i, notice in enumerate(notices.values())]
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan(X.table(spark, rows)).collect()}
+    for i, label in enumerate(notices):
+        assert all(label in got[10 * k + i][0] and got[10 * k + i][1] == pytest.approx(1) for k in range(3))
+
+
 def test_quality_rules(spark, data):
     out = catalog.QUERIES["op3_quality_rules"](spark, data)
     assert rows_of(out, "doc_id", *rules.STATS, "base_failed") == X.as_counter(X.rules(ROWS))
