@@ -18,6 +18,7 @@ the proof fails are counted by the library alone.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,22 +92,22 @@ class PieceCounter:
         return known
 
     def learn(self, pretokens: list[str], bare: int) -> None:
-        """Count new pre-tokens: those that end in a mark no piece joins to what stands before are cut there first."""
+        """Count new pre-tokens: the characters at their end that no piece joins to what stands before are cut off first, all at once."""
         known, tails = self.count[bare], self.count[1]
-        alone = []
-        cut = []
+        cut = {}
         for p in pretokens:
-            if len(p) > 1 and not p[-1].isalnum() and p[-2:] not in self.pairs:
-                cut.append(p)
-            else:
-                alone.append(p)
-        if cut:
-            heads = sorted({p[:-1] for p in cut} - known.keys())
-            self.learn(heads, bare)
-            for mark in sorted({p[-1] for p in cut} - tails.keys()):
-                tails[mark] = self.library([mark], 1)[0]
-            known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in cut])
+            end = len(p)
+            while end > 1 and not p[end - 1].isalnum() and p[end - 2 : end] not in self.pairs:
+                end -= 1
+            if end < len(p):
+                cut[p] = end
+        alone = sorted({p[: cut.get(p, len(p))] for p in pretokens} - known.keys())
         known.update(zip(alone, self.library(alone, bare), strict=True))
+        if cut:
+            marks = {p: Counter(p[end:]) for p, end in cut.items()}
+            fresh = sorted({m for some in marks.values() for m in some} - tails.keys())
+            tails.update(zip(fresh, self.library(fresh, 1), strict=True))
+            known.update([(p, known[p[:end]] + sum(tails[m] * n for m, n in marks[p].items())) for p, end in cut.items()])
 
     def counts(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)

@@ -221,6 +221,16 @@ def test_token_counts_of_random_strings():
     assert [n for k in range(0, 3000, 100) for n in counter.counts(texts[k : k + 100])] == [len(x) for x in counter.model.encode(texts)]
 
 
+@pytest.mark.parametrize("mark", ["\t", "😀", "█", "。", "•", "★", "·", "°"])
+def test_token_counts_of_long_runs(mark):
+    counter = tokens.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"), remembered=300)
+    run = mark * 5000
+    texts = [run, "a" + run, f"the end{run}\n{run}x{run}", f"x\n{run} {run}", run[:-1] + "\t.😀" + run]
+    assert counter.splits
+    assert counter.counts(texts) == [len(x) for x in counter.model.encode(texts)]
+    assert sum(map(len, counter.count[0])) + sum(map(len, counter.count[1])) < 1_000_000
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination(spark, data, block_bytes):
     found = decontaminate.matches(T.read(spark, data, "documents"), T.read(spark, data, "benchmark"), block_bytes=block_bytes)
