@@ -8,20 +8,22 @@ are equal.  A byte goes if a tie with a suffix of a document with a smaller id c
 2. Cover sample: the positions p with p mod V in a difference cover D, 6 of 31.  For any two positions
    i, j there is a step below V that takes both into the sample, so suffixes that tie over ``length``
    bytes have sample suffixes that tie over length - V + 1 bytes at the same step.  Sample suffixes
-   are dealt into buckets by their first bytes and each bucket is sorted by itself; a sample suffix's
-   rank is unique, or shared with another document.
+   are dealt into buckets by their length - V + 1 bytes and each bucket is sorted by itself; a sample
+   suffix's rank is unique, or shared with another document.
 3. Suffixes without a shared sample rank within V positions cannot tie; their order is settled and they
-   are dropped.  The rest, the long ties, are dealt into buckets by their first bytes; each bucket is
-   sorted by itself, by the suffix's fingerprint over ``length`` bytes, and answers for every block
+   are dropped.  The rest, the long ties, are dealt into buckets by their ``length`` bytes; each bucket
+   is sorted by itself, by the suffix's fingerprint over ``length`` bytes, and answers for every block
    whether an earlier block holds the same.
 4. The answers go back to the blocks, which settle ties inside the block and remove the bytes.
 
 Between blocks and buckets only fingerprints travel (8 bytes a distinct suffix and block), back comes
-one bit for each.  A bucket's size is bounded by the number of buckets, which follows the input; a
-passage that a third of all documents hold sends one fingerprint a block and suffix.  Stages 2 and 3
-run in as many passes over the buckets as keep what a pass shuffles below the input's own size.
+one bit for each.  Equal keys meet in one bucket and distinct keys spread over all of them, also those
+that share a head such as an indentation, so a bucket's size is bounded by the number of buckets, which
+follows the input; a passage that a third of all documents hold sends one fingerprint a block and
+suffix.  Stages 2 and 3 run in as many passes over the buckets as keep what a pass shuffles below the
+input's own size.
 
-A fingerprint is 64 bits beside the bucket's number, which comes from other bytes' fingerprint.
+A fingerprint is 64 bits beside the bucket's number, which mixes it with the first bytes' fingerprint.
 Null or empty texts have no suffixes and lose nothing.  Rows with equal ids are not smaller than one
 another; null ids are larger than all others and equal to one another.
 """
@@ -127,9 +129,13 @@ class Block:
         return np.flatnonzero(np.isin(np.arange(V), COVER)[step % V] & self.starts(length - V + 1))
 
     def keys(self, at: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of the first ``length`` bytes from each position, and buckets by the first bytes."""
-        head = T.span_hash(self.sums, at, at + length * 2 // 5)
-        return T.span_hash(self.sums, at, at + length), ((head >> T.U64(11)) % T.U64(buckets)).astype(np.int64)
+        """Fingerprints of the first ``length`` bytes from each position, and buckets by all of them.
+
+        The first bytes' fingerprint goes in too: keys whose fingerprints agree but whose heads differ
+        mostly part by their buckets."""
+        key = T.span_hash(self.sums, at, at + length)
+        spread = T.mix(T.span_hash(self.sums, at, at + length * 2 // 5) + key * T.U64(0xA24BAED4963EE407))
+        return key, ((spread >> T.U64(11)) % T.U64(buckets)).astype(np.int64)
 
 
 def distinct(keys: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -137,6 +137,34 @@ def test_suffix_dedup(spark, data, options):
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == X.as_counter(X.repeats(ROWS))
 
 
+def indented(n, seed=7):
+    """Rows of 20 spaces and 6 random letters, again and again: half of the positions share a head of 8 spaces."""
+    r = random.Random(seed)
+    return [(i, "".join(" " * 20 + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "en", "s") for i in range(n)]
+
+
+@pytest.mark.parametrize("sample", [True, False])
+def test_suffixes_of_one_head_spread_over_the_buckets(sample):
+    rows = indented(20)
+    block = suffixes.Block(licenses.pa.table({"seq": list(range(20)), "text": [t for _, t, *_ in rows]}))
+    length = suffixes.LENGTH - suffixes.V + 1 if sample else suffixes.LENGTH
+    at = block.samples(suffixes.LENGTH) if sample else np.flatnonzero(block.starts(length))
+    keys, bucket = block.keys(at, length, 16)
+    text = block.data.tobytes()
+    of = {}
+    for p, k, b in zip(at.tolist(), keys.tolist(), bucket.tolist(), strict=True):
+        assert of.setdefault(text[p : p + length], (k, b)) == (k, b)
+    sizes = np.bincount([b for _, b in of.values()], minlength=16)
+    assert len({k for k, _ in of.values()}) == len(of) and sizes.max() < 1.5 * sizes.mean()
+
+
+def test_suffix_dedup_of_one_head(spark):
+    rows = indented(12)
+    rows += [(12 + i, rows[i][1][300:500] + t, "en", "s") for i, (_, t, *_) in enumerate(indented(6, 8))]
+    out = suffixes.repeats(X.table(spark, rows), block_bytes=4000, file_bytes=9000, bucket_suffixes=300)
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == X.as_counter(X.repeats(rows))
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
 
