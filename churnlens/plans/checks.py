@@ -23,10 +23,10 @@ NUMERIC = {
 }
 TEXT = {
     "accounts": ["account_id", "account_name", "industry", "country", "referral_source", "plan_tier"],
-    "subscriptions": ["plan_tier", "billing_frequency"],
-    "usage": ["feature_name"],
-    "churn_events": ["reason_code", "feedback_text"],
-    "tickets": ["priority"],
+    "subscriptions": ["subscription_id", "account_id", "plan_tier", "billing_frequency"],
+    "usage": ["usage_id", "subscription_id", "account_id", "feature_name"],
+    "churn_events": ["churn_event_id", "account_id", "reason_code", "feedback_text"],
+    "tickets": ["ticket_id", "account_id", "priority"],
 }
 DATES = {
     "accounts": ["signup_date"],

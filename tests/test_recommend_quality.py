@@ -109,3 +109,24 @@ def test_presentation_rounds_and_orders(spark):
     rows = present("backtest_lift", df).collect()
     assert [r["risk_level"] for r in rows] == ["High", "Medium", "Low"]
     assert rows[0]["churn_pct"] == 66.67 and rows[0]["lift"] == 2.35 and rows[2]["churn_pct"] == 1.01
+
+
+def test_text_profile_holds_every_id_column():
+    from churnlens.plans.checks import TEXT
+    from churnlens.sources.schemas import schema
+
+    ids = {role: {c for c in schema(role).fieldNames() if c.endswith("_id")} for role in CONTRACTS}
+    assert ids["usage"] == {"usage_id", "subscription_id", "account_id"}
+    assert all(ids[role] <= set(TEXT[role]) for role in ids)
+
+
+def test_text_profile_counts_ids(spark):
+    from types import SimpleNamespace
+
+    from churnlens.plans.checks import TEXT, profile_text
+
+    tables = {role: spark.createDataFrame([tuple(v if c.endswith("_id") else "x" for c in cols) for v in ("1", "2", "2")], cols) for role, cols in TEXT.items()}
+    ctx = SimpleNamespace(roles=SimpleNamespace(as_dict=lambda: tables))
+    got = {(r["table_name"], r["column_name"]): (r["count"], r["unique"], r["top"], r["freq"]) for r in profile_text(ctx).collect()}
+    assert got[("usage", "subscription_id")] == (3, 2, "2", 2)
+    assert got[("tickets", "ticket_id")] == got[("churn_events", "churn_event_id")] == (3, 2, "2", 2)
