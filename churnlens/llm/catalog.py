@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnlens.llm import decontaminate, jaccard, merkle, mixing, sharding, suffixes
+from churnlens.llm import decontaminate, jaccard, merkle, mixing, phrases, sharding, suffixes
 from churnlens.llm.binary import op10_token_files
 from churnlens.llm.language import op6_language_id
 from churnlens.llm.licenses import op1_license_scan
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_phrases": phrases.op11_phrases,
     "op12_feistel_shards": sharding.op12_feistel_shards,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -30,6 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": suffixes.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_feistel_shards": sharding.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
