@@ -2,20 +2,21 @@
 
 ``NTILE(k) OVER (ORDER BY x)`` with no ``PARTITION BY`` makes Spark move every
 row into one task (``Exchange SinglePartition``).  ``distributed_ntile`` gives
-the same answer with work spread over range buckets:
+the same answer with work spread over range buckets, for several orders at once
+and, if asked, within each group of a column (``PARTITION BY g ORDER BY x``):
 
-1. A total order: ``(null rank, value, id)`` - the id breaks ties, so a long
+1. A total order: ``(group, null rank, value, id)`` - the id breaks ties, so a long
    run of equal values (zero sessions, say) still spreads over buckets.
-2. Rows are range-partitioned on the order key into B buckets
-   (``repartitionByRange``: Spark samples the bounds and binary-searches them
-   in the JVM); B is the session's number of shuffle partitions, whatever the
-   input's size.  The partition id becomes the bucket, and that assignment is
-   written once to the checkpoint folder, so every later pass sees the same
-   buckets.
-3. Rows per bucket are counted (B rows), their exclusive running sum is the
-   bucket offset; that B-row table is broadcast: its size is set by the
-   session, not by the data.
-4. ``row_number`` inside each bucket + offset = global 0-based index ``i``.
+2. The input is written once (or already is).  One hashed sample of it gives the
+   split keys of all orders: B - 1 each, B being the session's number of shuffle
+   partitions.  They become literals, and a row finds its bucket by binary search
+   in an expression.  Any split keys give exact results; the sample only evens
+   out the buckets.
+3. One aggregate counts the rows of every bucket of every order (B rows an
+   order, set by the session and not by the data); their running sums become
+   literal offsets.
+4. ``row_number`` inside each bucket + offset = global 0-based index ``i``; less the
+   rows of the groups before, the index within the group.
 5. Tile of ``i`` for ``n`` rows and ``k`` tiles, as SQL NTILE: the first
    ``n mod k`` tiles hold one extra row.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,21 +71,82 @@ def _offsets(totals: DataFrame, bcol: str, weight: str) -> DataFrame:
     return totals.select(bcol, before.alias("_off"), F.sum(weight).over(Window.partitionBy()).alias("_all"))
 
 
-def global_index(df: DataFrame, specs: dict[str, OrderSpec], id_col: str, n_buckets: int | None = None) -> DataFrame:
-    """Add, for each ``name -> spec``, ``name`` = 0-based position in the total order and ``{name}_n`` = row count."""
-    out = df
-    for name, spec in specs.items():
-        out = _range_buckets(out, _order_fields(spec, id_col), n_buckets, f"_b_{name}")
-    for name, spec in specs.items():
+#: Sampled rows per bucket; their number is set by the session's partitions, not by the data.
+SAMPLE_PER_BUCKET = 40
+#: Groups of a ranking by group are told apart by literals: at most so many.
+MAX_GROUPS = 10_000
+
+
+def _split_keys(df: DataFrame, keys: dict[str, Column], hash_of: Sequence[str], n_buckets: int) -> dict[str, list]:
+    """At most ``n_buckets - 1`` ascending split keys for each order, from one hashed sample."""
+    every = max(1, df.count() // (SAMPLE_PER_BUCKET * n_buckets))
+    sample = df.where(F.pmod(F.xxhash64(*hash_of), F.lit(every)) == 0)
+    row = sample.agg(*[F.sort_array(F.collect_list(key)).alias(name) for name, key in keys.items()]).first()
+    out = {}
+    for name in keys:
+        found = row[name]
+        out[name] = [found[i * len(found) // n_buckets] for i in range(1, n_buckets)] if found else []
+    return out
+
+
+def _bucket(key: Column, splits: list, types: Sequence) -> Column:
+    """How many of the ascending ``splits`` are below ``key``: a binary search, in as many steps as they have bits."""
+    if not splits:
+        return F.lit(0)
+    table = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"_o{i}") for i, (v, t) in enumerate(zip(s, types))]) for s in splits])
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(table, mid) < key
+        return F.when(s["lo"] >= s["hi"], s).when(below, span(mid + 1, s["hi"])).otherwise(span(s["lo"], mid))
+
+    steps = F.array(*[F.lit(i) for i in range(len(splits).bit_length())])
+    return F.aggregate(steps, span(F.lit(0), F.lit(len(splits))), step, lambda s: s["lo"])
+
+
+def global_index(
+    df: DataFrame,
+    specs: dict[str, OrderSpec],
+    id_col: str,
+    n_buckets: int | None = None,
+    group_col: str | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """Add, for each ``name -> spec``, ``name`` = 0-based position in the total order (within ``group_col``,
+    if given) and ``{name}_n`` = row count (of the group).
+
+    ``stored``: ``df`` is a written table and is not written again.  The values of ``group_col`` are
+    not null and at most ``MAX_GROUPS`` (a back-test's cut dates, say); more are refused.
+    """
+    n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df if stored else materialize(df)
+    first = [F.col(group_col).alias("_g")] if group_col else []
+    orders = {name: first + _order_fields(spec, id_col) for name, spec in specs.items()}
+    keys = {name: F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]) for name, order in orders.items()}
+    splits = _split_keys(base, keys, [id_col, *([group_col] if group_col else [])], n_buckets)
+    types = {name: [f.dataType for f in base.select(key.alias("k")).schema["k"].dataType.fields] for name, key in keys.items()}
+    out = base.select("*", *[_bucket(keys[name], splits[name], types[name]).alias(f"_b_{name}") for name in specs])
+
+    number = {name: i for i, name in enumerate(specs)}
+    pairs = F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"_b_{name}").alias("b")) for name, i in number.items()])
+    counts = {(r["o"], r["b"]): r["n"] for r in out.select(F.explode(pairs).alias("p")).groupBy("p.o", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(n for (o, _), n in counts.items() if o == 0)
+    start, size = F.lit(0).cast("long"), F.lit(total).cast("long")
+    if group_col:
+        groups = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).orderBy(group_col).limit(MAX_GROUPS + 1).collect()
+        if len(groups) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} values of {group_col}")
+        if groups:
+            before = [0, *accumulate(g["n"] for g in groups)]
+            table = F.create_map(*[x for g, b in zip(groups, before) for x in (F.lit(g[0]), F.struct(F.lit(b).cast("long").alias("start"), F.lit(g["n"]).cast("long").alias("n")))])
+            start, size = F.try_element_at(table, F.col(group_col))["start"], F.try_element_at(table, F.col(group_col))["n"]
+    for name, i in number.items():
         bcol = f"_b_{name}"
-        counts = out.groupBy(bcol).agg(F.count(F.lit(1)).alias("_cnt"))
-        w = Window.partitionBy(bcol).orderBy(*_order_fields(spec, id_col))
-        out = (
-            out.join(F.broadcast(_offsets(counts, bcol, "_cnt")), bcol)
-            .withColumn(name, F.col("_off") + F.row_number().over(w) - 1)
-            .withColumnRenamed("_all", f"{name}_n")
-            .drop(bcol, "_off")
-        )
+        offsets = [0, *accumulate(counts.get((i, b), 0) for b in range(len(splits[name]) + 1))]
+        offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(bcol))
+        w = Window.partitionBy(bcol).orderBy(*orders[name])
+        out = out.withColumn(name, offset + F.row_number().over(w) - 1 - start).withColumn(f"{name}_n", size).drop(bcol)
     return out
 
 
@@ -105,9 +168,12 @@ def distributed_ntile(
     specs: dict[str, OrderSpec],
     id_col: str,
     n_buckets: int | None = None,
+    group_col: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    """Add ``NTILE(k) OVER (ORDER BY spec.value [DESC], id_col)`` for each ``name -> spec``."""
-    idx = global_index(df, {f"_i_{n}": s for n, s in specs.items()}, id_col, n_buckets)
+    """Add ``NTILE(k) OVER ([PARTITION BY group_col] ORDER BY spec.value [DESC], id_col)`` for each
+    ``name -> spec``; ``group_col`` and ``stored`` as in :func:`global_index`."""
+    idx = global_index(df, {f"_i_{n}": s for n, s in specs.items()}, id_col, n_buckets, group_col, stored)
     for name in specs:
         idx = idx.withColumn(name, tile_of(F.col(f"_i_{name}"), F.col(f"_i_{name}_n"), k)).drop(
             f"_i_{name}", f"_i_{name}_n"

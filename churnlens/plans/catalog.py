@@ -74,6 +74,7 @@ def q_usage_profile(ctx: Context) -> DataFrame:
 # ---------------------------------------------------------------- early warning E1-E5, M5
 from . import extras as ex  # noqa: E402
 from . import marts as mt  # noqa: E402
+from . import panel as pn  # noqa: E402
 from . import recommend as rc  # noqa: E402
 from . import risk as rk  # noqa: E402
 
@@ -115,14 +116,25 @@ def q_backtest_lift_as_of(ctx: Context) -> DataFrame:
 
 
 BACKTEST_CUTS_OFFSETS_DAYS = (0, -184)  # the cut and half a year before it
+BACKTEST_SEEDS = (1, 2, 3)
+PANEL_OFFSETS_DAYS = (0, -91, -182, -273)  # the quarters up to the cut
+
+
+def _cuts(ctx: Context, offsets) -> list:
+    import datetime as dt
+
+    return [ctx.cfg.cut_date + dt.timedelta(days=d) for d in offsets]
 
 
 @query("backtest_sweep")
 def q_backtest_sweep(ctx: Context) -> DataFrame:
-    import datetime as dt
+    return rk.backtest_sweep(ctx, _cuts(ctx, BACKTEST_CUTS_OFFSETS_DAYS))
+
 
-    cuts = [ctx.cfg.cut_date + dt.timedelta(days=d) for d in BACKTEST_CUTS_OFFSETS_DAYS]
-    return rk.backtest_sweep(ctx, cuts)
+@query("backtest_sweep_as_of")
+def q_backtest_sweep_as_of(ctx: Context) -> DataFrame:
+    """M5 without look-ahead, by quarter: live-at-cut and outcome from the states as of each date."""
+    return rk.backtest_sweep(ctx, _cuts(ctx, PANEL_OFFSETS_DAYS), state_mode="as_of")
 
 
 @query("lift_stability")
@@ -131,6 +143,28 @@ def q_lift_stability(ctx: Context) -> DataFrame:
     return rk.lift_stability(q_backtest_sweep(ctx))
 
 
+@query("lift_over_seeds")
+def q_lift_over_seeds(ctx: Context) -> DataFrame:
+    """M5 - mean and deviation of the lift over three seeds and two cuts."""
+    return rk.lift_over_seeds(ctx, _cuts(ctx, BACKTEST_CUTS_OFFSETS_DAYS), BACKTEST_SEEDS)
+
+
+@query("signals_at_cuts")
+def q_signals_at_cuts(ctx: Context) -> DataFrame:
+    """E1 at several dates: the signals of every account known by then, at the quarters up to the cut."""
+    cuts = _cuts(ctx, PANEL_OFFSETS_DAYS)
+    accounts = pn.at_dates(ctx.roles.accounts.select("account_id", "signup_date"), cuts, "cut_date")
+    return pn.signals_at(ctx, accounts.where("signup_date <= cut_date").select("account_id", "cut_date"), cuts)
+
+
+@query("state_as_of")
+def q_state_as_of(ctx: Context) -> DataFrame:
+    """V1 as of several dates: per quarter, the state that the events before it make of every account."""
+    cuts = _cuts(ctx, PANEL_OFFSETS_DAYS)
+    points = pn.at_dates(ctx.roles.accounts.select("account_id"), cuts, "as_of")
+    return pn.states_before(ctx, points, "as_of")
+
+
 # ---------------------------------------------------------------- recommender E6-E8, M2
 @query("adoption_gap")
 def q_adoption_gap(ctx: Context) -> DataFrame:

@@ -93,14 +93,15 @@ class Context:
 
         return self.materialize(tickets_rollup(self.roles.tickets))
 
-    def backtest_scores(self, cut, state_mode: str = "final") -> DataFrame:
-        """Back-test scores at ``cut``, computed once per (cut, state mode)."""
+    def backtest_panel(self, cuts, state_mode: str = "final") -> DataFrame:
+        """Back-test scores at ``cuts``, computed once per (cuts, state mode)."""
         cache = self.__dict__.setdefault("_backtests", {})
-        if (cut, state_mode) not in cache:
-            from .risk import backtest_scores
+        key = (tuple(cuts), state_mode)
+        if key not in cache:
+            from .panel import backtest_panel
 
-            cache[(cut, state_mode)] = backtest_scores(self, cut, state_mode)
-        return cache[(cut, state_mode)]
+            cache[key] = self.materialize(backtest_panel(self, cuts, state_mode))
+        return cache[key]
 
     def state_before(self, day) -> DataFrame:
         """Churn state built only from the events dated before ``day`` (as-of state)."""
@@ -120,7 +121,7 @@ class Context:
     def scores(self) -> DataFrame:
         from .risk import risk_scores
 
-        return self._materialize(risk_scores(self.signals, self.cfg))
+        return self._materialize(risk_scores(self.signals, self.cfg, stored=self.cfg.materialize))
 
     @cached_property
     def priority(self) -> DataFrame:

@@ -9,13 +9,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ACTIONS, RISK_LABELS, VALUE_LABELS, ChurnConfig
-from ..functions.expr import first_match, flag, lit_date, ratio, stable
+from ..functions.expr import first_match, flag, ratio, stable
+from ..operators.bootstrap import replicates
 from ..operators.ranking import OrderSpec, distributed_ntile
 from ..operators.windows import window_at_date
+from . import panel
 from .context import Context
 
 
@@ -78,12 +80,13 @@ def support_points(cfg: ChurnConfig) -> list[Column]:
     ]
 
 
-def risk_scores(signals: DataFrame, cfg: ChurnConfig, keep: Sequence[str] = ()) -> DataFrame:
+def risk_scores(signals: DataFrame, cfg: ChurnConfig, keep: Sequence[str] = (), group_col: str | None = None, stored: bool = False) -> DataFrame:
     """E2 - points card: product signals by tercile (3 - tercile: low intensity, few sessions, many errors
     score 2), support signals by fixed cuts; subtotals and total (0-12).
 
-    The three terciles are global orderings, computed with ``distributed_ntile``
-    (ties broken by account id).
+    The three terciles are global orderings (within ``group_col``, if given), computed with
+    ``distributed_ntile`` (ties broken by account id) from one written table: ``signals``
+    itself if it is ``stored``.
     """
     k = cfg.n_terciles
     tiles = distributed_ntile(
@@ -96,6 +99,8 @@ def risk_scores(signals: DataFrame, cfg: ChurnConfig, keep: Sequence[str] = ())
         },
         "account_id",
         cfg.ntile_buckets,
+        group_col,
+        stored,
     )
     scored = tiles.select(
         "account_id",
@@ -180,58 +185,53 @@ def backtest_cohort(ctx: Context, cut: dt.date, state_mode: str = "final") -> Da
     events dated before the cut is not churned; outcome = the state built from
     the events dated before cut + horizon is churned, on or after the cut.
     """
-    cfg = ctx.cfg
-    c = lit_date(cut)
-    churn = F.col("churn_date")
-    end = F.date_add(c, cfg.horizon_days)
-    history = F.col("signup_date") <= F.date_sub(c, cfg.min_history_days)
-    accounts = ctx.roles.accounts.select("account_id", "signup_date")
-    if state_mode == "final":
-        outcome = (F.col("is_churned") == 1) & (churn >= c) & (churn < end)
-        return (
-            ctx.state.select("account_id", "is_churned", "churn_date")
-            .join(accounts, "account_id")
-            .where(((F.col("is_churned") == 0) | (churn >= c)) & history)
-            .select("account_id", F.when(outcome, 1).otherwise(0).alias("outcome"))
-        )
-    if state_mode != "as_of":
-        raise ValueError(f"state_mode must be 'final' or 'as_of', not {state_mode!r}")
-    live = ctx.state_before(cut).where(F.col("is_churned") == 0).select("account_id")
-    later = ctx.state_before(cut + dt.timedelta(days=cfg.horizon_days)).select(
-        "account_id", ((F.col("is_churned") == 1) & (churn >= c)).alias("_left")
-    )
-    return (
-        live.join(accounts, "account_id").where(history).join(later, "account_id")
-        .select("account_id", F.when(F.col("_left"), 1).otherwise(0).alias("outcome"))
-    )
+    return panel.cohorts(ctx, [cut], state_mode).select("account_id", "outcome")
 
 
 def backtest_scores(ctx: Context, cut: dt.date, state_mode: str = "final") -> DataFrame:
-    cohort = backtest_cohort(ctx, cut, state_mode)
-    signals = ctx.materialize(risk_signals(ctx, cohort.select("account_id"), cut).join(cohort, "account_id"))
-    return ctx.materialize(risk_scores(signals, ctx.cfg, keep=["outcome"]))
+    return panel.backtest_panel(ctx, [cut], state_mode).drop("cut_date")
+
+
+def lift_per_level(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Churn % and lift over the cohort's rate from (by..., risk_level, accounts, churned): the cohort's
+    totals are sums over its few level rows."""
+    cohort = Window.partitionBy(*by)
+    rate = ratio("churned", "accounts")
+    base = ratio(F.sum("churned").over(cohort), F.sum("accounts").over(cohort))
+    return counts.select(*by, "risk_level", "accounts", "churned", (rate * 100).alias("churn_pct"), ratio(rate, base).alias("lift"))
 
 
 def backtest_lift(ctx: Context, cut: dt.date | None = None, state_mode: str = "final") -> DataFrame:
     """E5 - per risk level at the cut: accounts, churned within the horizon, churn %, lift over the cohort rate."""
-    cut = cut or ctx.cfg.cut_date
-    scores = ctx.backtest_scores(cut, state_mode)
-    base = scores.agg(F.avg("outcome")).scalar()
-    return scores.groupBy(risk_level(F.col("total_points"), ctx.cfg).alias("risk_level")).agg(
-        F.count(F.lit(1)).alias("accounts"),
-        F.sum("outcome").cast("long").alias("churned"),
-        (F.avg("outcome") * 100).alias("churn_pct"),
-        ratio(F.avg("outcome"), base).alias("lift"),
+    return backtest_sweep(ctx, [cut or ctx.cfg.cut_date], state_mode).drop("cut_date")
+
+
+def backtest_sweep(ctx: Context, cuts: Sequence[dt.date], state_mode: str = "final") -> DataFrame:
+    """M5 - the back-test at several cut dates in one plan, one row per (cut, level); mean and deviation via :func:`lift_stability`."""
+    scores = ctx.backtest_panel(cuts, state_mode)
+    counts = scores.groupBy("cut_date", risk_level(F.col("total_points"), ctx.cfg).alias("risk_level")).agg(
+        F.count(F.lit(1)).alias("accounts"), F.sum("outcome").cast("long").alias("churned")
     )
+    return lift_per_level(counts, ["cut_date"])
+
 
+def lift_over_seeds(ctx: Context, cuts: Sequence[dt.date], seeds: Sequence[int], state_mode: str = "final") -> DataFrame:
+    """M5 - mean and sample deviation of the lift per risk level over seeds x cuts.
 
-def backtest_sweep(ctx: Context, cuts: Sequence[dt.date]) -> DataFrame:
-    """M5 - the back-test at several cut dates, one row per (cut, level); lift mean/deviation via :func:`lift_stability`."""
-    out = None
-    for cut in cuts:
-        part = backtest_lift(ctx, cut).withColumn("cut_date", lit_date(cut))
-        out = part if out is None else out.unionByName(part)
-    return out
+    The source generates its data anew per seed; on given data a seed stands for a bootstrap replicate of the
+    accounts (:mod:`churnlens.operators.bootstrap`).  One grouped sum holds all replicates of all cuts.  A
+    replicate without accounts in a level, or without any churn, has no lift there and does not count.
+    """
+    scores = ctx.backtest_panel(cuts, state_mode).select("account_id", "cut_date", risk_level(F.col("total_points"), ctx.cfg).alias("risk_level"), "outcome")
+    counts = replicates(scores, "account_id", seeds).groupBy("cut_date", "seed", "risk_level").agg(
+        F.sum("weight").alias("accounts"), F.sum(F.col("weight") * F.col("outcome")).alias("churned")
+    )
+    lift = lift_per_level(counts, ["cut_date", "seed"]).where(F.col("lift").isNotNull())
+    return lift.groupBy("risk_level").agg(
+        F.count(F.lit(1)).alias("replicates"), F.sum("accounts").alias("accounts"),
+        stable(F.avg("lift")).alias("mean_lift"), stable(F.stddev_samp("lift")).alias("sd_lift"),
+        F.min("lift").alias("min_lift"), F.max("lift").alias("max_lift"),
+    )
 
 
 def lift_stability(sweep: DataFrame) -> DataFrame:
