@@ -168,7 +168,7 @@ def q_state_as_of(ctx: Context) -> DataFrame:
 # ---------------------------------------------------------------- recommender E6-E8, M2
 @query("adoption_gap")
 def q_adoption_gap(ctx: Context) -> DataFrame:
-    return rc.adoption_gap(ctx.priority, ctx.used_features, ctx.cfg).drop("_gap100")
+    return rc.gaps_of(ctx.catalogue, ctx.cfg).drop("_gap100")
 
 
 @query("recommend_features")
@@ -183,7 +183,7 @@ def q_recommend_counts(ctx: Context) -> DataFrame:
 
 @query("breadth_gap_threshold")
 def q_breadth_gap_threshold(ctx: Context) -> DataFrame:
-    return rc.breadth_gap_threshold(ctx.priority, ctx.used_features)
+    return rc.threshold_of(ctx.catalogue)
 
 
 # ---------------------------------------------------------------- marts E9, E10, M7

@@ -130,15 +130,22 @@ class Context:
         return self._materialize(priority_portfolio(self.scores, self.value, self.cfg))
 
     @cached_property
-    def used_features(self) -> DataFrame:
-        """Distinct (account, feature) pairs ever used - shared by the adoption gap, the
-        breadth threshold and the recommender."""
-        from .recommend import used_features
+    def portfolio(self) -> DataFrame:
+        """One row per account: its priority and the features it ever used - what the adoption gap, the
+        breadth threshold and the recommender read."""
+        from .recommend import used_features, with_features
 
-        return self._materialize(used_features(self.roles.usage))
+        return self._materialize(with_features(self.priority, used_features(self.roles.usage)))
+
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        """One row per feature: its users by risk group, counted in one pass over the portfolio."""
+        from .recommend import feature_counts
+
+        return self._materialize(feature_counts(self.portfolio))
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        from .recommend import recommend_features
+        from .recommend import recommend
 
-        return recommend_features(self.priority, self.used_features, self.cfg)
+        return recommend(self.portfolio, self.catalogue, self.cfg)

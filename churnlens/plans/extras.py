@@ -47,16 +47,47 @@ def group_difference(per_entity: DataFrame, group_col: str, metrics: Sequence[st
                       stable("diff").alias("diff"), stable("margin").alias("margin"), "significant")
 
 
+def proportion_difference(per_entity: DataFrame, group_col: str, flags: Sequence[str], z: float = Z_95) -> DataFrame:
+    """M1 for flags - difference of the shares of group 1 and group 0, with the margin of the two-proportion z test
+    ``z * sqrt(p (1 - p) (1/n1 + 1/n0))``, p being the pooled share; significant when |diff| > margin.
+
+    A NULL flag is not counted; a group without any has no share, and no difference is significant then.
+    Counts are integers, so the result does not depend on their order.  One pass, partial aggregation.
+    """
+    stack = "stack({n}, {pairs}) as (metric, hit)".format(
+        n=len(flags), pairs=", ".join(f"'{m}', cast(`{m}` as int)" for m in flags)
+    )
+    long = per_entity.select(F.col(group_col).alias("_g"), F.expr(stack))
+    g1, g0, hit = F.col("_g") == 1, F.col("_g") == 0, F.col("hit")
+    agg = long.groupBy("metric").agg(
+        F.count(F.when(g1, hit)).alias("n_1"), F.sum(F.when(g1, hit)).alias("_x1"),
+        F.count(F.when(g0, hit)).alias("n_0"), F.sum(F.when(g0, hit)).alias("_x0"),
+    )
+    share1, share0 = ratio("_x1", "n_1"), ratio("_x0", "n_0")
+    pooled = ratio(F.col("_x1") + F.col("_x0"), F.col("n_1") + F.col("n_0"))
+    margin = F.lit(z) * F.sqrt(pooled * (1 - pooled) * (ratio(F.lit(1), "n_1") + ratio(F.lit(1), "n_0")))
+    out = agg.select("metric", "n_1", share1.alias("mean_1"), "n_0", share0.alias("mean_0"), (share1 - share0).alias("diff"), margin.alias("margin"))
+    return out.select("metric", "n_1", stable("mean_1").alias("mean_1"), "n_0", stable("mean_0").alias("mean_0"), stable("diff").alias("diff"),
+                      stable("margin").alias("margin"), (F.abs(F.col("diff")) > F.col("margin")).cast("int").alias("significant"))
+
+
 SIGNAL_METRICS = ("events", "intensity", "errors", "silence_days", "tickets", "hours", "satisfaction", "escalated_pct")
 
 
+#: Shares of accounts among the same signals; NULL where the account has no such tickets.
+SIGNAL_FLAGS = {"no_use": "events = 0", "no_tickets": "tickets = 0", "any_escalation": "escalated_pct > 0", "dissatisfied": "satisfaction < 3"}
+
+
 def signal_significance(ctx: Context) -> DataFrame:
-    """M1 on the pre-reference signals (C13 + C14 per account): churned (1) vs active (0)."""
+    """M1 on the pre-reference signals (C13 + C14 per account): churned (1) vs active (0), means by Welch's
+    margin and shares of accounts by the two-proportion z."""
     days = ctx.cfg.window_days
     u = usage_before_ref(ctx, ctx.refs, days)
     s = support_before_ref(ctx, ctx.refs, days, keep=())
     per = u.join(s, "account_id")
-    return group_difference(per, "is_churned", SIGNAL_METRICS)
+    means = group_difference(per, "is_churned", SIGNAL_METRICS).withColumn("test", F.lit("welch"))
+    shares = proportion_difference(per.select("is_churned", *[F.expr(c).alias(m) for m, c in SIGNAL_FLAGS.items()]), "is_churned", list(SIGNAL_FLAGS))
+    return means.unionByName(shares.withColumn("test", F.lit("two_proportion")))
 
 
 def own_baseline_trend(ctx: Context, recent_days: int | None = None, base_days: int = 180) -> DataFrame:

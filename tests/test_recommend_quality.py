@@ -130,3 +130,45 @@ def test_text_profile_counts_ids(spark):
     got = {(r["table_name"], r["column_name"]): (r["count"], r["unique"], r["top"], r["freq"]) for r in profile_text(ctx).collect()}
     assert got[("usage", "subscription_id")] == (3, 2, "2", 2)
     assert got[("tickets", "ticket_id")] == got[("churn_events", "churn_event_id")] == (3, 2, "2", 2)
+
+
+def test_accounts_without_usage_and_usage_without_account(spark):
+    priority = _priority(spark, [(1, "Low", None, "4. No action"), (2, "Low", None, "4. No action"), (3, "High", None, "x"), (4, "Medium", None, "y")])
+    usage = spark.createDataFrame([(1, "F1"), (1, "F1"), (2, "F1"), (2, "F2"), (9, "F3"), (None, "F4"), (4, "F2")], "account_id long, feature_name string")
+    used = rc.used_features(usage)
+    rows = {r["feature_name"]: r for r in rc.feature_counts(rc.with_features(priority, used)).collect()}
+    assert {f: (r["n_healthy"], r["n_risk"]) for f, r in rows.items()} == {None: (2, 2), "F1": (2, 0), "F2": (1, 1), "F3": (0, 0), "F4": (0, 0)}
+    (t,) = rc.breadth_gap_threshold(priority, used).collect()
+    assert (t["mean_breadth_healthy"], t["mean_breadth_risk"], t["n_features"], t["threshold"]) == (1.5, 0.5, 4, 25.0)
+    cfg = ChurnConfig(gap_threshold=-1.0, top_k=2)
+    got = {(r["account_id"], r["rank"]): (r["feature_name"], r["adoption_healthy"]) for r in rc.recommend_features(priority, used, cfg).collect()}
+    assert got == {(3, 1): ("F1", 100.0), (3, 2): ("F2", 50.0), (4, 1): ("F1", 100.0)}
+    assert rc.recommend_features(priority, used.where("false"), cfg).collect() == []
+
+
+def test_recommender_reads_priority_and_usage_once(spark, tmp_path):
+    priority = _priority(spark, [(i, ["Low", "High"][i % 2], None, ["4. No action", "x"][i % 2]) for i in range(20)])
+    usage = spark.createDataFrame([(i % 20, f"F{i % 7}") for i in range(200) if i % 3], "account_id long, feature_name string")
+    priority.write.parquet(str(tmp_path / "p"))
+    usage.write.parquet(str(tmp_path / "u"))
+    portfolio = rc.with_features(spark.read.parquet(str(tmp_path / "p")), rc.used_features(spark.read.parquet(str(tmp_path / "u"))))
+    plan = rc.feature_counts(portfolio)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    rec = rc.recommend(portfolio, rc.feature_counts(portfolio), ChurnConfig(gap_threshold=1.0))
+    main = rec._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Window" not in main and "LeftAnti" not in main
+
+
+def test_two_proportion_test(spark):
+    from math import sqrt
+
+    from churnlens.plans.extras import proportion_difference
+
+    rows = [(1, i < 30, None if i % 2 else True, None) for i in range(80)] + [(0, i < 20, i % 3 == 0, True) for i in range(120)]
+    df = spark.createDataFrame(rows, "g int, a boolean, b boolean, c boolean")
+    got = {r["metric"]: r for r in proportion_difference(df, "g", ["a", "b", "c"]).collect()}
+    p = 50 / 200
+    assert (got["a"]["n_1"], got["a"]["mean_1"], got["a"]["n_0"], got["a"]["significant"]) == (80, 0.375, 120, 1)
+    assert abs(got["a"]["margin"] - 1.96 * sqrt(p * (1 - p) * (1 / 80 + 1 / 120))) < 1e-9
+    assert (got["b"]["n_1"], got["b"]["mean_1"], got["b"]["n_0"]) == (40, 1.0, 120)
+    assert (got["c"]["n_1"], got["c"]["mean_1"], got["c"]["margin"], got["c"]["significant"]) == (0, None, None, None)
