@@ -4,15 +4,18 @@
    it and their negative border (the shortest phrases that do not, though all their parts do) are
    proposed.  A phrase is in either set just when its first and its last words but one are frequent in the
    sample; every single word is in one of them.
-2. Full pass: the proposed phrases that occur are counted exactly over all documents.
+2. Full pass: the proposed phrases that occur are counted over all documents.
 3. Border failures: where a border phrase turns out frequent, its extensions were not proposed.  Another full
    pass counts the phrases that the larger set of frequent phrases proposes and no earlier pass did, until a
    pass finds nothing that could be extended.  The frequent phrases are then complete.
 
-The frequent phrases that propose (by language) are broadcast as a bit map of bounded size.  A false positive
-of the map only lets a phrase be counted that need not be; counts are always kept under the phrase itself, and
-within a chunk of text words are told apart by their bytes, phrases by their words.  Chunks pre-aggregate
-before the shuffle, so a phrase that stands everywhere is one row a chunk.
+These passes count 64-bit fingerprints of (language, phrase), which are small to shuffle.  A fingerprint
+counts no less than its phrase, so none is lost; a last scan counts the phrases behind the frequent
+fingerprints exactly, under their text, and drops those that only shared one.
+
+The frequent fingerprints that propose are broadcast as bit maps of bounded size.  A false positive of a map
+only lets a phrase be counted that need not be.  Tasks pre-aggregate before the shuffle, so a phrase that
+stands everywhere is a few rows a task.
 
 Scores are exact (38-digit decimals; counts below 10**16).  Ranks come from the range-sorted candidates, not
 from a window over a language.  A null text has no words; a null language is ``und``, together with one of that
@@ -22,6 +25,8 @@ and count are ordered by phrase.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -42,7 +47,12 @@ COVER_PERCENT = 50
 #: One document in so many is in the sample; a phrase is frequent there from SAMPLE_COUNT occurrences.
 SAMPLE_PARTS = 8
 SAMPLE_COUNT = 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+#: Fingerprints, and counted texts, that a task holds before it hands them on.
+HELD_HASHES = 2_000_000
+#: Text of which one group adds up the fingerprints (about as many bytes as the text).
+PART_BYTES = 32 << 20
+HELD_TEXTS = 500_000
 #: Bits of a map per phrase, and the most that a map takes.
 BITS_PER_PHRASE = 16
 MOST_BITS = 1 << 27
@@ -52,145 +62,213 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 IN_WORD = ~SEPARATOR
 IN_WORD[[0x20, 0x09]] = False
-COUNTS = "lang string, words int, phrase string, n long"
 
 
 class BitMap:
-    """Set of hashed phrases with false positives."""
+    """Set of fingerprints with false positives: two bits each."""
 
     def __init__(self, cells: np.ndarray):
         self.cells = cells
 
+    @staticmethod
+    def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return h & T.U64(bits - 1), (h >> T.U64(32)) & T.U64(bits - 1)
+
     def has(self, h: np.ndarray) -> np.ndarray:
-        h = h & T.U64(len(self.cells) * 64 - 1)
-        return (self.cells[(h >> T.U64(6)).astype(np.intp)] >> (h & T.U64(63))) & T.U64(1) == 1
+        out = np.ones(len(h), bool)
+        for at in self.probes(h, len(self.cells) * 64):
+            out &= (self.cells[(at >> T.U64(6)).astype(np.intp)] >> (at & T.U64(63))) & T.U64(1) == 1
+        return out
 
 
 #: For each pass, the map of frequent phrases of 1, 2, ... words.
 Passes = list[list[BitMap]]
 
 
+def encode(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values and the number of each one."""
+    coded = values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def strings_hash(values: pa.Array) -> np.ndarray:
     """Fingerprints of an array of strings."""
     (chunk,) = list(T.chunks(values, 1 << 62)) or [T.Chunk(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
     return T.span_hash(T.prefix_sums(chunk.data), chunk.offsets[:-1], chunk.offsets[1:])
 
 
-def extend_hash(prefix: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-    """Hash of phrases from that of all words but the last, and the last one's."""
-    return T.mix(prefix * T.U64(0xA24BAED4963EE407) + word + T.U64(words))
+@dataclass
+class Tokens:
+    """The words of a chunk: distinct spellings and each word's, distinct languages and each word's, whether
+    the next word is of the same piece, and fingerprints of (language, word)."""
+
+    spelled: pa.Array
+    word: np.ndarray
+    kinds: pa.Array
+    kind: np.ndarray
+    same: np.ndarray
+    hash: np.ndarray
 
 
-def word_spans(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; start, end and row of every word; whether the next word is of the same piece."""
+def tokens(chunk: T.Chunk, languages: list[str]) -> Tokens | None:
     data = T.LOWER[chunk.data]
     inside = IN_WORD[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[chunk.offsets] = True
     starts = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate([[False], inside[:-1]])))
     ends = np.flatnonzero(inside & (cut[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-    row = np.searchsorted(chunk.offsets, starts, "right") - 1
+    if not len(starts):
+        return None
+    row = np.repeat(np.arange(len(languages)), np.diff(np.searchsorted(starts, chunk.offsets)))
     piece = np.cumsum(SEPARATOR[data], dtype=np.int64)[starts]
     same = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-    return data, starts, ends, row, same
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    spelled, word = encode(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])))
+    kinds, of_row = encode(pa.array(languages, pa.string()))
+    kind = of_row[row]
+    return Tokens(spelled, word, kinds, kind, same, T.mix(strings_hash(spelled)[word] + strings_hash(kinds)[kind]))
 
 
-def encode(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Distinct values and the number of each one."""
-    coded = values.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+def phrases_of(t: Tokens, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words: starts of the phrases, their fingerprints, and where each one's first words
+    stand among the phrases one shorter (its last words stand next)."""
+    at, h = np.arange(len(t.word)), t.hash
+    yield 1, at, h, at
+    for words in range(2, max_words + 1):
+        index = np.flatnonzero(t.same) if words == 2 else np.flatnonzero(at[1:] == at[:-1] + 1)
+        at = at[index]
+        h = T.mix(h[index] * T.U64(0xA24BAED4963EE407) + t.hash[at + words - 1] + T.U64(words))
+        yield words, at, h, index
+
+
+def proposed_hashes(t: Tokens, passes: Passes, max_words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Fingerprints of the phrases that the last pass proposes and none before it, by length.  Words are
+    proposed by the first pass; without passes everything is."""
+    before = t.hash
+    for words, _, h, index in phrases_of(t, max_words):
+        if words > 1 and passes:
+            hits = [m[words - 2].has(before) for m in passes]
+            proposed = [hit[index] & hit[index + 1] for hit in hits]
+            yield words, h[proposed[-1] & ~reduce(np.logical_or, proposed[:-1], np.zeros(len(h), bool))]
+        elif words > 1 or len(passes) <= 1:
+            yield words, h
+        before = h
+
+
+def count_hashes(
+    docs: DataFrame, passes: Passes, max_words: int, least: int, parts: int, chunk_bytes: int = CHUNK_BYTES, held_hashes: int = HELD_HASHES
+) -> DataFrame:
+    """Rows (words, h, n) of the fingerprints of ``docs`` (lang, text) that the passes propose and that
+    stand ``least`` times or more.
 
+    A task counts what it holds, sorts it and hands it on in up to ``parts`` (a power of two) ranges of
+    fingerprints, each one row of packed numbers; a range's rows meet in one group, which adds them up.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(passes)
+    shift = T.U64(65 - parts.bit_length())
 
-def chunk_counts(chunk: T.Chunk, languages: list[str], passes: Passes, max_words: int) -> list[tuple[pa.Array, int, pa.Array, np.ndarray]]:
-    """Counts of a chunk's phrases as (languages, words, phrases, counts) by length.
+    def run(batches):
+        found: dict[int, list] = {k: [] for k in range(1, max_words + 1)}
+
+        def flush(words: int) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(found[words]), return_counts=True)
+            found[words] = []
+            part = (h >> shift).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(h)]])
+            packed = lambda x, size: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(x)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, words, np.int32)), packed(h, 8), packed(n.astype(np.uint32), 4)], names=["part", "words", "h", "n"]
+            )
 
-    Without passes all phrases count.  Otherwise those that the last pass proposes and none before it; words,
-    and under 0 the number of all words, in the first pass only.
-    """
-    data, starts, ends, row, same = word_spans(chunk)
-    out: list[tuple[pa.Array, int, pa.Array, np.ndarray]] = []
-    if not len(starts):
-        return out
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
-    spelled, word = encode(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[IN_WORD[data]])))
-    kinds, kind = encode(pa.array(languages, pa.string()))
-    kind = kind[row]
-    own, item = encode(pa.array(kind * len(spelled) + word))
-    own = own.to_numpy()
-    hashes = T.mix(strings_hash(spelled)[own % len(spelled)] + strings_hash(kinds)[own // len(spelled)])[item]
-
-    def emit(words: int, at: np.ndarray, code: np.ndarray, n_codes: int) -> None:
-        """Counts of the phrases at ``at``, which are equal where their codes are."""
+        for batch in batches:
+            languages = batch.column(0).to_pylist()
+            for c in T.chunks(batch.column(1), chunk_bytes):
+                t = tokens(c, languages[c.lo : c.hi])
+                for words, h in proposed_hashes(t, held.value, max_words) if t else ():
+                    found[words].append(h)
+                    if sum(map(len, found[words])) > held_hashes:
+                        yield flush(words)
+        for words in found:
+            if sum(map(len, found[words])):
+                yield flush(words)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint32)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        many = n >= least
+        words = rows.column("words")[0].as_py()
+        return pa.table({"words": pa.array(np.full(many.sum(), words, np.int32)), "h": pa.array(h[first][many].view(np.int64)), "n": pa.array(n[many])})
+
+    return docs.mapInArrow(run, "part long, words int, h binary, n binary").groupBy("words", "part").applyInArrow(add_up, "words int, h long, n long")
+
+
+def chunk_counts(t: Tokens, maps: list[BitMap]) -> Iterator[pa.Table]:
+    """Exact counts of a chunk's phrases that ``maps`` (of 1, 2, ... words) have; under 0 words, of all words."""
+
+    def table(kinds: pa.Array, words: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
+        return pa.table({"lang": kinds.cast(pa.string()), "words": pa.array(np.full(len(n), words, np.int32)), "phrase": phrases.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
+
+    yield table(t.kinds, 0, pa.array([""] * len(t.kinds)), np.bincount(t.kind, minlength=len(t.kinds)))
+    for words, at, h, _ in phrases_of(t, len(maps)):
+        at = at[maps[words - 1].has(h)]
         if not len(at):
-            return
-        some = np.zeros(n_codes, np.int64)
-        some[code[::-1]] = at[::-1]
-        parts = [spelled.take(pa.array(word[some + k])) for k in range(words)]
+            continue
+        distinct, code = encode(pa.array(t.kind[at] * len(t.spelled) + t.word[at]))
+        for k in range(1, words):
+            distinct, code = encode(pa.array(code * len(t.spelled) + t.word[at + k]))
+        some = np.zeros(len(distinct), np.int64)
+        some[code] = at
+        parts = [t.spelled.take(pa.array(t.word[some + k])) for k in range(words)]
         phrase = parts[0] if words == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        out.append((kinds.take(pa.array(kind[some])), words, phrase, np.bincount(code, minlength=n_codes)))
+        yield table(t.kinds.take(pa.array(t.kind[some])), words, phrase, np.bincount(code))
 
-    if len(passes) <= 1:
-        total = np.bincount(kind, minlength=len(kinds))
-        out.append((kinds, 0, pa.array([""] * len(kinds), pa.large_string()), total))
-        emit(1, np.arange(len(item)), item, len(own))
-    code, at, h = item, np.arange(len(item)), hashes
-    for words in range(2, max_words + 1):
-        here = at[:-1][at[1:] == at[:-1] + 1] if words > 2 else np.flatnonzero(same)
-        index = np.searchsorted(at, here)
-        take = np.ones(len(here), bool)
-        if passes:
-            proposed = [(hit := m[words - 2].has(h))[index] & hit[index + 1] for m in passes]
-            take = proposed[-1] & ~reduce(np.logical_or, proposed[:-1], np.zeros(len(here), bool))
-        longer, number = encode(pa.array(code[index] * len(own) + item[here + words - 1]))
-        if take.all():
-            emit(words, here, number, len(longer))
-        else:
-            few, renumbered = encode(pa.array(number[take]))
-            emit(words, here[take], renumbered, len(few))
-        code, at, h = number, here, extend_hash(h[index], hashes[here + words - 1], words)
-    return out
-
-
-def count_phrases(docs: DataFrame, passes: Passes, max_words: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (lang, words, phrase, n) of all of ``docs`` (lang, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(passes)
+
+def count_phrases(docs: DataFrame, maps: list[BitMap], chunk_bytes: int = CHUNK_BYTES, held_texts: int = HELD_TEXTS) -> DataFrame:
+    """Exact rows (lang, words, phrase, n) of the phrases of ``docs`` (lang, text) that ``maps`` have."""
+    held = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
+        found: list[pa.Table] = []
+        size = 0
         for batch in batches:
             languages = batch.column(0).to_pylist()
             for c in T.chunks(batch.column(1), chunk_bytes):
-                for kinds, words, phrases, n in chunk_counts(c, languages[c.lo : c.hi], held.value, max_words):
-                    yield pa.RecordBatch.from_arrays([kinds.cast(pa.string()), pa.array(np.full(len(n), words, np.int32)), phrases.cast(pa.string()), pa.array(n)], names=["lang", "words", "phrase", "n"])
+                t = tokens(c, languages[c.lo : c.hi])
+                for part in chunk_counts(t, held.value) if t else ():
+                    found.append(part)
+                    size += len(part)
+                if size > held_texts:
+                    merged = _merged(found)
+                    found, size = [merged], len(merged)
+                    if size > held_texts // 2:
+                        yield from merged.to_batches(1 << 16)
+                        found, size = [], 0
+        if found:
+            yield from _merged(found).to_batches(1 << 16)
 
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """Hashes of (lang, phrase) rows, as :func:`chunk_counts` has them."""
-    phrases = batch.column(1).cast(pa.large_string())
-    lists = pc.split_pattern(phrases, " ")
-    ends = lists.offsets.to_numpy()
-    words = strings_hash(lists.values)
-    rows = np.repeat(np.arange(len(phrases)), np.diff(ends))
-    hashes = T.mix(words + strings_hash(batch.column(0))[rows])
-    h = hashes[ends[:-1]]
-    for k in range(1, int(np.diff(ends).max(initial=1))):
-        more = np.flatnonzero(np.diff(ends) > k)
-        h[more] = extend_hash(h[more], hashes[ends[:-1][more] + k], k + 1)
-    return h
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+    return out.rename_columns(["lang", "words", "phrase", "n"]).combine_chunks()
 
 
-def bit_map(phrases: DataFrame, bits_per_phrase: int, most_bits: int) -> BitMap:
-    """Map of the phrases (lang, phrase) of one length; past ``most_bits`` it only gets denser."""
-    n = phrases.count()
-    bits = 1 << min(max(12, (n * bits_per_phrase - 1).bit_length() if n else 0), most_bits.bit_length() - 1)
+def bit_map(hashes: DataFrame, bits_per_phrase: int = BITS_PER_PHRASE, most_bits: int = MOST_BITS) -> BitMap:
+    """Map of the column ``h``; past ``most_bits`` it only gets denser."""
+    n = hashes.count()
+    bits = 1 << min(max(12, (n * bits_per_phrase).bit_length()), most_bits.bit_length() - 1)
 
     def cells(batch: pa.RecordBatch) -> dict:
-        h = np.unique(phrase_hashes(batch) & T.U64(bits - 1))
+        h = np.unique(np.concatenate(BitMap.probes(batch.column(0).to_numpy().view(np.uint64), bits)))
         return {"cell": (h >> T.U64(6)).astype(np.int64), "bits": (T.U64(1) << (h & T.U64(63))).view(np.int64)}
 
     out = np.zeros(bits // 64, np.uint64)
-    found = T.per_batch(phrases.select("lang", "phrase"), cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    found = T.per_batch(hashes.select("h"), cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
     table = found.toArrow()
     out[table.column("cell").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return BitMap(out)
@@ -204,42 +282,46 @@ def frequent_phrases(
     sample_count: int = SAMPLE_COUNT,
     bits_per_phrase: int = BITS_PER_PHRASE,
     most_bits: int = MOST_BITS,
+    chunk_bytes: int = CHUNK_BYTES,
     log: list | None = None,
 ) -> DataFrame:
     """All phrases of 1 to ``max_words`` words that stand ``min_count`` times or more in a language of
     ``docs`` (doc_id, lang, text), with their counts; and for each language its number of words, under 0
     words.  ``log`` takes the number of border failures before every further pass."""
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    keep = lambda counts, least: materialize(counts.where((F.col("words") == 0) | (F.col("n") >= least)))
-    maps = lambda found: [bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in range(1, max_words)]
-    passes: Passes = [maps(keep(count_phrases(sample, [], max_words - 1), sample_count))]
+    lang = F.coalesce("lang", F.lit("und")).alias("lang")
+    rows = docs.select(lang, "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = 1 << max(0, (size // PART_BYTES).bit_length(), (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(lang, "text")
+    maps = lambda found, longest: [bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in range(1, longest + 1)]
+    passes: Passes = [maps(materialize(count_hashes(sample, [], max_words - 1, sample_count, parts, chunk_bytes)), max_words - 1)]
     found = None
     while True:
-        new = keep(count_phrases(rows, passes, max_words), min_count)
+        new = materialize(count_hashes(rows, passes, max_words, min_count, parts, chunk_bytes))
         found = new if found is None else found.unionByName(new)
-        short = new.where(F.col("words").between(1, max_words - 1))
-        failures = _missing(short, passes)
+        failures = _missing(new.where(F.col("words") < max_words), passes)
         if not failures:
-            return found
+            break
         if log is not None:
             log.append(failures)
-        passes.append(maps(found))
+        passes.append(maps(found, max_words - 1))
+    exact = count_phrases(rows, maps(found, max_words), chunk_bytes)
+    return materialize(exact.where((F.col("words") == 0) | (F.col("n") >= min_count)))
 
 
-def _missing(phrases: DataFrame, passes: Passes) -> int:
+def _missing(hashes: DataFrame, passes: Passes) -> int:
     """How many of the frequent phrases no pass knew, so that their extensions were not proposed."""
-    held = phrases.sparkSession.sparkContext.broadcast(passes)
+    held = hashes.sparkSession.sparkContext.broadcast(passes)
 
     def unknown(batch: pa.RecordBatch) -> dict:
-        h, words = phrase_hashes(batch), batch.column(2).to_numpy()
+        h, words = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         known = np.zeros(len(h), bool)
         for maps in held.value:
             for k, m in enumerate(maps, 1):
                 known[words == k] |= m.has(h[words == k])
         return {"n": np.array([np.count_nonzero(~known)])}
 
-    return T.per_batch(phrases.select("lang", "phrase", "words"), unknown, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return T.per_batch(hashes.select("h", "words"), unknown, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def exact_score(a: str, left: str, right: str):

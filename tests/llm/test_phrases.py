@@ -86,29 +86,30 @@ def test_longer_phrases_take_as_many_passes_as_they_need(spark):
     assert len(log) == 4 and got == X.as_counter(brute(rows, max_words=5, top=50))
 
 
-def test_phrases_are_counted_once_whatever_the_chunks(spark):
+ALL = phrases.BitMap(phrases.np.full(64, 2**64 - 1, phrases.np.uint64))
+
+
+@pytest.mark.parametrize("size,held", [(1, 10), (300, 100), (1 << 20, 10**6)])
+def test_phrases_are_counted_once_whatever_the_chunks(spark, size, held):
+    rows = prose()
+    docs = X.table(spark, rows).select("lang", "text").where("lang is not null")
+    _, f = counts([r for r in rows if r[2]])
+    got = phrases.count_phrases(docs, [ALL] * 3, chunk_bytes=size, held_texts=held)
+    assert X.as_counter(got.where("words > 0").select("lang", "phrase", "n").collect()) == Counter({(*k, a): 1 for k, a in f.items()})
+    for parts in (1, 8, 1 << 12):
+        hashes = phrases.count_hashes(docs, [], 3, 2, parts, chunk_bytes=size, held_hashes=held).collect()
+        assert Counter((r["words"], r["n"]) for r in hashes) == Counter((len(p.split(" ")), a) for (_, p), a in f.items() if a > 1)
+
+
+def test_phrases_that_only_share_a_fingerprint_are_told_apart(spark, monkeypatch):
     rows = prose()
-    for size in (1, 300, 1 << 20):
-        got = phrases.count_phrases(X.table(spark, rows).select("lang", "text").where("lang is not null"), [], 3, chunk_bytes=size)
-        _, f = counts([r for r in rows if r[2]])
-        assert X.as_counter(got.where("words > 0").select("lang", "phrase", "n").collect()) == Counter({(*k, a): 1 for k, a in f.items()})
-
-
-def test_hashes_of_tables_are_those_of_texts():
-    (c,) = T.chunks(phrases.pa.array(["a bb ccc", "a bb ccc"]))
-    one = phrases.BitMap(phrases.np.zeros(1 << 10, phrases.np.uint64))
-    batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array(["en"] * 2), phrases.pa.array(["a", "a bb"])], names=["lang", "phrase"])
-    for h in phrases.phrase_hashes(batch).tolist():
-        h &= (1 << 16) - 1
-        one.cells[h >> 6] |= phrases.np.uint64(1 << (h & 63))
-    both = {(w, p) for _, w, ps, _ in phrases.chunk_counts(c, ["en", "fr"], [[one, one]], 3) if w > 1 for p in ps.to_pylist()}
-    assert both == set()  # the second word of each phrase is not in the map
-    batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array(["en"] * 2), phrases.pa.array(["bb", "bb ccc"])], names=["lang", "phrase"])
-    for h in phrases.phrase_hashes(batch).tolist():
-        h &= (1 << 16) - 1
-        one.cells[h >> 6] |= phrases.np.uint64(1 << (h & 63))
-    got = [(k, p, n) for ks, w, ps, ns in phrases.chunk_counts(c, ["en", "fr"], [[one, one]], 3) if w > 1 for k, p, n in zip(ks.to_pylist(), ps.to_pylist(), ns.tolist())]
-    assert sorted(got) == [("en", "a bb", 1), ("en", "a bb ccc", 1)]
+    mix = T.mix
+    monkeypatch.setattr(T, "mix", lambda x: mix(x) & T.U64(0xFF000000FF))  # few fingerprints, many shared
+    (c,) = T.chunks(phrases.pa.array([t for _, t, *_ in rows]))
+    t = phrases.tokens(c, [g or "und" for *_, g, _ in rows])
+    merged = phrases._merged(list(phrases.chunk_counts(t, [ALL] * 3)))
+    _, f = counts(rows)
+    assert X.as_counter((r["lang"], r["phrase"], r["n"]) for r in merged.to_pylist() if r["words"]) == Counter({(*k, a): 1 for k, a in f.items()})
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
