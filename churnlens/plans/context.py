@@ -22,6 +22,7 @@ class Context:
         self.roles = roles
         self.cfg = cfg
         self.sources = sources  # raw tables the roles were derived from (for load reconciliation)
+        self.by_account = False  # the facts are stored in buckets by account
         self._paths: list[str] = []  # tables this context materialized
 
     @classmethod
@@ -39,6 +40,16 @@ class Context:
 
         return cls(Roles(**read_roles_parquet(spark, folder)), cfg)
 
+    @classmethod
+    def from_account_buckets(cls, spark: SparkSession, prefix: str, cfg: ChurnConfig) -> "Context":
+        """Context over roles stored by :func:`churnlens.sources.io.write_by_account`: what is grouped by
+        account (and day) is read in place, so the daily rollups are not written a second time."""
+        from ..sources.io import read_by_account
+
+        out = cls(Roles(**read_by_account(spark, prefix)), cfg)
+        out.by_account = True
+        return out
+
     def materialize(self, df: DataFrame) -> DataFrame:
         """Write a frame that several consumers read to a parquet table in the session
         checkpoint folder (lineage cut, survives executor loss)."""
@@ -54,7 +65,7 @@ class Context:
         Frames taken from this context before must not be used afterwards."""
         from ..session import release_materialized
 
-        for name in [k for k in self.__dict__ if k not in ("roles", "cfg", "sources", "_paths")]:
+        for name in [k for k in self.__dict__ if k not in ("roles", "cfg", "sources", "by_account", "_paths")]:
             del self.__dict__[name]  # cached frames; they are rebuilt on next use
         paths, self._paths = self._paths, []
         return release_materialized(spark, paths)
@@ -84,14 +95,15 @@ class Context:
         """Usage per (account, day): the input of every per-account-reference window."""
         from .diagnosis import usage_daily
 
-        return self.materialize(usage_daily(self))
+        return usage_daily(self) if self.by_account else self.materialize(usage_daily(self))
 
     @cached_property
     def tickets_daily(self) -> DataFrame:
         """Tickets per (account, day, midnight-or-later): input of the support windows."""
         from .diagnosis import tickets_rollup
 
-        return self.materialize(tickets_rollup(self.roles.tickets))
+        daily = tickets_rollup(self.roles.tickets)
+        return daily if self.by_account else self.materialize(daily)
 
     def backtest_panel(self, cuts, state_mode: str = "final") -> DataFrame:
         """Back-test scores at ``cuts``, computed once per (cuts, state mode)."""

@@ -7,9 +7,13 @@ published marts.
 * ``date_parse_audit`` (S3) - how many non-empty texts fail to parse.
 * ``write_roles`` (S4) - parents before children, each table checked first
   (key uniqueness, foreign keys, constraints) and appended with its declared
-  schema; facts partitioned by month so trailing windows prune partitions.
+  schema; facts partitioned by month so trailing windows prune partitions.  A
+  batch is published by one manifest commit: readers see all of it or nothing.
+* ``write_by_account`` - the roles as tables bucketed by account, so that the
+  facts are grouped and joined by account without an exchange.
 * ``write_marts`` (S7) - the account mart, the monthly flow and the
-  recommendation list as parquet for the BI layer.
+  recommendation list as parquet for the BI layer, all of one version;
+  ``mart_views`` (S6) publishes a version as views.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality as qa
+from .manifest import Store, Version
 from .schemas import CONTRACTS, LOAD_ORDER, schema
 
 # Month partition column per fact role.
@@ -125,54 +130,102 @@ def check_before_load(tables: dict[str, DataFrame], stored: dict[str, DataFrame]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def _stored(spark: SparkSession, folder: str, role: str) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{role}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{folder}/{role}").withColumn("batch", F.col("batch").cast("string"))
-
-
 def write_roles(tables: dict[str, DataFrame], out_dir: str, batch: str | None = None, check: bool = True,
                 id_type: T.DataType = T.StringType()) -> DataFrame:
     """S4 - add one batch to the stored roles in dependency order (parents first), keeping the declared schema.
 
     With ``check=True`` the load is refused when any key, foreign-key or constraint violation is
-    found (what the database would have rejected), over the stored and the new rows.  Rows are stored
-    under their batch: writing a batch again (a retry after a failure) replaces it.  Fact roles are
-    also partitioned by month; the rebalance hint sizes their files, splitting large months and
-    joining small ones.  Returns the reconciliation report: rows of the batch against rows added.
+    found (what the database would have rejected), over the stored and the new rows.  Every table is written
+    to a folder of its own and reconciled there; only then one manifest commit publishes them together
+    (:mod:`churnlens.sources.manifest`).  Until then, and after a failure anywhere before, readers see the version
+    before.  Writing a batch again (a retry) replaces it.  Fact roles are partitioned by month; the
+    rebalance hint sizes their files, splitting large months and joining small ones.  Returns the
+    reconciliation report: rows of the batch against rows added.
     """
     spark = next(iter(tables.values())).sparkSession
     batch = batch or uuid.uuid4().hex
-    before = {r: x for r in LOAD_ORDER if (x := _stored(spark, out_dir, r)) is not None}
-    others = {r: x.where(F.col("batch") != batch) for r, x in before.items()}
+    store = Store(spark, out_dir)
+    version = store.current()
+    others = Version(version.number, {r: {b: p for b, p in parts.items() if b != batch} for r, parts in version.tables.items()})
     if check:
-        bad = check_before_load(tables, others).where(F.col("violations") > 0).collect()  # a few report rows
+        stored = {r: x for r in LOAD_ORDER if (x := store.read(r, others)) is not None}
+        bad = check_before_load(tables, stored).where(F.col("violations") > 0).collect()  # a few report rows
         if bad:
             raise LoadCheckFailed("; ".join(f"{r['table_name']} {r['check']}: {r['violations']}" for r in bad))
-    kept = {r: others[r].count() if r in others else 0 for r in tables}
+    staged = {}
     for role in [r for r in LOAD_ORDER if r in tables]:
-        s = schema(role, id_type)
-        df = tables[role].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in s.fields]).withColumn("batch", F.lit(batch))
-        parts = ["batch"]
+        df = _declared(tables[role], role, id_type)
         if role in MONTH_PARTITION:
             df = df.withColumn("month", F.date_format(F.col(MONTH_PARTITION[role]), "yyyy-MM")).hint("rebalance", "month")
-            parts.append("month")
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{out_dir}/{role}")
-    loaded = {r: _stored(spark, out_dir, r) for r in LOAD_ORDER if r in tables}
-    expected = {r: tables[r].agg((F.count(F.lit(1)) + kept[r]).alias("n")).scalar() for r in loaded}
+            staged[role] = store.stage(role, df, ["month"])
+        else:
+            staged[role] = store.stage(role, df)
+    loaded = {r: spark.read.parquet(f"{store.folder}/{p}") for r, p in staged.items()}
+    expected = {r: tables[r].agg(F.count(F.lit(1)).alias("n")).scalar() for r in staged}
     report = qa.load_reconcile(loaded, expected)
-    base = F.coalesce(*[F.when(F.col("table_name") == r, F.lit(n)) for r, n in kept.items()]).cast("long")
-    return report.select("table_name", (F.col("expected") - base).alias("expected"), (F.col("loaded") - base).alias("loaded"), "status")
+    short = [r["table_name"] for r in report.collect() if r["status"] != "OK"]
+    if short:
+        raise LoadCheckFailed(f"not all rows arrived: {', '.join(short)}")
+    store.commit(version.with_parts({r: {batch: p} for r, p in staged.items()}))
+    return report
+
+
+def _declared(df: DataFrame, role: str, id_type: T.DataType) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(role, id_type).fields])
 
 
 def read_roles_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Read back roles written by :func:`write_roles`.  Fact roles keep their ``month`` partition
+    """The roles of the version published by :func:`write_roles`.  Fact roles keep their ``month`` partition
     column, which :func:`churnlens.operators.windows.window_at_date` uses for partition pruning."""
-    return {r: spark.read.parquet(f"{folder}/{r}").drop("batch") for r in LOAD_ORDER}
+    store = Store(spark, folder)
+    version = store.current()
+    return {r: x for r in LOAD_ORDER if (x := store.read(r, version)) is not None}
+
+
+def write_by_account(tables: dict[str, DataFrame], prefix: str, n_buckets: int, id_type: T.DataType = T.StringType()) -> None:
+    """The roles as catalog tables ``{prefix}{role}``, hashed by account into ``n_buckets`` sorted buckets.
+
+    Usage is stored with its account (joined from the contracts here, once, where it has none).  Grouping or
+    joining a fact by account then reads each bucket in place: no exchange of the facts, whatever their
+    size.  ``n_buckets`` fixes the tasks of such a stage, so take a bucket of a few hundred MB.
+    """
+    todo = dict(tables)
+    if "usage" in todo and "subscriptions" in todo:
+        todo["usage"] = denormalise_usage(todo["usage"], todo["subscriptions"])
+    for role in [r for r in LOAD_ORDER if r in todo]:
+        df = _declared(todo[role], role, id_type).repartition(n_buckets, "account_id")
+        df.write.mode("overwrite").format("parquet").bucketBy(n_buckets, "account_id").sortBy("account_id").saveAsTable(f"{prefix}{role}")
+
+
+def read_by_account(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
+    """The roles stored by :func:`write_by_account`."""
+    return {r: spark.table(f"{prefix}{r}") for r in LOAD_ORDER}
+
+
+def write_marts(marts: dict[str, DataFrame], out_dir: str) -> Version:
+    """S7 - publish the marts (e.g. account_mart, monthly_flow, recommendations) as parquet, together.
+
+    Each goes to a new folder; one manifest commit makes them the published version.  Marts that are not given
+    stay as the version before had them.  Files of versions before the last two are deleted.
+    """
+    store = Store(next(iter(marts.values())).sparkSession, out_dir)
+    version = store.current()
+    parts = {name: {"": store.stage(name, df)} for name, df in marts.items()}
+    out = store.commit(version.with_parts(parts))
+    store.vacuum()
+    return out
+
+
+def read_marts(spark: SparkSession, folder: str, number: int | None = None) -> dict[str, DataFrame]:
+    """All marts of one version (the published one, or ``number`` while it is kept)."""
+    store = Store(spark, folder)
+    version = store.current() if number is None else store.version(number)
+    return {name: store.read(name, version) for name in sorted(version.tables)}
 
 
-def write_marts(marts: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> None:
-    """S7 - publish the marts (e.g. account_mart, monthly_flow, recommendations) as parquet."""
+def mart_views(spark: SparkSession, folder: str, prefix: str = "", number: int | None = None) -> list[str]:
+    """S6 - the marts of one version as temporary views, replaced if they exist."""
+    marts = read_marts(spark, folder, number)
     for name, df in marts.items():
-        df.write.mode(mode).parquet(f"{out_dir}/{name}")
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in marts]

@@ -154,7 +154,7 @@ def test_window_at_date_prunes_month_partitions(spark, cfg, tmp_path):
     subs = frame(spark, "subscriptions", [sub(1, 1, "2024-01-01")])
     usage = frame(spark, "usage", [use(1, "2024-01-15"), use(1, "2024-12-30", count=3), use(1, "2024-10-03", count=5), use(1, "2024-10-02", count=50)])
     io.write_roles({"accounts": accts, "subscriptions": subs, "usage": usage}, str(tmp_path), id_type=T.LongType())
-    facts = spark.read.parquet(f"{tmp_path}/usage")
+    facts = io.read_roles_parquet(spark, str(tmp_path))["usage"]
     from pyspark.sql import functions as F
 
     out = window_at_date(accts, facts, "account_id", "usage_date", cfg.close_date, 90,
