@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import significant
 from ..sources.schemas import Contract
-from .ranking import exact_quantiles
+from .ranking import bracketed_quantiles
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -54,15 +54,15 @@ def _long_many(tables, cast: str, day: bool = False) -> DataFrame:
     return _union(frames)
 
 
-def _quartiles(long: DataFrame, names: Sequence[str], n_groups: int, n_buckets: int | None) -> DataFrame:
+def _quartiles(long: DataFrame, names: Sequence[str]) -> DataFrame:
     keyed = long.withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    q = exact_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75], n_groups, n_buckets)
+    q = bracketed_quantiles(keyed, "_g", "value", [0.25, 0.5, 0.75])
     return q.groupBy("_g").agg(
         *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)]
     )
 
 
-def profile_numeric_many(tables, n_buckets: int | None = None) -> DataFrame:
+def profile_numeric_many(tables) -> DataFrame:
     """Q2 for several (table, df, columns) at once: count, mean, sample std, min, exact quartiles
     (linear interpolation), max.  All columns of all tables share one quantile computation.
 
@@ -75,25 +75,25 @@ def profile_numeric_many(tables, n_buckets: int | None = None) -> DataFrame:
         F.count("value").alias("count"), significant(F.avg("value")).alias("mean"),
         significant(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25", "p50", "p75"), sum(len(c) for _, _, c in tables), n_buckets)
+    qw = _quartiles(long, ("p25", "p50", "p75"))
     return moments.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
-def profile_numeric(df: DataFrame, table: str, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+def profile_numeric(df: DataFrame, table: str, cols: Sequence[str]) -> DataFrame:
     """Q2 - numeric describe of one table."""
-    return profile_numeric_many([(table, df, cols)], n_buckets)
+    return profile_numeric_many([(table, df, cols)])
 
 
-def profile_dates_many(tables, n_buckets: int | None = None) -> DataFrame:
+def profile_dates_many(tables) -> DataFrame:
     """Q4 for several tables: count, min, exact quartiles and max of date/timestamp columns,
     as days since 1970-01-01."""
     long = _long_many(tables, "double", day=True)
     base = long.groupBy("table_name", "column_name").agg(
         F.count("value").alias("count"), F.min("value").alias("min_day"), F.max("value").alias("max_day")
     ).withColumn("_g", F.concat_ws("\u0001", "table_name", "column_name"))
-    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"), sum(len(c) for _, _, c in tables), n_buckets)
+    qw = _quartiles(long, ("p25_day", "p50_day", "p75_day"))
     return base.join(qw, "_g", "left").select(
         "table_name", "column_name", "count", "min_day", "p25_day", "p50_day", "p75_day", "max_day"
     )

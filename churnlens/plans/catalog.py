@@ -221,6 +221,15 @@ for _name in (
     QUERIES[_name] = getattr(ck, _name)
 
 
+# ---------------------------------------------------------------- sources, sinks, presentation S1-S7, O1-O3, F10
+from . import storage as sg  # noqa: E402
+
+for _name in (
+    "csv_round_trip", "date_text_audit", "batch_load", "published_marts", "duplicates_in_order", "risk_levels_in_order", "reasons_in_order",
+):
+    QUERIES[_name] = getattr(sg, _name)
+
+
 def _tracked(fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
     """Everything a query writes while it is built belongs to its context, which releases it."""
 

@@ -69,7 +69,7 @@ def null_counts(ctx: Context) -> DataFrame:
 
 def profile_numeric(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return qa.profile_numeric_many([(n, t[n], cols) for n, cols in NUMERIC.items()], ctx.cfg.ntile_buckets)
+    return qa.profile_numeric_many([(n, t[n], cols) for n, cols in NUMERIC.items()])
 
 
 def profile_text(ctx: Context) -> DataFrame:
@@ -79,7 +79,7 @@ def profile_text(ctx: Context) -> DataFrame:
 
 def profile_dates(ctx: Context) -> DataFrame:
     t = _tables(ctx)
-    return qa.profile_dates_many([(n, t[n], cols) for n, cols in DATES.items()], ctx.cfg.ntile_buckets)
+    return qa.profile_dates_many([(n, t[n], cols) for n, cols in DATES.items()])
 
 
 def profile_flags(ctx: Context) -> DataFrame:

@@ -81,13 +81,18 @@ def materialize_at(df: DataFrame) -> tuple[DataFrame, str]:
     survives the loss of any executor.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/churnlens-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), path
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, released like what :func:`materialize` writes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlens-{uuid.uuid4().hex}"
     _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return spark.read.parquet(path), path
+    return path
 
 
 _MATERIALIZED: dict[str, list[str]] = {}

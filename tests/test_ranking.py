@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.ranking import (
     OrderSpec,
+    bracketed_quantiles,
     distributed_ntile,
     exact_quantiles,
     global_cumsum,
+    global_position,
     top_k_per_group,
 )
 
@@ -122,3 +124,54 @@ def test_buckets_of_any_split_keys_are_in_order(spark):
         key = F.struct(F.col("k").alias("_o0"))
         rows = df.select("k", _bucket(key, splits, ["long"]).alias("b")).collect()
         assert all(r["b"] == sum(s[0] < r["k"] for s in splits) for r in rows)
+
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+@pytest.mark.parametrize("bracket_rows,accuracy", [(10**6, 4000), (50, 4000), (200, 40), (1, 100)])
+def test_bracketed_quantiles_match_numpy(spark, bracket_rows, accuracy):
+    rnd = random.Random(7)
+    data = {
+        "few values": [rnd.randint(0, 5) for _ in range(3000)],
+        "many": [rnd.gauss(0, 1e6) for _ in range(3000)],
+        "one": [7.0],
+        "two": [-1.5, 2.5],
+        "ends": [float("-inf"), 0.0, -0.0, 1e300, float("inf")],
+        "steep": [10.0 ** rnd.uniform(-200, 200) for _ in range(1500)],
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("none", None)], "g string, v double").repartition(5)
+    got = {(r["g"], r["p"]): r["quantile"] for r in bracketed_quantiles(df, "g", "v", PROBS, bracket_rows, accuracy).collect()}
+    assert set(got) == {(g, p) for g in data for p in PROBS}
+    for g, vs in data.items():
+        for p in PROBS if g != "ends" else (0.0, 0.25, 0.5, 0.75, 1.0):
+            at = p * (len(vs) - 1)
+            lo, hi, d = sorted(vs)[int(at)], sorted(vs)[-int(-at // 1)], at - int(at)
+            want = lo if d == 0 else lo * (1 - d) + hi * d
+            assert got[g, p] == want or got[g, p] == pytest.approx(want, rel=1e-12), (g, p)
+
+
+def test_bracketed_quantiles_of_nothing_and_of_nan(spark):
+    empty = spark.createDataFrame([("a", None)], "g string, v double")
+    assert bracketed_quantiles(empty, "g", "v", [0.5]).collect() == []
+    nan = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0), ("a", 3.0)], "g string, v double")
+    got = {r["p"]: r["quantile"] for r in bracketed_quantiles(nan, "g", "v", [0.0, 0.5, 1.0], bracket_rows=1).collect()}
+    assert got[0.0] == 1.0 and got[0.5] == 2.5 and np.isnan(got[1.0])
+
+
+def test_brackets_keep_the_values_out_of_the_shuffle(spark, monkeypatch):
+    """Only rows inside the brackets reach the exchange of the last step."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 40_009).cast("double").alias("v"))
+    out = bracketed_quantiles(df, "g", "v", [0.25, 0.5, 0.75], bracket_rows=500)
+    assert {r["p"]: r["quantile"] for r in out.collect()} == {p: float(np.quantile(sorted(i * 7919 % 40_009 for i in range(40_000)), p)) for p in (0.25, 0.5, 0.75)}
+    kept = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter" in kept.lower()
+
+
+def test_global_position(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "a", "b", "é", "z"]), rnd.choice([None, 1, 2, 3])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(4)
+    got = sorted((r["position"], r["k"], r["n"]) for r in global_position(df, ["k", "n"], n_buckets=6).collect())
+    key = lambda x: ((x[0] is not None, x[0] or ""), (x[1] is not None, x[1] or 0))
+    assert got == [(i + 1, *x) for i, x in enumerate(sorted(rows, key=key))]
