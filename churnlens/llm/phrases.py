@@ -47,12 +47,14 @@ COVER_PERCENT = 50
 #: One document in so many is in the sample; a phrase is frequent there from SAMPLE_COUNT occurrences.
 SAMPLE_PARTS = 8
 SAMPLE_COUNT = 2
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Fingerprints, and counted texts, that a task holds before it hands them on.
-HELD_HASHES = 2_000_000
+HELD_HASHES = 1_000_000
 #: Text of which one group adds up the fingerprints (about as many bytes as the text).
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 HELD_TEXTS = 500_000
+#: Up to so many languages their table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_LANGUAGES = 50_000
 #: Bits of a map per phrase, and the most that a map takes.
 BITS_PER_PHRASE = 16
 MOST_BITS = 1 << 27
@@ -292,21 +294,22 @@ def frequent_phrases(
     rows = docs.select(lang, "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 << max(0, (size // PART_BYTES).bit_length(), (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(lang, "text")
-    maps = lambda found, longest: [bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in range(1, longest + 1)]
-    passes: Passes = [maps(materialize(count_hashes(sample, [], max_words - 1, sample_count, parts, chunk_bytes)), max_words - 1)]
-    found = None
-    while True:
-        new = materialize(count_hashes(rows, passes, max_words, min_count, parts, chunk_bytes))
-        found = new if found is None else found.unionByName(new)
-        failures = _missing(new.where(F.col("words") < max_words), passes)
-        if not failures:
-            break
-        if log is not None:
-            log.append(failures)
-        passes.append(maps(found, max_words - 1))
-    exact = count_phrases(rows, maps(found, max_words), chunk_bytes)
-    return materialize(exact.where((F.col("words") == 0) | (F.col("n") >= min_count)))
+    with T.small_batches(docs.sparkSession):
+        sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(lang, "text")
+        maps = lambda found, longest: [bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in range(1, longest + 1)]
+        passes: Passes = [maps(materialize(count_hashes(sample, [], max_words - 1, sample_count, parts, chunk_bytes)), max_words - 1)]
+        found = None
+        while True:
+            new = materialize(count_hashes(rows, passes, max_words, min_count, parts, chunk_bytes))
+            found = new if found is None else found.unionByName(new)
+            failures = _missing(new.where(F.col("words") < max_words), passes)
+            if not failures:
+                break
+            if log is not None:
+                log.append(failures)
+            passes.append(maps(found, max_words - 1))
+        exact = count_phrases(rows, maps(found, max_words), chunk_bytes)
+        return materialize(exact.where((F.col("words") == 0) | (F.col("n") >= min_count)))
 
 
 def _missing(hashes: DataFrame, passes: Passes) -> int:
@@ -348,8 +351,11 @@ def collocations(found: DataFrame, top: int = TOP, cover_percent: int = COVER_PE
     left_over = best.join(covered, ["lang", "phrase"], "left").where(F.col("_over").isNull() | (100 * F.col("_over") < cover_percent * F.col("a")))
     flat = left_over.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
     numbered = row_numbers(flat, [F.col("lang"), -F.col("score"), -F.col("a"), F.col("phrase")])
-    per_lang = found.where("words = 0").groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
-    per_lang = per_lang.join(numbered.groupBy(F.col("lang").alias("_lang")).agg(F.min("row_no").alias("_first")), "_lang")
+    sizes = found.where("words = 0").groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    small = F.broadcast if few else (lambda frame: frame)
+    firsts = numbered.groupBy(F.col("lang").alias("_lang")).agg(F.min("row_no").alias("_first"))
+    per_lang = small(firsts.join(small(sizes), "_lang"))
     ranked = numbered.join(per_lang, F.col("lang") == F.col("_lang")).withColumn("rank", F.col("row_no") - F.col("_first") + 1)
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
