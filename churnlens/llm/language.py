@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased; everything that is not a letter becomes a space.  Every run of 1 to 3
-characters is hashed into a fixed number of buckets.  Training counts buckets per language on a
+characters, with two spaces before and after the text, is hashed into a fixed number of buckets.  Training counts buckets per language on a
 bounded, seeded sample of rows per language, on the executors; the smoothed log probabilities form
 one matrix (buckets x languages) that is broadcast.  Its size is the product of two parameters and
 the number of languages, and is checked.  Scoring sums matrix rows per text, batch by batch.
@@ -14,10 +14,11 @@ the first by code point.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as T
@@ -37,11 +38,14 @@ def letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 
-def code_points(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased code points, 32 for what is no letter, a space after each text; offsets; letters per text."""
+def code_points(texts: list[str], letter: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points, 32 for what is no letter; offsets; letters per text.  ``pad`` spaces stand before
+    the first text and after each, so that no n-gram of up to pad + 1 characters spans two texts: what a
+    text has is its own, whatever stands beside it."""
     low = [t.lower() for t in texts]
-    flat = np.frombuffer(" ".join(low).encode("utf-32-le", "replace") + b"\x20\0\0\0", "<u4")
-    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])])
+    gap = " " * pad
+    flat = np.frombuffer((gap + "".join(t + gap for t in low)).encode("utf-32-le", "replace"), "<u4")
+    offsets = pad + np.concatenate([[0], np.cumsum([len(t) + pad for t in low])])
     small = flat < len(letter)
     is_letter = letter[np.where(small, flat, 0)]
     if not small.all():
@@ -51,8 +55,13 @@ def code_points(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(is_letter, flat, 32).astype(np.uint32), offsets, sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def gap(orders: tuple[int, ...]) -> int:
+    """Spaces around a text for n-grams of these orders."""
+    return max(1, max(orders) - 1)
+
+
 def ngram_buckets(points: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """The bucket of the n-gram that ends at each position; runs across texts meet the space between them."""
+    """The bucket of the n-gram that ends at each position."""
     h = np.zeros(len(points), np.uint32)
     for back in range(order):
         h[back:] += points[: len(points) - back] * np.uint32((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[back])
@@ -70,41 +79,44 @@ class Model:
     orders: tuple[int, ...]
 
 
-def sample_ids(docs: DataFrame, lang_col: str, limit: int, seed: int = 11) -> DataFrame:
-    """Ids of at most ``limit`` rows a language, first in a seeded order; no text is read for it."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ids = docs.select("doc_id", lang_col).where(F.col("doc_id").isNotNull() & F.col(lang_col).isNotNull()).withColumn("_n", F.row_number().over(order))
-    return ids.where(F.col("_n") <= limit).select("doc_id").distinct()
-
+def train(
+    docs: DataFrame, limit: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", seed: int = 11
+) -> Model:
+    """Learn from at most ``limit`` rows of each language of ``docs``, the first in a seeded order of the ids.
 
-def train(docs: DataFrame, limit: int = SAMPLE, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from at most ``limit`` rows of each language of ``docs``."""
-    letter = letters()
-    chosen = docs.select("doc_id", lang_col, text_col).where(F.col(lang_col).isNotNull()).join(F.broadcast(sample_ids(docs, lang_col, limit)), "doc_id", "left_semi")
+    The rows are chosen before any text is read, by one top-k scan a language: a task keeps at most ``limit``
+    ids of it, so a language with most of the rows is never brought together.
+    """
+    letter, pad = letters(), gap(orders)
+    known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
+    prior = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(prior)
+    if len(languages) * buckets * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages x {buckets} buckets exceed the model's {MODEL_BYTES} bytes; lower buckets or raise MODEL_BYTES")
+    if not languages:
+        return Model([], np.zeros(0), np.zeros((buckets, 0), np.float32), orders)
+    first = [known.where((F.col("lang") == x) & F.col("_id").isNotNull()).select("_id", "lang").orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(limit) for x in languages]
+    chosen = known.join(F.broadcast(reduce(DataFrame.unionByName, first).distinct()), ["_id", "lang"], "left_semi")
 
     def count(batch: pa.RecordBatch) -> dict:
         names = batch.column(0).to_pylist()
         kinds = sorted(set(names))
         total = np.zeros((len(kinds), buckets), np.int64)
         for c in T.chunks(batch.column(1)):
-            points, offsets, _ = code_points(strings(c), letter)
+            points, offsets, _ = code_points(strings(c), letter, pad)
             of = np.repeat(np.array([kinds.index(x) for x in names[c.lo : c.hi]]), np.diff(offsets))
             for order in orders:
-                total += np.bincount(of * buckets + ngram_buckets(points, order, buckets), minlength=total.size).reshape(total.shape)
+                total += np.bincount(of * buckets + ngram_buckets(points, order, buckets)[pad:], minlength=total.size).reshape(total.shape)
         k, b = np.nonzero(total)
         return {"lang": pa.array([kinds[i] for i in k], pa.string()), "bucket": b.astype(np.int64), "n": total[k, b]}
 
-    rows = T.per_batch(chosen.select(lang_col, text_col), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    prior = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    languages = sorted(prior)
-    if len(languages) * buckets * 4 > MODEL_BYTES:
-        raise ValueError(f"{len(languages)} languages x {buckets} buckets exceed the model's {MODEL_BYTES} bytes; lower buckets or raise MODEL_BYTES")
+    rows = T.per_batch(chosen.select("lang", "text"), count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((buckets, len(languages)))
     for r in rows.toLocalIterator():
         counts[r["bucket"], languages.index(r["lang"])] = r["n"]
     logs = np.log(counts + smoothing) - np.log(counts.sum(0) + smoothing * buckets)
     share = np.array([prior[x] for x in languages], float)
-    return Model(languages, np.log(share / share.sum()) if languages else share, logs.astype(np.float32), orders)
+    return Model(languages, np.log(share / share.sum()), logs.astype(np.float32), orders)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,19 +128,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         letter, m = letters(), held.value
-        n_buckets = len(m.matrix)
+        n_buckets, pad = len(m.matrix), gap(m.orders)
+        columns = m.matrix.T.astype(np.float64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             names, score = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
             texts = batch.column(0).field(field) if field else batch.column(1)
             for c in T.chunks(texts) if m.languages else ():
-                points, offsets, n_letters = code_points(strings(c), letter)
+                points, offsets, n_letters = code_points(strings(c), letter, pad)
                 total = np.zeros((c.hi - c.lo, len(m.languages)))
                 for order in m.orders:
                     at = ngram_buckets(points, order, n_buckets)
                     for j in range(len(m.languages)):
-                        total[:, j] += np.add.reduceat(m.matrix[:, j][at], offsets[:-1], dtype=np.float64)
+                        total[:, j] += np.add.reduceat(columns[j][at], offsets[:-1])
                 full = total + m.prior
                 best = full.argmax(1)
                 scale = np.minimum(1.0, EVIDENCE / np.maximum(1, n_letters * len(m.orders)))
