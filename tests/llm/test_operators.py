@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on tables with nulls, empty and long texts, ties,
 repeated rows and extra columns, and on empty tables."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from churnlens.llm import binary, catalog, decontaminate, jaccard, language, licenses, mixing, quality, rules, suffixes, tokens
@@ -177,6 +179,72 @@ def test_language_id(spark, data):
     assert all(r["lang_pred"] in ("en", "fr", "und") and 0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_bucket(chars, order, buckets=language.BUCKETS):
+    h = sum(ord(c) * m for c, m in zip(chars[::-1], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))) % 2**32
+    h ^= h >> 15
+    h = h * (0x2C1B3C6D + 2 * order) % 2**32
+    return (h ^ (h >> 13)) % buckets
+
+
+def plain_ngrams(text):
+    low = "  " + "".join(c if c.isalpha() else " " for c in text.lower()) + "  "
+    return Counter(plain_bucket(low[i - n + 1 : i + 1], n) for n in language.ORDERS for i in range(2, len(low))), sum(c.isalpha() for c in text.lower())
+
+
+def plain_bayes(rows):
+    """(language, score) of a text by naive Bayes over the labelled rows, written plainly."""
+    seen, prior = {}, Counter()
+    for i, t, lang, _ in rows:
+        if lang is not None and not X.held_out(i, 4, 2):
+            prior[lang] += 1
+            seen.setdefault(lang, Counter())
+            if i is not None:
+                seen[lang].update(plain_ngrams(t or "")[0])
+
+    def tell(text):
+        grams, letters = plain_ngrams(text or "")
+        if not letters:
+            return "und", 0.0
+        total = {
+            g: math.log(prior[g] / sum(prior.values())) + sum(n * math.log((seen[g][b] + 0.5) / (sum(seen[g].values()) + 0.5 * language.BUCKETS)) for b, n in grams.items())
+            for g in prior
+        }
+        best = max(sorted(total), key=total.get)
+        scale = min(1.0, language.EVIDENCE / (letters * 3))
+        return best, 1 / sum(math.exp((x - total[best]) * scale) for x in total.values())
+
+    return tell
+
+
+def test_language_id_equals_plain_naive_bayes(spark, data):
+    tell = plain_bayes(ROWS)
+    texts = {i: t for i, t, *_ in ROWS if i is not None}
+    rows = catalog.QUERIES["op6_language_id"](spark, data).collect()
+    for r in rows:
+        if r["doc_id"] is not None:
+            lang, score = tell(texts[r["doc_id"]])
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    r = np.random.default_rng(3)
+    model = language.Model(["a", "b", "c"], np.log(np.full(3, 1 / 3)), r.normal(-9, 1, (language.BUCKETS, 3)).astype(np.float32), language.ORDERS)
+    words = ["da", "x", "", "zu", "Né 1", "12", "é", "long " * 50, None, "ß", "a b", "\U00010400\U00010401"]
+    rows = [(i, words[int(k)], None, None) for i, k in enumerate(r.integers(0, len(words), 400))]
+    got = {}
+    for table in (X.table(spark, rows).coalesce(1), X.table(spark, rows[::-1]).coalesce(1), X.table(spark, [(i, t, None, None) for i, t in enumerate(words)]).repartition(len(words), "doc_id")):
+        for x in language.predict(table.select(F.struct("text").alias("k")), model, id_col="k", text_col="k.text").collect():
+            assert got.setdefault(x["k"]["text"], (x["lang_pred"], x["score"])) == (x["lang_pred"], x["score"])
+    assert set(got) == set(words)
+
+
+def test_language_sample_is_one_top_k_scan_a_language(spark):
+    rows = [(i, "the and" if i % 10 else "der und", "en" if i % 10 else "de", "s") for i in range(500)]
+    few, many = (language.train(X.table(spark, rows), limit=k) for k in (5, 10_000))
+    assert few.languages == many.languages == ["de", "en"] and np.allclose(few.prior, many.prior)
+    assert not np.allclose(few.matrix, many.matrix)
+
+
 def test_language_id_held_out_accuracy(spark, tmp_path):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(("der", "ung", "sch", "über") if i % 2 else ("the", "tion", "wh", "and")) for _ in range(20)), "de" if i % 2 else "en", "s") for i in range(80)]
@@ -212,14 +280,60 @@ def test_mix(spark, data):
     assert rows_of(again, "doc_id", "size", "source_size", "target", "taken") == X.as_counter(rows)
 
 
-def test_seats_are_the_highest_quotients(spark):
+def highest_quotients(weights, caps, seats):
+    best = sorted((-w / (2 * k + 1), s) for s, (w, c) in enumerate(zip(weights, caps, strict=True)) for k in range(c) if w > 0)[:seats]
+    return {s: sum(1 for _, x in best if x == s) for s in range(len(weights))}
+
+
+@pytest.mark.parametrize("ranked", [5000, 3])
+def test_seats_are_the_highest_quotients(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED", ranked)
     r = random.Random(4)
-    blocks = [r.randint(1, 40) for _ in range(30)]
-    for seats in (0, 7, 100, 3 * sum(blocks)):
-        shards = spark.createDataFrame([(1, k, b, sum(blocks), seats) for k, b in enumerate(blocks)], "source_no long, shard long, blocks long, source_blocks long, seats long")
-        got = {x["shard"]: x["quota"] for x in mixing.apportion(shards).collect()}
-        best = sorted(((-b / (2 * k + 1), s) for s, b in enumerate(blocks) for k in range(3 * b + 5)))[:seats]
-        assert got == {s: sum(1 for _, x in best if x == s) for s in range(len(blocks))}
+    houses = {
+        0: ([r.randint(1, 40) for _ in range(30)], 100),
+        1: ([1] * 100 + [1000], 660),  # one large shard: its quotients lie far from its share
+        2: ([7] * 20, 33),  # ties only
+        3: ([5, 5, 9], 10**6),  # more seats than the caps allow
+        4: ([r.random() * 10 ** r.randint(0, 4) for _ in range(12)], 900),
+        5: ([3, 4], 0),
+        6: ([0.0, 2.5], 3),
+    }
+    rows, want = [], {}
+    for house, (weights, seats) in houses.items():
+        caps = [3 * max(1, int(w)) for w in weights]
+        rows += [(house, k, float(w), c, seats) for k, (w, c) in enumerate(zip(weights, caps, strict=True))]
+        want |= {(house, k): n for k, n in highest_quotients(weights, caps, seats).items()}
+    items = spark.createDataFrame(rows, "house int, item long, weight double, cap long, seats long")
+    assert {(x["house"], x["item"]): x["quota"] for x in mixing.apportion(items, "house", "item").collect()} == want
+
+
+def test_mix_between_sources_and_uneven_shards(spark, tmp_path):
+    """Several sources of very different size, many shards, null and repeated ids."""
+    r = random.Random(12)
+    rows = [(None if i % 3 else i // 9, " ".join(f"w{r.randrange(99)}" for _ in range(r.choice([0, 3, 20, 300]))), "en", f"s{min(4, int(r.expovariate(0.7)))}") for i in range(300)]
+    docs = X.table(spark, rows)
+    plan = lambda: mixing.mix(mixing.sized(docs, ["doc_id", "source", "text"]), block_words=7, shard_words=400)
+    got = plan().collect()
+    sizes, shards = Counter(), {}
+    for x in got:
+        sizes[x["source"]] += x["_size"]
+        if x["_size"]:
+            shards.setdefault((x["source_no"], x["shard"]), Counter())["size"] += x["_size"]
+    blocks = {k: max(1, (2 * v["size"] + 7) // 14) for k, v in shards.items()}
+    target = {x["source_no"]: (x["target"], x["source_size"]) for x in got}
+    own = {no: sum(b for (s, _), b in blocks.items() if s == no) for no in target}
+    weights = {no: t * own[no] / n for no, (t, n) in target.items() if own[no]}
+    order = sorted(weights)
+    seats = highest_quotients([weights[no] for no in order], [3 * own[no] for no in order], int(round(sum(weights.values()), 6) + 0.5))
+    quota = {}
+    for k, no in enumerate(order):
+        keys = sorted(x for x in blocks if x[0] == no)
+        quota |= {keys[i]: n for i, n in highest_quotients([blocks[x] for x in keys], [3 * blocks[x] for x in keys], seats[k]).items()}
+    assert len(blocks) > 20
+    assert {(x["source_no"], x["shard"]): x["quota"] for x in got if x["_size"]} == quota
+    assert X.as_counter((x["doc_id"], x["text"], x["taken"]) for x in got) == X.as_counter((x["doc_id"], x["text"], x["taken"]) for x in plan().collect())
+    spread = Counter(x["shard"] for x in got if x["doc_id"] is None and x["source"] == "s0")
+    assert len(spread) > 3 and max(spread.values()) < 0.6 * sum(spread.values())
 
 
 def test_mixed_documents_hold_the_taken_words(spark, data):
@@ -300,13 +414,49 @@ def test_sequences_by_random_access(spark, data):
             assert len(ids) == 64 and ids[mask].tolist() == want and not mask[len(want) :].any()
 
 
-def test_word_encoder_on_random_strings():
-    encoder = binary.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remembered=200)
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_on_random_strings(name):
+    encoder = binary.WordEncoder(public_tokenizers.path(name), remembered=200)
+    assert encoder.splits == (name == "word_bpe_49k.json")
     r = random.Random(7)
-    pieces = ["a", "The", "'ll", "'", "-", "#", "~`", "²", "Ø", "×", " ", "\n", "é", "É", "你", "\t", ".", "!?", "ing", "'s", "1", "٣", "\r", "\x1c", "́", "<|endoftext|>", "ẞ", "K", "Å"]
-    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 20))) for _ in range(3000)]
-    want = [np.array(e.ids, encoder.kind).tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    assert [x for k in range(0, 3000, 100) for x in encoder.encode(texts[k : k + 100])] == want
+    pieces = ["a", "The", "'ll", "'", "-", "#", "~`", "²", "Ø", "×", "÷", "ß", "ÿ", "À", " ", "\n", "é", "É", "你", "\t", ".", "!?", "ing", "'s", "'Re", "d", "1", "٣", "\r", "\x1c", "\u0301", "<|", "<|endoftext|>", "\x7f", "\x00"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 20))) for _ in range(2000)]
+    texts += ["".join(r.choice("'srevtlmd a!0É") for _ in range(r.randint(0, 14))) for _ in range(2000)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for size in (1, 60, 1 << 20):
+        got = []
+        for c in T.chunks(licenses.pa.array(texts), size):
+            ids, counts = encoder.encode(c)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
+
+
+def test_token_files_are_closed_when_they_are_full(spark, data):
+    docs = T.read(spark, data, "documents")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = binary.write_tokens(docs, path, 2, length=16, file_ids=300, chunk_bytes=500)
+    per_shard = Counter(r["shard"] for r in manifest.collect())
+    assert max(per_shard.values()) > 1
+    cols = ("doc_id", "start", "n_tokens", "ids_crc32")
+    assert rows_of(binary.read_tokens(manifest, "bigint"), *cols) == rows_of(catalog.QUERIES["op10_token_files"](spark, data), *cols)
+    shard = manifest.first()
+    ids, mask = binary.sequence(shard["folder"], shard["name"], 0)
+    assert not ids.flags.owndata and not mask.flags.owndata and mask.dtype == bool
+
+
+def test_rows_of_one_id_spread_over_files(spark):
+    rows = [(None, f"text {i % 40} of nobody", "en", "s") for i in range(400)]
+    manifest = binary.write_tokens(X.table(spark, rows), public_tokenizers.path("word_bpe_49k.json"), 2)
+    n = [r["n_ids"] for r in manifest.collect()]
+    assert len(n) >= 6 and max(n) < sum(n) / 3
+    assert binary.read_tokens(manifest, "bigint").count() == 400
+
+
+def test_folders_under_arrows_names():
+    assert binary.arrow_uri("/tmp/x") == "file:///tmp/x" == binary.arrow_uri("file:/tmp/x") == binary.arrow_uri("file:///tmp/x")
+    assert binary.arrow_uri("s3a://b/x") == "s3://b/x" and binary.arrow_uri("hdfs://h/x") == "hdfs://h/x"
+    with pytest.raises(ValueError, match="dbfs"):
+        binary.file_system("dbfs:/x")
 
 
 def test_components_extended_by_links(spark):
