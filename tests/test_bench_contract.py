@@ -20,3 +20,23 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == {"churn_rate", "reason_share"}
     assert d["value"] == pytest.approx(sum(d["queries"].values()), abs=1e-2)
+
+
+def test_core_queries_stay_when_a_package_of_the_optional_part_is_missing(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+    from churnlens.plans.catalog import QUERIES
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "corpus_pipeline" or name.startswith("churnlens.llm"):
+            raise ImportError("No module named 'sentencepiece'", name="sentencepiece")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    for m in [m for m in sys.modules if m.startswith("churnlens.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, m)
+    assert set(entry.queries()) == set(QUERIES) == set(entry.oracle_sql())
