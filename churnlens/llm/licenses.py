@@ -1,10 +1,12 @@
 """Licence scan by a positional rare-token index over licence templates.
 
-Offline, every template word gets an inverse document frequency over the template collection and a
-posting list of (template, position).  For a file, every licence word with a posting is looked up,
-however many a file holds; each pair of an occurrence and a posting proposes an alignment
-(template, file position - template position).  Alignments that enough words agree on are verified:
-a mandatory key phrase of the template must stand in the file at the aligned position.
+Offline, every template word gets an inverse document frequency over the template collection, and each
+template chooses its words of highest IDF, among them one of each of its key phrases; only these
+have a posting list of (template, position).  For a file, every word with a posting is looked up, however
+many a file holds; each pair of an occurrence and a posting proposes an alignment
+(template, file position - template position).  A proposed alignment is verified: a mandatory key phrase of the
+template must stand in the file at the aligned position, and enough of the template's IDF weight must be in
+place.  As each key phrase has a posting, no alignment that would verify is left unproposed.
 
 Base phrases are key phrases too, and their places are all reported, aligned or not.
 
@@ -24,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.llm import text as T
 
+#: Words that a template is looked up by, besides those of its key phrases.
+RARE_WORDS = 4
+
 #: Phrases whose every place is reported, and their labels.
 BASE_PHRASES = {
     "cc by": "cc-by",
@@ -76,7 +81,7 @@ class Index:
     posting_first: np.ndarray
     posting_template: np.ndarray
     posting_at: np.ndarray
-    length: np.ndarray
+    words: list[np.ndarray]
     weight: np.ndarray
     labels: list[str]
     keys: list[tuple[int, int, list[int]]]
@@ -89,8 +94,9 @@ def hash_words(text: str) -> list[int]:
     return [int(h) for c in T.chunks(batch) for h in T.words(c, T.ALNUM, True).hash]
 
 
-def build_index(templates=None, base=None, rare_share: float = 0.25) -> Index:
-    """Postings of the words that stand in at most ``rare_share`` of the templates."""
+def build_index(templates=None, base=None, rare_share: float = 0.25, rare_words: int = RARE_WORDS) -> Index:
+    """Weights of the words that stand in at most ``rare_share`` of the templates, and postings of each
+    template's ``rare_words`` words of highest IDF (ties by word) and of the rarest word of each key phrase."""
     templates = TEMPLATES if templates is None else templates
     base = BASE_PHRASES if base is None else base
     split = [t.split() for _, t, _ in templates]
@@ -106,7 +112,9 @@ def build_index(templates=None, base=None, rare_share: float = 0.25) -> Index:
     for w, i in ids.items():
         if df[w] and df[w] <= max(1, rare_share * len(templates)):
             idf[i] = math.log((1 + len(templates)) / df[w])
-    postings = sorted((ids[w], t, at) for t, ws in enumerate(split) for at, w in enumerate(ws) if idf[ids[w]] > 0)
+    rarest_first = lambda ws: sorted(set(ws), key=lambda w: (-idf[ids[w]], w))
+    chosen = [set(rarest_first(ws)[:rare_words]) | {rarest_first(p.split())[0] for p in keys_of} for ws, (_, _, keys_of) in zip(split, templates, strict=True)]
+    postings = sorted((ids[w], t, at) for t, ws in enumerate(split) for at, w in enumerate(ws) if w in chosen[t])
     table = np.array(postings, np.int64).reshape(-1, 3)
     keys = []
     for t, (_, _, phrases_of) in enumerate(templates):
@@ -121,7 +129,7 @@ def build_index(templates=None, base=None, rare_share: float = 0.25) -> Index:
         np.searchsorted(table[:, 0], np.arange(len(vocabulary) + 2)),
         table[:, 1],
         table[:, 2],
-        np.array([len(ws) for ws in split]),
+        [np.array([ids[w] for w in ws], np.int64) for ws in split],
         np.array([sum(idf[ids[w]] for w in ws) for ws in split]),
         [label for label, _, _ in templates],
         keys,
@@ -150,51 +158,42 @@ def stands_at(number: np.ndarray, row: np.ndarray, at: np.ndarray, phrase: list[
     return ok
 
 
-def rarest(index: Index, number: np.ndarray, row: np.ndarray, places: np.ndarray, top_words: int) -> np.ndarray:
-    """The places of each row's ``top_words`` licence words of highest IDF; words that tie with the last one stay too."""
-    pairs = np.unique(np.stack([row[places], number[places]], 1), axis=0)
-    pairs = pairs[np.lexsort((pairs[:, 1], -index.idf[pairs[:, 1]], pairs[:, 0]))]
-    begin = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
-    size = np.diff(np.r_[begin, len(pairs)])
-    bound = index.idf[pairs[begin + np.minimum(size, top_words) - 1, 1]]
-    chosen = pairs[index.idf[pairs[:, 1]] >= np.repeat(bound, size)]
-    width = len(index.idf) + 1
-    return places[np.isin(row[places] * width + number[places], chosen[:, 0] * width + chosen[:, 1])]
-
-
-def align(index: Index, number: np.ndarray, row: np.ndarray, first: np.ndarray, top_words: int | None = None, least: float = 0.3) -> list[tuple[int, int, int, float]]:
+def align(index: Index, number: np.ndarray, row: np.ndarray, first: np.ndarray, least: float = 0.3) -> list[tuple[int, int, int, float]]:
     """Verified alignments: (row, template, first word's position in the row, share of the IDF weight in place)."""
-    places = np.flatnonzero(index.idf[number] > 0)
+    count = index.posting_first[number + 1] - index.posting_first[number]
+    places = np.flatnonzero(count)
     if not len(places):
         return []
-    if top_words is not None:
-        places = rarest(index, number, row, places, top_words)
     # Join the places with the postings of their words.
-    count = index.posting_first[number[places] + 1] - index.posting_first[number[places]]
+    count = count[places]
     place = np.repeat(places, count)
     posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.posting_first[number[places]], count)
     template, start = index.posting_template[posting], place - index.posting_at[posting]
-    lead = int(index.length.max())
+    lead = max(map(len, index.words))
     wide = len(number) + lead
-    votes, back = np.unique((row[place] * len(index.length) + template) * wide + start + lead, return_inverse=True)
-    found = np.stack([votes // wide // len(index.length), votes // wide % len(index.length), votes % wide - lead], 1)
-    share = np.bincount(back, index.idf[number[place]], len(found)) / index.weight[found[:, 1]]
+    proposed = np.unique((row[place] * len(index.words) + template) * wide + start + lead)
+    found = np.stack([proposed // wide // len(index.words), proposed // wide % len(index.words), proposed % wide - lead], 1)
     verified = np.zeros(len(found), bool)
     for t, at, phrase in index.keys:
         mine = np.flatnonzero(found[:, 1] == t)
         here = stands_at(number, row, found[mine, 2] + at, phrase)
         here[here] = row[found[mine[here], 2] + at] == found[mine[here], 0]
         verified[mine[here]] = True
-    keep = np.flatnonzero(verified & (share >= least))
-    return [(int(r), int(t), int(s - first[r]), float(min(1.0, x))) for (r, t, s), x in zip(found[keep], share[keep], strict=True)]
+    out = []
+    for r, t, at in found[verified].tolist():
+        lo, hi = max(at, first[r]), min(at + len(index.words[t]), first[r + 1])
+        want = index.words[t][lo - at : hi - at]
+        share = index.idf[want[number[lo:hi] == want]].sum() / index.weight[t]
+        if share >= least:
+            out.append((r, t, int(at - first[r]), float(min(1.0, share))))
+    return out
 
 
-def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", top_words: int | None = None, least: float = 0.3) -> DataFrame:
+def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: word count, base places and labels, aligned templates, score.
 
-    ``top_words`` limits the look-up to a file's licence words of highest IDF, by default it has no
-    limit; ``least`` is the share of a template's IDF weight that must be in place.  ``score`` is the best alignment's
-    share, 1 where a base phrase stands.
+    ``least`` is the share of a template's IDF weight that must be in place.  ``score`` is the best
+    alignment's share, 1 where a base phrase stands.
     """
     index = index or build_index()
 
@@ -219,7 +218,7 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
                 score[rows] = 1.0
                 for r in set(rows.tolist()):
                     base[r].add(label)
-            for r, t, _, share in align(index, number, w.row, w.first, top_words, least):
+            for r, t, _, share in align(index, number, w.row, w.first, least):
                 method[c.lo + r].add(index.labels[t])
                 score[c.lo + r] = max(score[c.lo + r], share)
         none = n_base == 0

@@ -54,7 +54,51 @@ def test_license_alignment_needs_its_key_phrase_in_place():
     for text, want in [("this work is licensed under the apache foo license version 2 0", set()), ("x y licensed under the apache license version 2 0", {"apache"})]:
         (c,) = T.chunks(licenses.pa.array([text]))
         w = T.words(c, T.ALNUM, True)
-        assert {index.labels[t] for _, t, _, _ in licenses.align(index, licenses.number_words(index, w.hash), w.row, w.first, 12, 0.3)} == want
+        assert {index.labels[t] for _, t, _, _ in licenses.align(index, licenses.number_words(index, w.hash), w.row, w.first, 0.3)} == want
+
+
+def plain_alignments(text, least=0.3):
+    """Every template tried at every place: labels and the best share, by the words' IDF over the templates."""
+    ws = X.ALNUM_WORD.findall(X.lower(text))
+    split = [t.split() for _, t, _ in licenses.TEMPLATES]
+    df = Counter(w for t in split for w in set(t))
+    idf = {w: math.log((1 + len(split)) / n) if n <= max(1, 0.25 * len(split)) else 0.0 for w, n in df.items()}
+    labels, best = set(), 0.0
+    for (label, _, keys), t in zip(licenses.TEMPLATES, split, strict=True):
+        for at in range(-len(t), len(ws)):
+            here = [0 <= at + k < len(ws) and ws[at + k] == w for k, w in enumerate(t)]
+            if not any(all(here[k : k + len(p.split())]) for p in keys for k in range(len(t)) if t[k : k + len(p.split())] == p.split()):
+                continue
+            share = sum(idf[w] for w, ok in zip(t, here, strict=True) if ok) / sum(idf[w] for w in t)
+            if share >= least:
+                labels.add(label)
+                best = max(best, min(1.0, share))
+    return labels, best
+
+
+def test_license_labels_and_scores_equal_every_template_at_every_place(spark):
+    r = random.Random(13)
+    templates = [t for _, t, _ in licenses.TEMPLATES]
+    vocabulary = sorted({w for t in templates for w in t.split()}) + ["x", "y"] * 20
+    rows = []
+    for i in range(400):
+        ws = r.choices(vocabulary, k=r.randint(0, 30))
+        for _ in range(r.randint(0, 3)):
+            t = r.choice(templates).split()
+            lo, hi = sorted((r.randint(0, len(t)), r.randint(0, len(t))))
+            part = [r.choice(vocabulary) if r.random() < 0.1 else w for w in (t if r.random() < 0.4 else t[lo:hi])]
+            at = r.randint(0, len(ws))
+            ws[at:at] = part
+        rows.append((i, " ".join(ws), "en", "s"))
+    got = {x["doc_id"]: x for x in licenses.scan(X.table(spark, rows)).collect()}
+    seen = Counter()
+    for i, text, *_ in rows:
+        labels, share = plain_alignments(text)
+        base = {x for x in got[i]["base_labels"].split(",") if x}
+        assert got[i]["labels"] == ",".join(sorted(base | labels))
+        assert got[i]["score"] == pytest.approx(1.0 if base else share)
+        seen.update(labels)
+    assert len(seen) > 8
 
 
 def test_license_notices_stand_out_in_long_texts_and_beside_other_notices(spark):
