@@ -6,8 +6,9 @@ has a learned vector; learned filters respond to each chunk (ReLU), each filter'
 over the text goes into one logistic unit.  Training is Adam on whole texts of a bounded, seeded
 sample per label; only the chunk that wins a filter gets its gradient.
 
-A null or empty text is one chunk of padding and gets the score that has.  Rows are scored one by
-one, so repeated rows agree.  Without labels of both kinds every score is the known label's, or 0.5.
+A null or empty text is one chunk of padding and gets the score that has.  Learned numbers are rounded to
+multiples of 2**-12 after the fit, so every sum of a response is exact in 64 bits, whatever its order: a
+text's score is its own, alone or in any batch, and long texts are pooled piece by piece.  Without labels of both kinds every score is the known label's, or 0.5.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ PAD = 256
 #: Texts a label that the network is fitted on.
 SAMPLE = 1500
 THRESHOLD = 0.3
+#: Learned numbers are multiples of 1 / GRAIN in scoring.
+GRAIN = 1 << 12
+#: Blocks whose responses are held at once.
+PIECE = 1 << 14
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +61,27 @@ class Network:
         z[first[1:] - 1] = -np.inf
         return np.maximum(np.maximum.reduceat(z, first[:-1], axis=0), 0), z
 
+    def rounded(self) -> "Network":
+        """The network that scores: 64-bit multiples of 1 / ``GRAIN``."""
+        grain = lambda x: np.round(x.astype(np.float64) * GRAIN) / GRAIN
+        return Network(grain(self.vectors), grain(self.filters), grain(self.bias), grain(self.weight), grain(self.offset))
+
+    def top(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """As :meth:`pooled`, the responses of ``PIECE`` blocks at a time."""
+        out = np.zeros((len(first) - 1, FILTERS), self.filters.dtype)
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for lo in range(0, len(symbols) - 1, PIECE):
+            hi = min(lo + PIECE, len(symbols) - 1)
+            x = self.vectors[symbols[lo : hi + 1]].reshape(hi + 1 - lo, -1)
+            z = x[:-1] @ self.filters[0] + x[1:] @ self.filters[1] + self.bias
+            z[text[lo:hi] != text[lo + 1 : hi + 1]] = -np.inf
+            begin = np.flatnonzero(np.r_[True, text[lo + 1 : hi] != text[lo : hi - 1]])
+            here = text[lo + begin]
+            out[here] = np.maximum(out[here], np.maximum.reduceat(z, begin, axis=0))
+        return out
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        top, _ = self.pooled(*blocks(data, offsets))
-        return 1 / (1 + np.exp(-(top @ self.weight + self.offset[0]).astype(np.float64)))
+        return 1 / (1 + np.exp(-(self.top(*blocks(data, offsets)) @ self.weight + self.offset[0]).astype(np.float64)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 24, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
@@ -120,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
 def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score of every row of ``docs``."""
+    net = net.rounded()
 
     def run(batch: pa.RecordBatch) -> dict:
         parts = [net.score(c.data, c.offsets) for c in T.chunks(batch.column(1), 1 << 19)]

@@ -150,6 +150,53 @@ def test_classifier_covers_whole_texts_and_learns():
     assert np.allclose(score([texts[0], b"", texts[1]])[[0, 2]], score(texts[:2]), atol=1e-5)
 
 
+def plain_score(net, text):
+    """The forward pass of one text, chunk by chunk."""
+    symbols = list(text) + [quality.PAD] * (-len(text) % quality.STRIDE)
+    symbols += [quality.PAD] * max(0, 2 * quality.STRIDE - len(symbols))
+    best = np.zeros(quality.FILTERS)
+    for k in range(0, len(symbols) - quality.STRIDE, quality.STRIDE):
+        halves = [np.concatenate([net.vectors[x] for x in symbols[j : j + quality.STRIDE]]) for j in (k, k + quality.STRIDE)]
+        best = np.maximum(best, halves[0] @ net.filters[0] + halves[1] @ net.filters[1] + net.bias)
+    return 1 / (1 + np.exp(-float(best @ net.weight + net.offset[0])))
+
+
+def test_classifier_scores_equal_a_plain_forward_pass_alone_and_in_any_batch(monkeypatch):
+    r = np.random.default_rng(2)
+    shape = lambda *n: r.standard_normal(n).astype(np.float32)
+    net = quality.Network(shape(quality.PAD + 1, quality.DEPTH), shape(2, quality.STRIDE * quality.DEPTH, quality.FILTERS) * 0.3, shape(quality.FILTERS), shape(quality.FILTERS) * 0.2, shape(1)).rounded()
+    texts = [r.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in [0, 1, 7, 8, 9, 16, 17, 300, 2000, 5, 0, 33, 8]]
+    as_arrays = lambda some: (np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+    want = [plain_score(net, t) for t in texts]
+    for piece in (1 << 14, 1, 5):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert np.allclose(net.score(*as_arrays(texts)), want, rtol=0, atol=1e-15)
+        assert net.score(*as_arrays(texts)).tolist() == [net.score(*as_arrays([t]))[0] for t in texts] == net.score(*as_arrays(texts[::-1]))[::-1].tolist()
+
+
+def plain_walk(trees, x):
+    total = trees.base
+    for node in trees.root.tolist():
+        while trees.left[node] != node:
+            node = trees.left[node] + int(x[trees.feature[node]] > trees.threshold[node])
+        total += trees.value[node]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_flat_trees_equal_a_plain_walk_and_give_the_verdict(spark, data):
+    r = np.random.default_rng(4)
+    x = r.random((300, len(rules.FEATURES)))
+    trees = rules.fit(x, ((x[:, 1] + x[:, 3] > 1) & (x[:, 0] < 0.9)).astype(float))
+    assert np.allclose(trees.score(x), [plain_walk(trees, v) for v in x], rtol=0, atol=1e-12)
+    docs, labels = T.read(spark, data, "documents"), T.read(spark, data, "labels")
+    learned = rules.train(docs, labels)
+    values = {v["doc_id"]: v for v in rules.measured(docs, trees=None).collect()}
+    for v in rules.judge(docs, learned).collect():
+        if v["doc_id"] is not None:
+            p = plain_walk(learned, np.array(values[v["doc_id"]]["features"]))
+            assert v["score"] == pytest.approx(p, abs=1e-12) and v["kept"] == (not v["base_failed"] and p >= 0.2)
+
+
 def test_classifier_query(spark, data):
     rows = catalog.QUERIES["op2_quality_classifier"](spark, data).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, *_ in ROWS)
