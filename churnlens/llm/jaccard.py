@@ -246,7 +246,10 @@ def inside_groups(percent: int, nearest: int, hub_checked: bool) -> Callable[[It
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, copies (rows with an equal set)."""
+    """One row per row of ``docs``: id, n_shingles, component_id, copies (rows with an equal set).  Ids are
+    integers; number rows first whose ids are not (as the pipeline does)."""
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; the join takes integer ids")
     with T.small_batches(docs.sparkSession):
         return _join(docs, n, percent, id_col, text_col, nearest, block)
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 #: Arrow batches of the steps that hold much else in memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32

@@ -211,6 +211,11 @@ def test_jaccard_join(spark, data, nearest, block):
     assert rows_of(out, "doc_id", "n_shingles", "component_id") == X.as_counter(X.jaccard(ROWS))
 
 
+def test_jaccard_join_states_the_ids_it_takes(spark):
+    with pytest.raises(TypeError, match="integer ids"):
+        jaccard.join(X.table(spark, ROWS[:3]).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_jaccard_join_of_a_chain_family(spark):
     r = random.Random(5)
     ws = [f"w{r.randrange(10**6)}" for _ in range(120)]

@@ -94,8 +94,9 @@ def test_phrases_are_counted_once_whatever_the_chunks(spark, size, held):
     rows = prose()
     docs = X.table(spark, rows).select("lang", "text").where("lang is not null")
     _, f = counts([r for r in rows if r[2]])
-    got = phrases.count_phrases(docs, [ALL] * 3, chunk_bytes=size, held_texts=held)
-    assert X.as_counter(got.where("words > 0").select("lang", "phrase", "n").collect()) == Counter({(*k, a): 1 for k, a in f.items()})
+    for parts in (1, 64):
+        got = phrases.count_phrases(docs, [ALL] * 3, 1, parts, chunk_bytes=size, held_texts=held)
+        assert X.as_counter(got.where("words > 0").select("lang", "words", "phrase", "n").collect()) == Counter({(k[0], len(k[1].split(" ")), k[1], a): 1 for k, a in f.items()})
     for parts in (1, 8, 1 << 12):
         hashes = phrases.count_hashes(docs, [], 3, 2, parts, chunk_bytes=size, held_hashes=held).collect()
         assert Counter((r["words"], r["n"]) for r in hashes) == Counter((len(p.split(" ")), a) for (_, p), a in f.items() if a > 1)
@@ -109,7 +110,7 @@ def test_phrases_that_only_share_a_fingerprint_are_told_apart(spark, monkeypatch
     t = phrases.tokens(c, [g or "und" for *_, g, _ in rows])
     merged = phrases._merged(list(phrases.chunk_counts(t, [ALL] * 3)))
     _, f = counts(rows)
-    assert X.as_counter((r["lang"], r["phrase"], r["n"]) for r in merged.to_pylist() if r["words"]) == Counter({(*k, a): 1 for k, a in f.items()})
+    assert X.as_counter((r["lang"], r["phrase"], r["n"]) for r in merged.to_pylist() if r["phrase"]) == Counter({(*k, a): 1 for k, a in f.items()})
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
