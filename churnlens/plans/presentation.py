@@ -67,6 +67,11 @@ PRESENTATION: dict[str, tuple[list[str], dict[str, int]]] = {
     "duplicate_rows": (["usage_id", "usage_date", "feature_name"], {}),
     "churn_by_segment": (["dimension", _desc("churn_pct"), "value"], {"churn_pct": 2}),
     "lift_stability": ([_risk_order], {"mean_lift": 2, "sd_lift": 2}),
+    "lift_over_seeds": ([_risk_order], {"mean_lift": 2, "sd_lift": 2, "min_lift": 2, "max_lift": 2}),
+    "backtest_sweep_as_of": (["cut_date", _risk_order], {"churn_pct": 2, "lift": 2}),
+    "reasons_in_order": (["position"], {"pct": 2}),
+    "risk_levels_in_order": (["position"], {}),
+    "published_marts": (["account_status", "month"], {"arr": 0}),
 }
 
 
