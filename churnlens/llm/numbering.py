@@ -30,4 +30,4 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "row_no") -> Dat
     before = F.sum("_n_rows").over(Window.orderBy("_n_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_n_part", F.coalesce(before, F.lit(0)).cast("long").alias("_n_start"))
     numbered = placed.withColumn("_n_part", part).join(F.broadcast(starts), "_n_part")
-    return numbered.select(*df.columns, (F.col("_n_start") + place).alias(name))
+    return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_n_start") + place).alias(name))

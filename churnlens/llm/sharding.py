@@ -100,7 +100,7 @@ def place(rows: DataFrame, order: list[Column], n_shards: int = SHARDS, seed: st
     numbered = row_numbers(mine, order)
     permutation = Permutation(numbered.count(), seed)
     placed = permutation.forward(numbered, "row_no", "_place")
-    return placed.select(*mine.columns, "row_no", (F.col("_place") % n_shards).cast("int").alias("shard"), F.expr(f"_place div {n_shards}").alias("slot"))
+    return placed.select(*(F.col(f"`{c}`") for c in mine.columns), "row_no", (F.col("_place") % n_shards).cast("int").alias("shard"), F.expr(f"_place div {n_shards}").alias("slot"))
 
 
 def text_order(id_col: str = "doc_id", digest: str = "_digest") -> list[Column]:
