@@ -11,7 +11,8 @@
 
 These passes count 64-bit fingerprints of (language, phrase), which are small to shuffle.  A fingerprint
 counts no less than its phrase, so none is lost; a last scan counts the phrases behind the frequent
-fingerprints exactly, under their text, and drops those that only shared one.
+fingerprints exactly, under their text, and drops those that only shared one.  Where only extensions to the
+greatest length are still to be counted, which cannot fail in turn, the last scan counts them too.
 
 The frequent fingerprints that propose are broadcast as bit maps of bounded size.  A false positive of a map
 only lets a phrase be counted that need not be.  Tasks pre-aggregate before the shuffle, so a phrase that
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,15 +114,17 @@ class Tokens:
 
 def tokens(chunk: T.Chunk, languages: list[str]) -> Tokens | None:
     data = T.LOWER[chunk.data]
+    n = len(data)
     inside = IN_WORD[data]
-    cut = np.zeros(len(data) + 1, bool)
+    cut = np.ones(n + 1, bool)  # between two bytes: a word may not go on there
+    cut[1:-1] = inside[1:] != inside[:-1]
     cut[chunk.offsets] = True
-    starts = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    ends = np.flatnonzero(inside & (cut[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    starts = np.flatnonzero(inside & cut[:-1])
+    ends = np.flatnonzero(inside & cut[1:]) + 1
     if not len(starts):
         return None
     row = np.repeat(np.arange(len(languages)), np.diff(np.searchsorted(starts, chunk.offsets)))
-    piece = np.cumsum(SEPARATOR[data], dtype=np.int64)[starts]
+    piece = np.cumsum(SEPARATOR[data], dtype=np.int32)[starts]
     same = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     spelled, word = encode(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])))
@@ -143,15 +145,28 @@ def phrases_of(t: Tokens, max_words: int) -> Iterator[tuple[int, np.ndarray, np.
         yield words, at, h, index
 
 
+def proposed(before: np.ndarray, index: np.ndarray, words: int, passes: Passes) -> np.ndarray:
+    """Which phrases of ``words`` words the last pass proposes and none before it: those whose first and last
+    words but one, fingerprints ``before`` at ``index`` and next to it, its map has.  Where a pass has the map
+    of an earlier one, it proposes nothing new."""
+    *earlier, last = [m[words - 2] for m in passes]
+    if any(m is last for m in earlier):
+        return index[:0]
+    hit = last.has(before)
+    new = np.flatnonzero(hit[index] & hit[index + 1])
+    for m in earlier:
+        hit = m.has(before)
+        new = new[~(hit[index[new]] & hit[index[new] + 1])]
+    return new
+
+
 def proposed_hashes(t: Tokens, passes: Passes, max_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Fingerprints of the phrases that the last pass proposes and none before it, by length.  Words are
-    proposed by the first pass; without passes everything is."""
+    """Fingerprints of the phrases that the last pass proposes, by length.  Words are proposed by the first
+    pass; without passes everything is."""
     before = t.hash
     for words, _, h, index in phrases_of(t, max_words):
         if words > 1 and passes:
-            hits = [m[words - 2].has(before) for m in passes]
-            proposed = [hit[index] & hit[index + 1] for hit in hits]
-            yield words, h[proposed[-1] & ~reduce(np.logical_or, proposed[:-1], np.zeros(len(h), bool))]
+            yield words, h[proposed(before, index, words, passes)]
         elif words > 1 or len(passes) <= 1:
             yield words, h
         before = h
@@ -208,15 +223,20 @@ def count_hashes(
     return docs.mapInArrow(run, "part long, words int, h binary, n binary").groupBy("words", "part").applyInArrow(add_up, "words int, h long, n long")
 
 
-def chunk_counts(t: Tokens, maps: list[BitMap]) -> Iterator[pa.Table]:
-    """Exact counts of a chunk's phrases that ``maps`` (of 1, 2, ... words) have; under 0 words, of all words."""
+def chunk_counts(t: Tokens, maps: list[BitMap], passes: Passes) -> Iterator[pa.Table]:
+    """Exact counts of a chunk's phrases that ``maps`` (of 1, 2, ... words) have, and of the longest ones that
+    the last of ``passes`` (if any) proposes; under the empty phrase, of all words."""
 
-    def table(kinds: pa.Array, words: int, phrases: pa.Array, n: np.ndarray) -> pa.Table:
-        return pa.table({"lang": kinds.cast(pa.string()), "words": pa.array(np.full(len(n), words, np.int32)), "phrase": phrases.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
+    def table(kinds: pa.Array, phrases: pa.Array, n: np.ndarray) -> pa.Table:
+        return pa.table({"lang": kinds, "phrase": phrases.cast(pa.large_string()), "n": pa.array(n.astype(np.int64))})
 
-    yield table(t.kinds, 0, pa.array([""] * len(t.kinds)), np.bincount(t.kind, minlength=len(t.kinds)))
-    for words, at, h, _ in phrases_of(t, len(maps)):
-        at = at[maps[words - 1].has(h)]
+    yield table(t.kinds, pa.array([""] * len(t.kinds)), np.bincount(t.kind, minlength=len(t.kinds)))
+    before = t.hash
+    for words, at, h, index in phrases_of(t, len(maps)):
+        mine = maps[words - 1].has(h)
+        if passes and words == len(maps):
+            mine[proposed(before, index, words, passes)] = True
+        before, at = h, at[mine]
         if not len(at):
             continue
         distinct, code = encode(pa.array(t.kind[at] * len(t.spelled) + t.word[at]))
@@ -226,12 +246,40 @@ def chunk_counts(t: Tokens, maps: list[BitMap]) -> Iterator[pa.Table]:
         some[code] = at
         parts = [t.spelled.take(pa.array(t.word[some + k])) for k in range(words)]
         phrase = parts[0] if words == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        yield table(t.kinds.take(pa.array(t.kind[some])), words, phrase, np.bincount(code))
-
-
-def count_phrases(docs: DataFrame, maps: list[BitMap], chunk_bytes: int = CHUNK_BYTES, held_texts: int = HELD_TEXTS) -> DataFrame:
-    """Exact rows (lang, words, phrase, n) of the phrases of ``docs`` (lang, text) that ``maps`` have."""
-    held = docs.sparkSession.sparkContext.broadcast(maps)
+        yield table(t.kinds.take(pa.array(t.kind[some])), phrase, np.bincount(code))
+
+
+def packed_texts(table: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    """A table of counts as rows of (lang, part, phrases, counts): the phrases of one language and range of
+    hashes, each ended by a line feed, which stands in none."""
+    for lang in table.column("lang").unique().to_pylist():
+        mine = table.filter(pc.equal(table.column("lang"), lang))
+        phrases = mine.column("phrase").combine_chunks().cast(pa.large_string())
+        part = (strings_hash(phrases) & T.U64(parts - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, n = part[order], mine.column("n").to_numpy()[order]
+        lines = pc.binary_join_element_wise(phrases.take(pa.array(order)), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :][cuts]
+        text = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends.astype(np.int32)), lines.buffers()[2]])
+        counts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(n)])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(cuts) - 1), pa.string()), pa.array(part[cuts[:-1]]), text, counts], names=["lang", "part", "phrases", "counts"])
+
+
+def unpacked_texts(rows: pa.Table) -> pa.Table:
+    """All phrases and counts of rows that :func:`packed_texts` made."""
+    data = np.frombuffer(b"".join(rows.column("phrases").to_pylist()), np.uint8)
+    end = np.flatnonzero(data == 0x0A)
+    offsets = np.concatenate([[0], end - np.arange(len(end))])
+    phrases = pa.LargeStringArray.from_buffers(len(end), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[data != 0x0A]))
+    return pa.table({"phrase": phrases, "n": np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)})
+
+
+def count_phrases(docs: DataFrame, maps: list[BitMap], passes: Passes, least: int, parts: int, chunk_bytes: int = CHUNK_BYTES, held_texts: int = HELD_TEXTS) -> DataFrame:
+    """Exact rows (lang, words, phrase, n) of the phrases of ``docs`` (lang, text) that :func:`chunk_counts`
+    counts and that stand ``least`` times or more; and of all words, under 0 words.  Texts travel packed, as
+    fingerprints do."""
+    held = docs.sparkSession.sparkContext.broadcast((maps, passes))
 
     def run(batches):
         found: list[pa.Table] = []
@@ -240,24 +288,34 @@ def count_phrases(docs: DataFrame, maps: list[BitMap], chunk_bytes: int = CHUNK_
             languages = batch.column(0).to_pylist()
             for c in T.chunks(batch.column(1), chunk_bytes):
                 t = tokens(c, languages[c.lo : c.hi])
-                for part in chunk_counts(t, held.value) if t else ():
+                for part in chunk_counts(t, *held.value) if t else ():
                     found.append(part)
                     size += len(part)
                 if size > held_texts:
                     merged = _merged(found)
                     found, size = [merged], len(merged)
                     if size > held_texts // 2:
-                        yield from merged.to_batches(1 << 16)
+                        yield from packed_texts(merged, parts)
                         found, size = [], 0
         if found:
-            yield from _merged(found).to_batches(1 << 16)
+            yield from packed_texts(_merged(found), parts)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        total = unpacked_texts(rows).group_by("phrase").aggregate([("n", "sum")])
+        total = total.filter(pc.or_(pc.greater_equal(total.column("n_sum"), least), pc.equal(total.column("phrase"), "")))
+        phrases = total.column("phrase")
+        words = pc.if_else(pc.equal(phrases, ""), 0, pc.add(pc.count_substring(phrases, " ").cast(pa.int32()), 1)).cast(pa.int32())
+        lang = pa.array([rows.column("lang")[0].as_py()] * len(total), pa.string())
+        return pa.table({"lang": lang, "words": words, "phrase": phrases.cast(pa.string()), "n": total.column("n_sum")})
 
-    return docs.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    packed = docs.mapInArrow(run, "lang string, part long, phrases binary, counts binary")
+    return packed.groupBy("lang", "part").applyInArrow(add_up, "lang string, words int, phrase string, n long")
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
-    return out.rename_columns(["lang", "words", "phrase", "n"]).combine_chunks()
+    """Counts of the same phrase added up."""
+    out = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    return out.rename_columns(["lang", "phrase", "n"]).combine_chunks()
 
 
 def bit_map(hashes: DataFrame, bits_per_phrase: int = BITS_PER_PHRASE, most_bits: int = MOST_BITS) -> BitMap:
@@ -296,24 +354,32 @@ def frequent_phrases(
     parts = 1 << max(0, (size // PART_BYTES).bit_length(), (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     with T.small_batches(docs.sparkSession):
         sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(lang, "text")
-        maps = lambda found, longest: [bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in range(1, longest + 1)]
-        passes: Passes = [maps(materialize(count_hashes(sample, [], max_words - 1, sample_count, parts, chunk_bytes)), max_words - 1)]
+        maps = lambda found, lengths: {k: bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in lengths}
+        shorter = range(1, max_words)
+        sampled = materialize(count_hashes(sample, [], max_words - 1, sample_count, parts, chunk_bytes))
+        known = maps(sampled, shorter)
+        passes: Passes = [[known[k] for k in shorter]]
         found = None
         while True:
             new = materialize(count_hashes(rows, passes, max_words, min_count, parts, chunk_bytes))
             found = new if found is None else found.unionByName(new)
-            failures = _missing(new.where(F.col("words") < max_words), passes)
-            if not failures:
+            missing = _missing(new.where(F.col("words") < max_words), passes)
+            if not missing:
+                passes = []
                 break
             if log is not None:
-                log.append(failures)
-            passes.append(maps(found, max_words - 1))
-        exact = count_phrases(rows, maps(found, max_words), chunk_bytes)
-        return materialize(exact.where((F.col("words") == 0) | (F.col("n") >= min_count)))
+                log.append(sum(missing.values()))
+            # maps of lengths without a failure stay the same objects, also in the tasks
+            known |= maps(found, shorter if len(passes) == 1 else missing)
+            passes.append([known[k] for k in shorter])
+            if min(missing) == max_words - 1:
+                break
+        every = maps(found, range(1, max_words + 1))
+        return materialize(count_phrases(rows, [every[k] for k in sorted(every)], passes, min_count, parts, chunk_bytes))
 
 
-def _missing(hashes: DataFrame, passes: Passes) -> int:
-    """How many of the frequent phrases no pass knew, so that their extensions were not proposed."""
+def _missing(hashes: DataFrame, passes: Passes) -> dict[int, int]:
+    """By length, how many of the frequent phrases no pass knew, so that their extensions were not proposed."""
     held = hashes.sparkSession.sparkContext.broadcast(passes)
 
     def unknown(batch: pa.RecordBatch) -> dict:
@@ -322,9 +388,11 @@ def _missing(hashes: DataFrame, passes: Passes) -> int:
         for maps in held.value:
             for k, m in enumerate(maps, 1):
                 known[words == k] |= m.has(h[words == k])
-        return {"n": np.array([np.count_nonzero(~known)])}
+        lengths, n = np.unique(words[~known], return_counts=True)
+        return {"words": lengths, "n": n}
 
-    return T.per_batch(hashes.select("h", "words"), unknown, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    counted = T.per_batch(hashes.select("h", "words"), unknown, "words int, n long").groupBy("words").agg(F.sum("n").alias("n"))
+    return {r["words"]: r["n"] for r in counted.collect()}
 
 
 def exact_score(a: str, left: str, right: str):

@@ -95,7 +95,7 @@ def test_phrases_are_counted_once_whatever_the_chunks(spark, size, held):
     docs = X.table(spark, rows).select("lang", "text").where("lang is not null")
     _, f = counts([r for r in rows if r[2]])
     for parts in (1, 64):
-        got = phrases.count_phrases(docs, [ALL] * 3, 1, parts, chunk_bytes=size, held_texts=held)
+        got = phrases.count_phrases(docs, [ALL] * 3, [], 1, parts, chunk_bytes=size, held_texts=held)
         assert X.as_counter(got.where("words > 0").select("lang", "words", "phrase", "n").collect()) == Counter({(k[0], len(k[1].split(" ")), k[1], a): 1 for k, a in f.items()})
     for parts in (1, 8, 1 << 12):
         hashes = phrases.count_hashes(docs, [], 3, 2, parts, chunk_bytes=size, held_hashes=held).collect()
@@ -108,7 +108,7 @@ def test_phrases_that_only_share_a_fingerprint_are_told_apart(spark, monkeypatch
     monkeypatch.setattr(T, "mix", lambda x: mix(x) & T.U64(0xFF000000FF))  # few fingerprints, many shared
     (c,) = T.chunks(phrases.pa.array([t for _, t, *_ in rows]))
     t = phrases.tokens(c, [g or "und" for *_, g, _ in rows])
-    merged = phrases._merged(list(phrases.chunk_counts(t, [ALL] * 3)))
+    merged = phrases._merged(list(phrases.chunk_counts(t, [ALL] * 3, [])))
     _, f = counts(rows)
     assert X.as_counter((r["lang"], r["phrase"], r["n"]) for r in merged.to_pylist() if r["phrase"]) == Counter({(*k, a): 1 for k, a in f.items()})
 
