@@ -31,16 +31,16 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from churnlens.llm import text as T
 from churnlens.session import materialize, scratch_folder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Text encoded at once: the more, the fewer words are looked up again.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Ids after which a file is closed.
 FILE_IDS = 64 << 20
 #: Characters by which rows of one id are put in order first.
@@ -118,6 +118,10 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.remembered = remembered
         self.splits = self.as_assumed(path)
+        #: For words that are normalised and apart already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.parts: dict[str, bytes] = {}
@@ -145,7 +149,7 @@ class WordEncoder:
         out: list[bytes] = []
         for lo in range(0, len(words), step):
             some = words[lo : lo + step]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
                 out += self.library(some)
