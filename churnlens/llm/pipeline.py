@@ -2,45 +2,61 @@
 decontamination, mixing sources to target weights, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
-``docs``, whatever else those hold.  Empty tables pass through; null texts go in the first stage.
+``docs``, whatever else those hold and however they are named.  Empty tables pass through; null texts go in
+the first stage.  Rows are documents of their own, also where they have no id or share one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import binary, decontaminate, jaccard, language, mixing
 from churnlens.llm import text as T
-from churnlens.session import materialize, materialize_at, release_materialized
+from churnlens.session import collecting, materialize, materialize_at, release_materialized
 
 LEAST_SCORE = 0.5
+#: Up to so many ids of copies are broadcast to drop them; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def whole_row(docs: DataFrame):
+    """All columns of ``docs`` as one struct, so that names cannot clash with an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of ``LEAST_SCORE`` or more; texts without a letter go."""
     T.deploy(spark)
     model = language.train(docs.where(T.crc_mod("doc_id", 4) != 2))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    told = language.predict(rows, model, id_col="_row", text_col="_row.text")
+    told = language.predict(docs.select(whole_row(docs)), model, id_col="_row", text_col="_row.text")
     return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, once; rows without an id or without words stay."""
+    """Of each component the first document by id (null last) and text; documents without words stay.
+
+    Where every document has an id of its own, that is the join's node.  Otherwise the documents are written
+    once with a number each, and the numbers are.
+    """
     T.deploy(spark)
-    found = materialize(jaccard.join(docs))
-    stays = found.where("component_id = doc_id").select("doc_id").distinct()
-    rows = docs.join(stays, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = rows.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("text")).withColumn("_n", first).where("_n = 1").select("_row.*")
-    return once.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 OR doc_id IS NULL")
+    if ids.limit(1).isEmpty():
+        gone = materialize(jaccard.join(docs).where("component_id <> doc_id").select("doc_id"))
+        few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_node"), "doc_id", "text", whole_row(docs)))
+    found = materialize(jaccard.join(numbered, id_col="_node"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), "_node")
+    order = numbered.select(F.col("_node"), place.alias("_place"))
+    first = found.select("_node", "component_id").join(order, "_node").groupBy("component_id").agg(F.min("_place").alias("_first"))
+    return numbered.join(first.select(F.col("_first._node").alias("_node")), "_node", "left_semi").select("_row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark's items."""
     T.deploy(spark)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(whole_row(docs), "text")
     found = decontaminate.matches(rows, T.read(spark, sf_dir, "benchmark"), keep=["_row"])
     return decontaminate.report(found, ["_row"]).where("not contaminated").select("_row.*")
 
@@ -66,10 +82,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """Each stage's result is written and read as the next one's documents; what a stage wrote on its way, and
+    its input, is deleted when its result stands.  The last stage's tables and token files stay until
+    ``release_materialized``."""
     docs, path = T.read(spark, sf_dir, "documents"), None
-    for _, stage in stages:
-        docs, written = materialize_at(stage(spark, docs, sf_dir))
-        if path:
-            release_materialized(spark, [path])
-        path = written
+    for k, (_, stage) in enumerate(stages, 1):
+        before, used = [path] if path else [], []
+        with collecting(used):
+            docs, path = materialize_at(stage(spark, docs, sf_dir))
+        on_the_way = [p for p in used if p != path] if k < len(stages) else []
+        release_materialized(spark, before + on_the_way)
     return docs
