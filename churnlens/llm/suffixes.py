@@ -43,6 +43,7 @@ from churnlens.llm import text as T
 from churnlens.llm.jaccard import whole_groups
 from churnlens.session import ensure_checkpoint_dir, materialize_at, release_materialized
 
+U64 = T.U64
 LENGTH = 50
 #: A perfect difference set modulo 31; every residue is a difference of two of its members.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -138,9 +139,22 @@ class Block:
         return key, ((spread >> T.U64(11)) % T.U64(buckets)).astype(np.int64)
 
 
+def in_order(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """The order of (bucket, key); equal pairs stand together in any order.  One sort of numbers that hold the
+    bucket and the key's upper bits serves, unless two keys differ in the lower bits only."""
+    low = int(buckets.max()).bit_length() if len(buckets) else 0
+    if low:
+        both = (buckets.astype(U64) << U64(64 - low)) | (keys >> U64(low))
+        order = np.argsort(both)
+        both, k = both[order], keys[order]
+        if not ((both[1:] == both[:-1]) & (k[1:] != k[:-1])).any():
+            return order
+    return np.lexsort((keys, buckets))
+
+
 def distinct(keys: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of (bucket, key), which entries are the first of their kind, and each sorted entry's kind."""
-    order = np.lexsort((keys, buckets))
+    order = in_order(keys, buckets)
     k, b = keys[order], buckets[order]
     fresh = np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])][: len(k)]
     return order, fresh, np.cumsum(fresh) - 1
@@ -180,7 +194,7 @@ def sort_buckets(asked: DataFrame, earlier: bool) -> DataFrame:
         sizes = np.array([len(p) for p in parts])
         keys, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
         rank = np.asarray(table["rank"])[owner]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         fresh = np.r_[True, keys[order][1:] != keys[order][:-1]]
         begin = np.flatnonzero(fresh)
         kind = np.cumsum(fresh) - 1

@@ -263,6 +263,16 @@ def test_suffix_dedup_of_one_head(spark):
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == X.as_counter(X.repeats(rows))
 
 
+def test_order_of_buckets_and_keys():
+    r = np.random.default_rng(6)
+    for n, buckets, keys in [(0, 4, 9), (1, 1, 9), (5000, 1, 50), (5000, 300, 1 << 62), (5000, 3, 7), (300, 1 << 40, 1 << 62)]:
+        k, b = r.integers(0, keys, n).astype(np.uint64), r.integers(0, buckets, n)
+        k = np.where(r.random(n) < 0.3, k, k << np.uint64(1 if keys > 99 else 57))
+        order = suffixes.in_order(k, b)
+        want = np.lexsort((k, b))
+        assert sorted(order.tolist()) == list(range(n)) and (k[order] == k[want]).all() and (b[order] == b[want]).all()
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
 
