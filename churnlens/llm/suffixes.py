@@ -30,6 +30,7 @@ another; null ids are larger than all others and equal to one another.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,13 @@ def write_whole(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let go of finished plans now: Spark deletes a shuffle's files when the driver collects what refers to it,
+    which an idle driver may put off while passes pile up on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Number the rows' blocks; rows are sorted by id in their partitions.  ``rank`` orders blocks, and
     is shared by blocks that hold rows of one id only, which is more than a block."""
@@ -303,6 +311,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         for part in range(passes):
             answers, path = materialize_at(sort_buckets(questions(table, pick, width, buckets, part, passes), earlier))
             paths.append(path)
+            drop_shuffles(spark)
             out = answers if out is None else out.unionByName(answers)
         return out, paths, buckets
 
@@ -311,6 +320,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     schema = f"block long, rank long, seq long, id {kind}, text string"
     ties, ties_path = write_whole(grouped.applyInArrow(long_ties(length, buckets), schema + ", ties binary, n_ties long"))
     release_materialized(spark, [*paths, blocks_path])
+    drop_shuffles(spark)
     n_ties = ties.agg(F.sum("n_ties")).first()[0] or 0
     answers, paths, buckets = ask(ties, tied, length, n_ties, True)
     grouped = ties.groupBy("block").cogroup(answers.groupBy("block"))
