@@ -115,6 +115,21 @@ def test_batches_are_gated_against_what_is_stored(spark):
         io.write_roles({"subscriptions": frame(spark, "subscriptions", [sub(1, 1, "2024-01-01")])}, tempfile.mkdtemp(), id_type=ids)
 
 
+def test_batches_hold_accounts_that_have_no_contract_yet(spark, cfg):
+    from churnlens.plans.catalog import QUERIES
+
+    accounts = [account(1), account(2), account(3, signup=None), account(4, signup=None)]
+    roles = dict(accounts=accounts, subscriptions=[sub(10, 1, "2024-01-01"), sub(11, 2, "2024-02-01")], churn_events=[event(5, 2, "2024-03-01")])
+    got = sorted(tuple(r) for r in QUERIES["batch_load"](context(spark, cfg, **roles)).collect())
+    assert got == [("accounts", 4, 4), ("churn_events", 1, 1), ("subscriptions", 2, 2)]
+    # every other check still refuses the load, and so does this one where it is not named
+    for bad in (dict(roles, accounts=[*accounts, dict(account(5), industry=None)]), dict(roles, subscriptions=[sub(10, 9, "2024-01-01")])):
+        with pytest.raises(io.LoadCheckFailed):
+            QUERIES["batch_load"](context(spark, cfg, **bad))
+    with pytest.raises(io.LoadCheckFailed, match="signup_date"):
+        io.write_roles({"accounts": frame(spark, "accounts", accounts)}, tempfile.mkdtemp(), id_type=T.LongType())
+
+
 def test_stored_roles_give_the_same_answers(spark):
     """Load the adapter's roles once (S4), read them back month-partitioned, and analyse from storage."""
     from churnlens.config import TESTDATA_CONFIG
