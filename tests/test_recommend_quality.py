@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import account, frame, sub, use
@@ -172,3 +173,24 @@ def test_two_proportion_test(spark):
     assert abs(got["a"]["margin"] - 1.96 * sqrt(p * (1 - p) * (1 / 80 + 1 / 120))) < 1e-9
     assert (got["b"]["n_1"], got["b"]["mean_1"], got["b"]["n_0"]) == (40, 1.0, 120)
     assert (got["c"]["n_1"], got["c"]["mean_1"], got["c"]["margin"], got["c"]["significant"]) == (0, None, None, None)
+
+
+@pytest.mark.parametrize("profile,value", [(qa.profile_numeric_many, "cast(id as double)"), (qa.profile_dates_many, "date_add(date'2024-01-01', cast(id as int))")])
+def test_profiles_build_their_tables_once(spark, monkeypatch, profile, value):
+    """Brackets are sketched again and again, but what a table is built from runs once."""
+    monkeypatch.setattr(qa.bracketed_quantiles, "__defaults__", (500, 4000))
+    built = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            built.add(b.num_rows)
+            yield b
+
+    df = spark.range(5000).select(F.expr(value).alias("a b"), F.expr(f"if(id = 7, null, {value})").alias("v"))
+    df = df.mapInArrow(count, df.schema)
+    got = {r["column_name"]: tuple(r)[2:] for r in profile([("t", df, ["a b", "v"])]).collect()}
+    assert built.value == 5000
+    assert got["a b"][0] == 5000 and got["v"][0] == 4999
+    first, last = got["a b"][-5], got["a b"][-1]
+    assert last - first == 4999 and got["a b"][-3] == first + 2499.5
+    assert got["v"][-3] == first + 2500
