@@ -88,7 +88,8 @@ def run(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     docs, path = T.read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(stages, 1):
         before, used = [path] if path else [], []
-        with collecting(used):
+        # whole rows travel through Python in most stages: small batches of them, also where a result is written
+        with collecting(used), T.small_batches(spark):
             docs, path = materialize_at(stage(spark, docs, sf_dir))
         on_the_way = [p for p in used if p != path] if k < len(stages) else []
         release_materialized(spark, before + on_the_way)
