@@ -5,6 +5,7 @@ import os
 import re
 
 import llm_fixtures as X
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,19 @@ def test_empty(spark, tmp_path):
     path = X.folder(tmp_path, spark, [])
     assert corpus_pipeline.run(spark, path).collect() == []
     assert len(pipeline.STAGES) == 5
+
+
+def test_stages_run_with_small_batches(spark, data):
+    """Also what a stage returns unwritten, and only inside the run."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    def stage(spark, docs, sf_dir):
+        return spark.range(0, 40, 1, 1).select(F.repeat(F.col("id").cast("string").substr(1, 1), 1 << 20).alias("text")).mapInArrow(sizes, "n long")
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = [r["n"] for r in pipeline.run(spark, data, [("large rows", stage)]).collect()]
+    assert sum(got) >= 40 << 20 and max(got) <= T.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
