@@ -125,3 +125,24 @@ def test_stages_run_with_small_batches(spark, data):
     got = [r["n"] for r in pipeline.run(spark, data, [("large rows", stage)]).collect()]
     assert sum(got) >= 40 << 20 and max(got) <= T.BATCH_BYTES + (2 << 20)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_verdicts_on_texts_leave_rows_in_place(spark, data, monkeypatch):
+    """A stage taken by itself has done its Python work, in small batches, when it returns: none is left to whoever
+    writes the result under the session's batches.  Copies, null texts and rows without an id are judged by their text."""
+    found = [x[-1] for x in X.contamination(ROWS, ITEMS)]
+    clean = [r for r, bad in zip(ROWS, found, strict=True) if r[1] and not bad][:5]
+    dirty = [r for r, bad in zip(ROWS, found, strict=True) if bad]
+    assert clean and dirty
+    rows = clean + [(None, clean[0][1], "en", "s"), (clean[0][0], dirty[0][1], "en", "s")] + [(None, dirty[0][1], "en", "s")] * 2 + [(None, None, "en", "s"), (3, "", "en", "s"), (4, "12 34", "en", "s")]
+    docs = X.table(spark, rows)
+    for few in (10**6, 0):
+        monkeypatch.setattr(pipeline, "BROADCAST_TEXTS", few)
+        got = pipeline.without_benchmark(spark, docs, data)
+        assert "MapInArrow" not in got._jdf.queryExecution().toString()
+        assert sorted(quads(got), key=str) == sorted((r for r in rows if r[1] != dirty[0][1]), key=str)
+        told = pipeline.keep_language(spark, docs, data)
+        assert "MapInArrow" not in told._jdf.queryExecution().toString()
+        kept = [r[1] for r in quads(told)]
+        assert kept and set(kept) <= {r[1] for r in rows if any(c.isalpha() for c in r[1] or "")}
+        assert all(kept.count(t) == [r[1] for r in rows].count(t) for t in kept)
