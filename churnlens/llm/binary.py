@@ -203,14 +203,11 @@ class WordEncoder:
         return out, counts
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
-    """This process's encoder for a tokenizer file: what one task has learnt serves the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """This process's encoder for a tokenizer file: what one task has learnt serves the step's next."""
+    if path not in T.HELD:
+        T.HELD[path] = WordEncoder(path)
+    return T.HELD[path]  # type: ignore[return-value]
 
 
 def windows(length: int) -> np.ndarray:
@@ -385,7 +382,7 @@ def read_tokens(manifest: DataFrame, id_type: str, id_col: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(start), rows.column(2), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n, "shard").mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return T.map_batches(manifest.repartition(n, "shard"), run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:

@@ -71,7 +71,7 @@ def counters(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            for c in T.chunks(batch.column(0)):
+            for c in T.chunks(batch.column(0), T.SMALL_CHUNK_BYTES):
                 h, _ = shingle_sets(c, n)
                 total += np.bincount((h >> T.U64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         used = np.flatnonzero(total.reshape(-1, SEGMENT).any(1))
@@ -85,9 +85,9 @@ def counters(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
                 total[s] = total[s] + part if s in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["segment", "counts"])
 
-    parts = docs.select(text_col).mapInArrow(run, "segment long, counts binary")
+    parts = T.map_batches(docs.select(text_col), run, "segment long, counts binary")
     out = np.zeros(SKETCH, np.uint32)
-    for r in parts.repartition("segment").mapInArrow(add, "segment long, counts binary").toLocalIterator():
+    for r in T.map_batches(parts.repartition("segment"), add, "segment long, counts binary").toLocalIterator():
         out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["counts"], np.uint32)
     return out
 
@@ -102,7 +102,7 @@ def signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
             if not batch.num_rows:
                 continue
             size, digest, prefix, ranges = [], [], [], []
-            for c in T.chunks(batch.column(1)):
+            for c in T.chunks(batch.column(1), T.SMALL_CHUNK_BYTES):
                 h, row = shingle_sets(c, n)
                 first = np.searchsorted(row, np.arange(c.hi - c.lo + 1))
                 k = np.diff(first)
@@ -125,7 +125,7 @@ def signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest binary, prefix array<long>, ranges binary")
+    return T.map_batches(docs.select(id_col, text_col), run, f"id {kind}, n long, digest binary, prefix array<long>, ranges binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -176,7 +176,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str,
 
     def sets(batch: pa.RecordBatch) -> dict:
         out = []
-        for c in T.chunks(batch.column(1)):
+        for c in T.chunks(batch.column(1), T.SMALL_CHUNK_BYTES):
             h, row = shingle_sets(c, n)
             first = np.searchsorted(row, np.arange(c.hi - c.lo + 1)).tolist()
             out += [h[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
@@ -196,7 +196,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str,
                 keep.append((100 + percent) * shared >= percent * (len(u) + len(v)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(linked, f"a {kind}, b {kind}")
+    return T.map_batches(both.select("a", "b", "x", "y"), linked, f"a {kind}, b {kind}")
 
 
 def inside_groups(percent: int, nearest: int, hub_checked: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -282,7 +282,7 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, nea
                 ok, _ = suffix_filter(x, y, np.asarray(batch.column(2)), np.asarray(batch.column(3)), percent)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
-    pairs = hold(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(near, "a long, b long"))
+    pairs = hold(T.map_batches(star.select("a", "b", "na", "nb", "ra", "rb"), near, "a long, b long"))
     tested = pairs
     labels = hold(components(verify(pairs, docs, n, percent, id_col, text_col)))
     while True:
@@ -294,7 +294,7 @@ def _join(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, nea
         open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
         open_rows = open_rows.select("token", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "component", "n", "pos", "hub", "ranges")
         dealt = open_rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "id")
-        found = hold(dealt.mapInArrow(inside_groups(percent, nearest, True), "a long, b long, more boolean"))
+        found = hold(T.map_batches(dealt, inside_groups(percent, nearest, True), "a long, b long, more boolean"))
         fresh = hold(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         more = not found.where("more").limit(1).isEmpty()
         if not fresh.isEmpty():

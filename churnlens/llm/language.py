@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 score[c.lo + rows] = (1 / np.exp(part).sum(1))[rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(*([id_col] if field else [id_col, text_col])).mapInArrow(run, T.with_fields(docs, [id_col], "lang_pred string, score double"))
+    return T.map_batches(docs.select(*([id_col] if field else [id_col, text_col])), run, T.with_fields(docs, [id_col], "lang_pred string, score double"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ COVER_PERCENT = 50
 SAMPLE_PARTS = 8
 SAMPLE_COUNT = 2
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 6 << 20
 #: Fingerprints, and counted texts, that a task holds before it hands them on.
 HELD_HASHES = 1_000_000
 #: Text of which one group adds up the fingerprints (about as many bytes as the text).
@@ -352,7 +353,7 @@ def frequent_phrases(
     rows = docs.select(lang, "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 << max(0, (size // PART_BYTES).bit_length(), (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    with T.small_batches(docs.sparkSession):
+    with T.small_batches(docs.sparkSession, BATCH_BYTES):
         sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_parts)) == 0).select(lang, "text")
         maps = lambda found, lengths: {k: bit_map(found.where(F.col("words") == k), bits_per_phrase, most_bits) for k in lengths}
         shorter = range(1, max_words)

@@ -20,8 +20,9 @@ from pyspark.sql.types import StructType
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-#: Arrow batches of the steps that hold much else in memory.
-BATCH_BYTES = 6 << 20
+#: Arrow batches of the steps that hold much else in memory, and the text that such a step takes at once.
+BATCH_BYTES = 2 << 20
+SMALL_CHUNK_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -60,7 +61,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the odd multiplier and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, min(2 * n, CHUNK_BYTES + 1))
         _POWERS["up"], _POWERS["down"] = _powers(_PRIME, size), _powers(_INVERSE, size)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
@@ -165,11 +166,11 @@ def deploy(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside get Arrow batches of at most ``BATCH_BYTES``; the session's setting comes back after."""
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs run inside get Arrow batches of at most ``most`` bytes; the session's setting comes back after."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, str(most))
     try:
         yield
     finally:
@@ -181,6 +182,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What a worker process keeps from task to task of one step; another step lets it go.
+HELD: dict[str, object] = {}
+
+
+def let_go() -> None:
+    """Give memory back to the system that this process does not use: a worker serves one step after another, and
+    would hold in each what the largest one before it took."""
+    HELD.clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the system's is the C library's, so numpy's too
+        pool.release_unused()
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose tasks begin and leave their worker without the memory of others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from function(batches)
+        let_go()
+
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it returns the result's columns in the schema's order."""
 
@@ -190,7 +214,7 @@ def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
                 out = function(batch)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def with_fields(docs: DataFrame, cols: list[str], more: str) -> StructType:

@@ -146,3 +146,16 @@ def test_verdicts_on_texts_leave_rows_in_place(spark, data, monkeypatch):
         kept = [r[1] for r in quads(told)]
         assert kept and set(kept) <= {r[1] for r in rows if any(c.isalpha() for c in r[1] or "")}
         assert all(kept.count(t) == [r[1] for r in rows].count(t) for t in kept)
+
+
+def test_workers_keep_no_tokenizer_for_other_steps(spark, data):
+    """Worker processes serve one step after another; the encoder of the token files' tasks goes with their step."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").repartition(4)
+    pipeline.write_token_files(spark, docs, data).collect()
+
+    def encoders(batch):
+        import gc
+
+        return {"n": pa.array([sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())] * batch.num_rows, pa.int64())}
+
+    assert {r["n"] for r in T.per_batch(spark.range(0, 16, 1, 16), encoders, "n long").collect()} == {0}
