@@ -52,6 +52,8 @@ BLOCK_BYTES = 2 << 20
 FILE_BYTES = 32 << 20
 #: Suffixes that a bucket is meant to hold.
 BUCKET_SUFFIXES = 2_000_000
+#: Suffixes whose fingerprints are found at once, so that what is found on the way stays in the processor's cache.
+PIECE = 1 << 14
 
 
 def write_whole(df: DataFrame) -> tuple[DataFrame, str]:
@@ -130,42 +132,73 @@ class Block:
         return out
 
     def document(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, at, "right") - 1
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))[at]
 
     def samples(self, length: int) -> np.ndarray:
         """Positions of the cover sample with length - V + 1 bytes after them."""
-        step = np.arange(len(self.data)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
-        return np.flatnonzero(np.isin(np.arange(V), COVER)[step % V] & self.starts(length - V + 1))
+        width = length - V + 1
+        sizes = np.diff(self.offsets)
+        pattern = np.resize(np.isin(np.arange(V), COVER), int(sizes.max(initial=0)))
+        out = np.zeros(len(self.data), bool)
+        for a, n in zip(self.offsets[:-1].tolist(), np.maximum(sizes - width + 1, 0).tolist(), strict=True):
+            out[a : a + n] = pattern[:n]
+        return np.flatnonzero(out)
 
     def keys(self, at: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of the first ``length`` bytes from each position, and buckets by all of them.
 
-        The first bytes' fingerprint goes in too: keys whose fingerprints agree but whose heads differ
+        The first bytes' running sum goes in too: keys whose fingerprints agree but whose heads differ
         mostly part by their buckets."""
-        key = T.span_hash(self.sums, at, at + length)
-        spread = T.mix(T.span_hash(self.sums, at, at + length * 2 // 5) + key * T.U64(0xA24BAED4963EE407))
-        return key, ((spread >> T.U64(11)) % T.U64(buckets)).astype(np.int64)
-
-
-def in_order(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """The order of (bucket, key); equal pairs stand together in any order.  One sort of numbers that hold the
-    bucket and the key's upper bits serves, unless two keys differ in the lower bits only."""
-    low = int(buckets.max()).bit_length() if len(buckets) else 0
-    if low:
-        both = (buckets.astype(U64) << U64(64 - low)) | (keys >> U64(low))
-        order = np.argsort(both)
-        both, k = both[order], keys[order]
-        if not ((both[1:] == both[:-1]) & (k[1:] != k[:-1])).any():
-            return order
-    return np.lexsort((keys, buckets))
-
-
-def distinct(keys: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of (bucket, key), which entries are the first of their kind, and each sorted entry's kind."""
+        _, down = T.powers(len(self.sums))
+        key, bucket = np.empty(len(at), U64), np.empty(len(at), np.int64)
+        for i in range(0, len(at), PIECE):
+            j = at[i : i + PIECE]
+            begin, scale = self.sums[j], down[j]
+            k = T.mix((self.sums[j + length] - begin) * scale + U64(length * 0x2545F4914F6CDD1D % (1 << 64)))
+            spread = T.mix((self.sums[j + length * 2 // 5] - begin) * scale + k * U64(0xA24BAED4963EE407))
+            key[i : i + PIECE] = k
+            bucket[i : i + PIECE] = ((spread >> U64(32)) * U64(buckets)) >> U64(32)
+        return key, bucket
+
+
+def in_order(keys: np.ndarray, buckets: np.ndarray | None = None) -> np.ndarray:
+    """The order of (bucket, key); equal pairs stand together in any order.
+
+    One sort of plain numbers that hold the bucket, the key's upper bits and the entry's place gives the order,
+    but for the few entries that agree in these bits and not in the key, which are ordered by themselves."""
+    low = int(buckets.max()).bit_length() if buckets is not None and len(buckets) else 0
+    place = len(keys).bit_length()
+    if low + place >= 64:
+        return np.lexsort((keys, buckets))
+    packed = ((buckets.astype(U64) << U64(64 - low)) | (keys >> U64(low))) if low else keys.copy()
+    packed &= ~U64((1 << place) - 1)
+    packed |= np.arange(len(keys), dtype=U64)
+    packed.sort()
+    order = (packed & U64((1 << place) - 1)).astype(np.int64)
+    packed >>= U64(place)
+    alike = packed[1:] == packed[:-1]
+    after = np.flatnonzero(alike) + 1
+    after = after[keys[order[after]] != keys[order[after - 1]]]
+    if len(after):
+        group = np.cumsum(np.r_[False, ~alike])
+        among = np.zeros(group[-1] + 1, bool)
+        among[group[after]] = True
+        where = np.flatnonzero(among[group])
+        entry = order[where]
+        order[where] = entry[np.lexsort((keys[entry], group[where]))]
+    return order
+
+
+def distinct(keys: np.ndarray, buckets: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of (bucket, key), which of the sorted entries are the first of their kind, and the keys and buckets
+    of these first ones."""
     order = in_order(keys, buckets)
-    k, b = keys[order], buckets[order]
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])][: len(k)]
-    return order, fresh, np.cumsum(fresh) - 1
+    k, ends = keys[order], np.cumsum(np.bincount(buckets, minlength=n_buckets))
+    fresh = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=fresh[1:])
+    fresh[ends[ends < len(k)]] = True
+    kinds = np.cumsum(fresh)
+    return order, fresh, k[fresh], np.repeat(np.arange(n_buckets), np.diff(np.r_[0, np.r_[0, kinds][ends]]))
 
 
 def questions(blocks: DataFrame, pick: Callable[[Block], np.ndarray], length: int, buckets: int, part: int, parts: int) -> DataFrame:
@@ -179,9 +212,8 @@ def questions(blocks: DataFrame, pick: Callable[[Block], np.ndarray], length: in
                 block = Block(table.slice(i, j - i))
                 at = pick(block)
                 keys, bucket = block.keys(at, length, buckets)
-                mine = bucket % parts == part
-                order, fresh, _ = distinct(keys[mine], bucket[mine])
-                k, b = keys[mine][order][fresh], bucket[mine][order][fresh]
+                mine = (bucket >= part * (buckets // parts)) & (bucket < (part + 1) * (buckets // parts))
+                _, _, k, b = distinct(keys[mine], bucket[mine], buckets)
                 ends = np.flatnonzero(np.r_[b[1:] != b[:-1], True][: len(b)]) + 1
                 begins = np.r_[0, ends[:-1]][: len(ends)]
                 rank = table["rank"][i].as_py()
@@ -201,17 +233,20 @@ def sort_buckets(asked: DataFrame, earlier: bool) -> DataFrame:
         parts = [np.frombuffer(x.as_buffer(), T.U64) for x in table["keys"].combine_chunks()]
         sizes = np.array([len(p) for p in parts])
         keys, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-        rank = np.asarray(table["rank"])[owner]
-        order = np.argsort(keys)
-        fresh = np.r_[True, keys[order][1:] != keys[order][:-1]]
-        begin = np.flatnonzero(fresh)
-        kind = np.cumsum(fresh) - 1
+        order = in_order(keys)
+        k = keys[order]
+        again = k[1:] == k[:-1]
         bit = np.zeros(len(keys), bool)
-        if earlier:
-            least = np.minimum.reduceat(rank[order], begin)
-            bit[order] = least[kind] < rank[order]
+        # only keys that several blocks hold can be answered with a yes
+        several = np.flatnonzero(np.r_[again, False] | np.r_[False, again])
+        order = order[several]
+        if earlier and len(several):
+            k, rank = k[several], np.asarray(table["rank"])[owner[order]]
+            fresh = np.r_[True, k[1:] != k[:-1]]
+            least = np.minimum.reduceat(rank, np.flatnonzero(fresh))
+            bit[order] = least[np.cumsum(fresh) - 1] < rank
         else:
-            bit[order] = np.diff(np.r_[begin, len(keys)])[kind] > 1
+            bit[order] = True
         ends = np.cumsum(sizes)
         bits = [np.packbits(bit[e - n : e]).tobytes() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
@@ -219,15 +254,14 @@ def sort_buckets(asked: DataFrame, earlier: bool) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket long, bits binary")
 
 
-def answered(block: Block, at: np.ndarray, keys: np.ndarray, bucket: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The answers' bit for every position of ``at``; also the order of the positions and their kinds."""
-    order, fresh, kind = distinct(keys, bucket)
-    b = bucket[order][fresh]
+def answered(keys: np.ndarray, bucket: np.ndarray, buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answers' bit for every kind of key; also the keys' order and each sorted entry's kind."""
+    order, fresh, _, b = distinct(keys, bucket, buckets)
     bits = np.zeros(len(b), bool)
     for name, raw in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
         lo, hi = np.searchsorted(b, name), np.searchsorted(b, name, "right")
         bits[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8))[: hi - lo]
-    return bits, order, kind
+    return bits, order, np.cumsum(fresh) - 1
 
 
 def long_ties(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -237,17 +271,16 @@ def long_ties(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Ta
         block = Block(table)
         at = block.samples(length)
         keys, bucket = block.keys(at, length - V + 1, buckets)
-        bits, order, kind = answered(block, at, keys, bucket, answers)
+        bits, order, kind = answered(keys, bucket, buckets, answers)
         if len(at):
             doc = block.document(at)[order]
             first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
             bits |= np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        shared = np.zeros(len(at), bool)
-        shared[order] = bits[kind]
-        step = np.zeros(len(block.data) + 1, np.int64)
-        np.add.at(step, np.maximum(at[shared] - V + 1, 0), 1)
-        np.add.at(step, at[shared] + 1, -1)
-        ties = (np.cumsum(step[:-1]) > 0) & block.starts(length)
+        # shared samples up to each position, the positions before the block first
+        seen = np.zeros(len(block.data) + V, np.int32)
+        seen[at[order[bits[kind]]] + 1] = 1
+        np.cumsum(seen, out=seen)
+        ties = (seen[V:] > seen[:-V]) & block.starts(length)
         marks = [np.packbits(ties[a:b]).tobytes() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
         counts = [int(ties[a:b].sum()) for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
         out = block.table
@@ -269,7 +302,7 @@ def settle(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table
         block = Block(table)
         at = tied(block)
         keys, bucket = block.keys(at, length, buckets)
-        bits, order, kind = answered(block, at, keys, bucket, answers)
+        bits, order, kind = answered(keys, bucket, buckets, answers)
         gone = np.zeros(len(block.data) + 1, np.int64)
         if len(at):
             # ids in order of the block: equal ids get equal numbers, so a tie with an equal id does not count
@@ -277,16 +310,19 @@ def settle(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table
             number = np.cumsum([0, *(x != y for x, y in zip(ids[1:], ids[:-1], strict=True))])
             mine = number[block.document(at)][order]
             first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-            hit = bits[kind] | (np.minimum.reduceat(mine, first)[kind] < mine)
-            np.add.at(gone, at[order][hit], 1)
-            np.add.at(gone, at[order][hit] + length, -1)
+            hit = at[order[bits[kind] | (np.minimum.reduceat(mine, first)[kind] < mine)]]
+            gone[hit] += 1
+            gone[hit + length] -= 1
         removed = np.cumsum(gone[:-1]) > 0
-        n_removed, n_spans, digests = [], [], []
-        for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
-            r = removed[a:b]
-            n_removed.append(int(r.sum()))
-            n_spans.append(int(r[:1].sum() + (r[1:] & ~r[:-1]).sum()))
-            digests.append(hashlib.sha256(block.data[a:b][~r].tobytes()).hexdigest())
+        begins = removed.copy()
+        begins[1:] &= ~removed[:-1]
+        heads = block.offsets[:-1][np.diff(block.offsets) > 0]  # a run ends with its document
+        begins[heads] = removed[heads]
+        n_removed, n_spans = (np.diff(np.searchsorted(np.flatnonzero(x), block.offsets)) for x in (removed, begins))
+        digests = []
+        for a, b, n in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), n_removed.tolist(), strict=True):
+            kept = block.data[a:b][~removed[a:b]] if n else block.data[a:b]
+            digests.append(hashlib.sha256(kept.tobytes()).hexdigest())
         return pa.table({"id": block.table["id"], "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     return run

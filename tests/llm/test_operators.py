@@ -273,6 +273,45 @@ def test_order_of_buckets_and_keys():
         assert sorted(order.tolist()) == list(range(n)) and (k[order] == k[want]).all() and (b[order] == b[want]).all()
 
 
+def test_entries_that_agree_in_the_packed_bits_are_ordered_by_their_keys():
+    r = np.random.default_rng(8)
+    n, low = 4000, np.uint64((1 << 12) - 1)  # a place of 12 bits and a bucket of 9 push the keys' last 21 bits out
+    k = (r.integers(0, 40, n).astype(np.uint64) << np.uint64(43)) | (r.integers(0, 1 << 30, n).astype(np.uint64) & low)
+    b = r.integers(0, 400, n)
+    want = np.lexsort((k, b))
+    order = suffixes.in_order(k, b)
+    assert sorted(order.tolist()) == list(range(n)) and (k[order] == k[want]).all() and (b[order] == b[want]).all()
+    assert (k[suffixes.in_order(k)] == np.sort(k)).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_distinct_keys_are_those_of_their_buckets(n):
+    r = np.random.default_rng(n)
+    k, b = r.integers(0, 60, n).astype(np.uint64) << np.uint64(57), r.integers(0, 6, n) * 2 + 1
+    order, fresh, keys, buckets = suffixes.distinct(k, b, 16)
+    kinds = sorted(set(zip(b.tolist(), k.tolist(), strict=True)))
+    assert list(zip(buckets.tolist(), keys.tolist(), strict=True)) == kinds
+    assert [kinds[i] for i in np.cumsum(fresh) - 1] == list(zip(b[order].tolist(), k[order].tolist(), strict=True))
+
+
+def test_block_positions_and_runs_follow_each_document():
+    texts = ["", "ab" * 40, None, "x" * 19, "y" * 20, "é" * 700]
+    block = suffixes.Block(licenses.pa.table({"seq": list(range(6)), "text": texts}))
+    begin, width = block.offsets.tolist(), suffixes.LENGTH - suffixes.V + 1
+    want = [a + k for a, z in zip(begin[:-1], begin[1:], strict=True) for k in range(z - a - width + 1) if k % suffixes.V in suffixes.COVER]
+    assert block.samples(suffixes.LENGTH).tolist() == want
+    assert block.document(np.arange(begin[-1])).tolist() == [d for d in range(6) for _ in range(begin[d], begin[d + 1])]
+
+
+def test_sorting_a_pass_of_many_suffixes_takes_no_indirect_sort(monkeypatch):
+    r = np.random.default_rng(9)
+    k, b = r.integers(0, 1 << 62, 20000).astype(np.uint64), r.integers(0, 300, 20000)
+    want, sizes, sort = np.lexsort((k, b)), [], np.lexsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **kw: pytest.fail("argsort takes seven times as long"))
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sizes.append(len(keys[0])), sort(keys))[1])
+    assert (suffixes.in_order(k, b) == want).all() and sum(sizes) < 100
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
 
