@@ -1,6 +1,11 @@
 import datetime as dt
+from decimal import Decimal
 
 from fixtures import account, context, event, sub, use
+from pyspark.sql import functions as F
+
+from churnlens.functions.expr import exact_sum
+from churnlens.plans.state import value_at_ref
 
 
 def rows_by_id(df):
@@ -65,3 +70,21 @@ def test_usage_profile_recency_to_close(spark, cfg):
     m = rows_by_id(ctx.metrics)[1]
     assert m["recency_days"] == 10 and m["usage_total"] == 8 and m["breadth"] == 2
     assert abs(m["errors_per_event"] - 0.5) < 1e-12
+
+
+def test_exact_sum_is_the_sum_of_decimals(spark):
+    big = Decimal("9999999999.99")
+    rows = [(1, Decimal("-0.01")), (1, Decimal("21474836.48")), (1, None), (2, None), (3, big), (3, big), (4, -big), (4, Decimal("0.02")), (None, big)]
+    df = spark.createDataFrame(rows, "k int, v decimal(12,2)")
+    plain, exact = (df.groupBy("k").agg(s.alias("s")) for s in (F.sum("v"), exact_sum(df, "v")))
+    assert exact.dtypes == plain.dtypes and sorted(exact.collect(), key=str) == sorted(plain.collect(), key=str)
+    floats = df.select("k", df["v"].cast("double").alias("v"))
+    assert floats.groupBy("k").agg(exact_sum(floats, "v").alias("s")).dtypes[1] == ("s", "double")
+
+
+def test_contracts_of_one_interval_are_summed_as_integers(spark):
+    subs = spark.createDataFrame([(1, dt.date(2024, 1, 1), None, Decimal("1.50"), Decimal("18.00"))] * 2, "account_id int, start_date date, end_date date, mrr_amount decimal(12,2), arr_amount decimal(12,2)")
+    refs = spark.createDataFrame([(1, dt.date(2024, 6, 1))], "account_id int, value_date date")
+    out = value_at_ref(refs, subs)
+    assert [tuple(r) for r in out.collect()] == [(1, Decimal("3.00"), Decimal("36.00"))]
+    assert "shiftright" in out._jdf.queryExecution().optimizedPlan().toString()
